@@ -17,15 +17,15 @@ def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None, rounded: str = ""):
+def query(name: str, sql: str | None = None, rounded: str = "", places: int = 6):
     """Register a query. `rounded` names the double columns of the SQL, which are rounded as in Spark."""
 
     def wrap(fn):
-        QUERIES[name] = lambda spark, sf: round_doubles(fn(spark, sf))
+        QUERIES[name] = lambda spark, sf: round_doubles(fn(spark, sf), places)
         if sql is not None:
             text = sql.strip()
             if rounded:
-                cols = ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in rounded.split())
+                cols = ", ".join(f"round({c}, {places}) + 0e0 AS {c}" for c in rounded.split())
                 text = f"SELECT * REPLACE ({cols}) FROM ({text}) AS q_"
             ORACLES[name] = text
         return fn
