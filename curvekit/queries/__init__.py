@@ -1,3 +1,3 @@
 """Registered queries and the SQL that gives the same rows on the driver tables."""
-from . import clean, joins, pixels, quality, views  # noqa: F401
+from . import clean, joins, pixels, quality, runs, views  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

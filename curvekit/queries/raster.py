@@ -20,7 +20,7 @@ px2 AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE (d * CAST(round_even(1044480e0 / g
     * CAST(round_even(737280e0 / (6 * greatest(d, 1)), 0) AS INTEGER) END + 2048) / 4096e0) AS INTEGER) AS h0 FROM px1),
 pixels AS (SELECT image_id, x, y, b, g, r, CASE WHEN h0 < 0 THEN h0 + 180 ELSE h0 END AS h, CAST(s AS INTEGER) AS s, v,
     CAST((b * 3735 + g * 19235 + r * 9798 + 16384) // 32768 AS INTEGER) AS gray FROM px2)"""
-IMAGES = "images AS (SELECT CAST(n_nationkey AS BIGINT) AS image_id, CAST(90 + n_nationkey % 3 * 20 AS INTEGER) AS width, CAST(50 + n_nationkey % 5 * 25 AS INTEGER) AS height FROM nation)"
+IMAGES = "images AS (SELECT CAST(n_nationkey AS BIGINT) AS image_id, CAST(90 + n_nationkey % 3 * 20 AS INTEGER) AS width, CAST(51 + n_nationkey % 5 * 25 AS INTEGER) AS height FROM nation)"
 BOUNDS = "bounds AS (SELECT CAST(n_nationkey AS BIGINT) AS image_id, CAST(5 + n_nationkey % 4 AS INTEGER) AS px, 3 AS py, 70 AS pw, 40 AS ph FROM nation)"
 
 
@@ -39,7 +39,7 @@ def pixels(spark, sf) -> DataFrame:
 
 def images(spark, sf) -> DataFrame:
     n = F.col("n_nationkey")
-    return table(spark, sf, "nation").select(n.cast("bigint").alias("image_id"), (90 + n % 3 * 20).cast("int").alias("width"), (50 + n % 5 * 25).cast("int").alias("height"))
+    return table(spark, sf, "nation").select(n.cast("bigint").alias("image_id"), (90 + n % 3 * 20).cast("int").alias("width"), (51 + n % 5 * 25).cast("int").alias("height"))
 
 
 def bounds(spark, sf) -> DataFrame:
