@@ -274,6 +274,6 @@ def clean_curve_min_drop(spark, sf):
         CASE WHEN x.rn = 1 THEN a WHEN x.n IS NULL OR abs(x.s - a[-1].s) > 0.001e0 OR abs(x.n - x.s) > 0.001e0
         THEN list_append(a, x) ELSE a END, list({'t': t, 's': s, 'n': n, 'rn': rn} ORDER BY t, s)[1:1]) AS r FROM ahead GROUP BY 1),
     flat AS (SELECT curve_id, p.t AS t, p.s AS s FROM (SELECT curve_id, unnest(r) AS p FROM f)),
-    """ + RESAMPLE.format(src="flat", st="5e-1") + " SELECT * FROM resampled", "t s", 9)
+    """ + RESAMPLE.format(src="flat", st="5e-1") + " SELECT * FROM resampled", "", None)
 def clean_curve_hybrid(spark, sf):
     return k.resample(k.drop_flat(k.monotone_drop(v.noisy(spark, sf), start=None)))
