@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL: python tests/compare.py [-s SF] [name prefixes...]."""
+"""Run registered queries against their SQL: python tests/compare.py [-s SF] [--skew] [name prefixes...]."""
 from __future__ import annotations
 
 import os
@@ -76,9 +76,13 @@ def main(argv):
     sf = "/root/testdata/sf0.01"
     if argv[:1] == ["-s"]:
         sf, argv = f"/root/testdata/sf{argv[1]}", argv[2:]
+    skew, argv = "--skew" in argv, [a for a in argv if a != "--skew"]
     import __spark_entry__ as e
     spark, con = session(), oracle(sf)
     spark.sparkContext.setLogLevel("ERROR")
+    if skew:  # every key above 40 rows counts as hot
+        spark.conf.set("curvekit.probeBytes", "0")
+        spark.conf.set("curvekit.slabRows", "40")
     q, o = e.queries(), e.oracle_sql()
     bad = 0
     for name in q:
