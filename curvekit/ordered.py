@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import as_list, attach, plan_bytes, setting
+from .runtime import as_list, attach, cut_lineage, plan_bytes, setting
 
 MAX_HOT = 2048
 MAX_SLABS = 4096
@@ -67,50 +67,57 @@ def _slab_of(t: str) -> Column:
 
 
 class Ordered:
-    """Rows of `df` in order of (t, ties) within `keys`. Methods add columns; `.df` is the result."""
+    """Rows of `df` in order of (t, ties) within `keys`. Methods add columns; `.df` is the result.
 
-    def __init__(self, df: DataFrame, keys, t: str, ties=(), _hot="probe"):
+    Cold rows (all rows, usually) get plain windows, lazily. Rows of hot keys are kept apart: each step runs per slab,
+    joins the slab carries and writes the result to the checkpoint folder, so that a chain of steps costs one pass per
+    step instead of doubling its plan.
+    """
+
+    def __init__(self, df: DataFrame, keys, t: str, ties=()):
         self.keys, self.t, self.ties = as_list(keys), t, as_list(ties)
-        self.hot = hot_slabs(df, self.keys, t) if _hot == "probe" else _hot
-        if self.hot is not None and "_slab" not in df.columns:
-            base = df if self.keys else df.withColumn("_all", F.lit(1))
-            self.keys = self.keys or ["_all"]
-            df = (attach(base, self.hot, self.keys, hint=True)
-                  .withColumn("_slab", _slab_of(t)).withColumn("_hot", F.col("_outer").isNotNull())
-                  .drop("_outer", "_inner"))
-        self._df = df
+        hot = hot_slabs(df, self.keys, t)
+        self._cold, self._hot = df, None
+        if hot is not None:
+            if not self.keys:
+                self.keys, df = ["_all"], df.withColumn("_all", F.lit(1))
+            marked = attach(df, hot, self.keys, hint=True)
+            self._cold = marked.where(F.col("_outer").isNull()).drop("_outer", "_inner")
+            self._hot = cut_lineage(marked.where(F.col("_outer").isNotNull()).withColumn("_slab", _slab_of(t)).drop("_outer", "_inner"))
 
     # -- plumbing ---------------------------------------------------------------------------------
-    def _with(self, df: DataFrame) -> "Ordered":
-        return Ordered(df, self.keys, self.t, self.ties, _hot=self.hot)
+    def _with(self, cold: DataFrame, hot: DataFrame | None) -> "Ordered":
+        out = object.__new__(Ordered)
+        out.keys, out.t, out.ties, out._cold, out._hot = self.keys, self.t, self.ties, cold, hot
+        return out
 
-    @property
-    def df(self) -> DataFrame:
-        return self._df.drop("_slab", "_hot", "_all")
+    def _both(self, change, keep=()) -> "Ordered":
+        """Apply a row-wise change to the cold and to the hot rows."""
+        return self._with(change(self._cold, ()), None if self._hot is None else change(self._hot, keep))
 
     @property
-    def _parts(self) -> list[str]:
-        return self.keys + (["_slab"] if self.hot is not None else [])
+    def df(self) -> DataFrame:
+        rows = self._cold if self._hot is None else self._cold.unionByName(self._hot.drop("_slab"))
+        return rows.drop("_all")
 
-    def _w(self):
-        return Window.partitionBy(*self._parts).orderBy(self.t, *self.ties)
+    def _w(self, slab: bool):
+        return Window.partitionBy(*self.keys, *(["_slab"] if slab else [])).orderBy(self.t, *self.ties)
 
     def _rank(self) -> Column:
         return F.struct(self.t, *self.ties)
 
-    def _slabs(self, aggs: dict[str, Column]) -> DataFrame:
-        return (self._df.where("_hot").groupBy(*self.keys, "_slab")
-                .agg(*[c.alias(n) for n, c in aggs.items()]))
+    def _carried(self, hot: DataFrame, carry: DataFrame, on: list[str]) -> DataFrame:
+        return attach(hot, carry, on, hint=True)
 
     def select(self, *cols) -> "Ordered":
-        keep = ["_slab", "_hot"] if self.hot is not None else []
-        return self._with(self._df.select(*cols, *keep))
+        names = [c for c in ("_all",) if c in self.keys]
+        return self._both(lambda df, keep: df.select(*cols, *names, *keep), ("_slab",))
 
     def where(self, cond) -> "Ordered":
-        return self._with(self._df.where(cond))
+        return self._both(lambda df, keep: df.where(cond))
 
     def with_columns(self, **cols) -> "Ordered":
-        return self._with(self._df.withColumns(cols))
+        return self._both(lambda df, keep: df.withColumns(cols))
 
     # -- neighbours -------------------------------------------------------------------------------
     def lag(self, **cols) -> "Ordered":
@@ -124,16 +131,15 @@ class Ordered:
     def _neighbour(self, cols: dict, forward: bool) -> "Ordered":
         cols = {n: F.col(c) if isinstance(c, str) else c for n, c in cols.items()}
         move = F.lead if forward else F.lag
-        if self.hot is None:
-            return self._with(self._df.withColumns({n: move(c, 1).over(self._w()) for n, c in cols.items()}))
-        pick = F.min_by if forward else F.max_by
+        cold = self._cold.withColumns({n: move(c, 1).over(self._w(False)) for n, c in cols.items()})
+        if self._hot is None:
+            return self._with(cold, None)
         row = F.struct(*[c.alias(n) for n, c in cols.items()])
-        edge = self._slabs({"_edge": pick(row, self._rank())})
-        edge = edge.select(*self.keys, "_slab",
-                           move("_edge", 1).over(Window.partitionBy(*self.keys).orderBy("_slab")).alias("_edge"))
-        df = attach(self._df.withColumn("_near", move(row, 1).over(self._w())), edge, self.keys + ["_slab"], hint=True)
-        df = df.withColumn("_near", F.coalesce("_near", "_edge")).drop("_edge")
-        return self._with(df.withColumns({n: F.col(f"_near.{n}") for n in cols}).drop("_near"))
+        edge = self._hot.groupBy(*self.keys, "_slab").agg((F.min_by if forward else F.max_by)(row, self._rank()).alias("_edge"))
+        edge = edge.select(*self.keys, "_slab", move("_edge", 1).over(Window.partitionBy(*self.keys).orderBy("_slab")).alias("_edge"))
+        hot = self._carried(self._hot.withColumn("_near", move(row, 1).over(self._w(True))), edge, self.keys + ["_slab"])
+        hot = hot.withColumn("_near", F.coalesce("_near", "_edge")).drop("_edge")
+        return self._with(cold, cut_lineage(hot.withColumns({n: F.col(f"_near.{n}") for n in cols}).drop("_near")))
 
     # -- running aggregates -----------------------------------------------------------------------
     def running(self, *, before: bool = False, reverse: bool = False, **aggs) -> "Ordered":
@@ -141,43 +147,43 @@ class Ordered:
 
         `before` leaves out the current row; `reverse` runs from the end; `last`/`first` skip nulls.
         """
-        w = self._w()
-        if reverse:
-            w = w.rowsBetween(1 if before else 0, Window.unboundedFollowing)
-        else:
-            w = w.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
         aggs = {n: (k, F.col(c) if isinstance(c, str) else c) for n, (k, c) in aggs.items()}
-        local = {n: _AGG[k](c).over(w) for n, (k, c) in aggs.items()}
-        if self.hot is None:
-            return self._with(self._df.withColumns(local))
+
+        def local(slab):
+            w = self._w(slab)
+            w = (w.rowsBetween(1 if before else 0, Window.unboundedFollowing) if reverse
+                 else w.rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+            return {n: _AGG[k](c).over(w) for n, (k, c) in aggs.items()}
+
+        cold = self._cold.withColumns(local(False))
+        if self._hot is None:
+            return self._with(cold, None)
         edge = {}
         for n, (k, c) in aggs.items():
             if k in ("last", "first"):
-                pick = F.max_by if k == "last" else F.min_by
-                edge[n] = pick(c, F.when(c.isNotNull(), self._rank()))
+                edge[n] = (F.max_by if k == "last" else F.min_by)(c, F.when(c.isNotNull(), self._rank()))
             else:
                 edge[n] = _AGG[k](c)
         ws = Window.partitionBy(*self.keys).orderBy("_slab")
         ws = ws.rowsBetween(1, Window.unboundedFollowing) if reverse else ws.rowsBetween(Window.unboundedPreceding, -1)
-        over = {n: _AGG["sum" if k == "count" else k](F.col(n)).over(ws) for n, (k, _) in aggs.items()}
-        carry = self._slabs(edge).select(*self.keys, "_slab", *[c.alias(f"_c_{n}") for n, c in over.items()])
-        df = attach(self._df.withColumns(local), carry, self.keys + ["_slab"], hint=True)
-        out = {n: _merge(k, F.col(n), F.col(f"_c_{n}"), reverse) for n, (k, _) in aggs.items()}
-        return self._with(df.withColumns(out).drop(*[f"_c_{n}" for n in aggs]))
+        slabs = self._hot.groupBy(*self.keys, "_slab").agg(*[c.alias(n) for n, c in edge.items()])
+        carry = slabs.select(*self.keys, "_slab", *[_AGG["sum" if k == "count" else k](F.col(n)).over(ws).alias(f"_c_{n}")
+                                                    for n, (k, _) in aggs.items()])
+        hot = self._carried(self._hot.withColumns(local(True)), carry, self.keys + ["_slab"])
+        merged = {n: _merge(k, F.col(n), F.col(f"_c_{n}"), reverse) for n, (k, _) in aggs.items()}
+        return self._with(cold, cut_lineage(hot.withColumns(merged).drop(*[f"_c_{n}" for n in aggs])))
 
     def row_number(self, name: str) -> "Ordered":
         return self.running(**{name: ("count", F.lit(1))})
 
     def total(self, **aggs) -> "Ordered":
         """Whole-key aggregates on every row; each value is an aggregate Column (order-free)."""
-        w = Window.partitionBy(*self._parts)
-        if self.hot is None:
-            return self._with(self._df.withColumns({n: c.over(w) for n, c in aggs.items()}))
-        local = {n: F.when(~F.col("_hot"), c.over(w)) for n, c in aggs.items()}
-        whole = (self._df.where("_hot").groupBy(*self.keys).agg(*[c.alias(f"_c_{n}") for n, c in aggs.items()]))
-        df = attach(self._df.withColumns(local), whole, self.keys, hint=True)
-        return self._with(df.withColumns({n: F.when(F.col("_hot"), F.col(f"_c_{n}")).otherwise(F.col(n)) for n in aggs})
-                          .drop(*[f"_c_{n}" for n in aggs]))
+        w = Window.partitionBy(*self.keys)
+        cold = self._cold.withColumns({n: c.over(w) for n, c in aggs.items()})
+        if self._hot is None:
+            return self._with(cold, None)
+        whole = self._hot.groupBy(*self.keys).agg(*[c.alias(n) for n, c in aggs.items()])
+        return self._with(cold, cut_lineage(self._carried(self._hot, whole, self.keys)))
 
     def islands(self, name: str, starts: Column) -> "Ordered":
         """Island number: count of rows up to here for which `starts` holds (null counts as no start)."""

@@ -208,7 +208,7 @@ resampled AS (SELECT grid.curve_id, kk * {st} AS t, CASE WHEN kk * {st} <= g.t O
     UNION ALL SELECT curve_id, t, s FROM g WHERE n = 1)"""
 
 
-@query("k19_resample", with_(v.NOISY, RESAMPLE.format(src="noisy", st="5e-1")) + "SELECT * FROM resampled", "t s", 9)
+@query("k19_resample", with_(v.NOISY, RESAMPLE.format(src="noisy", st="5e-1")) + "SELECT * FROM resampled", "", None)
 def k19(spark, sf):
     return k.resample(v.noisy(spark, sf))
 
