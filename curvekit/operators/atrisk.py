@@ -79,10 +79,10 @@ def parse_data_rows(rows, image="image_id") -> DataFrame:
 def time_points(rows, calibration=None, image="image_id") -> DataFrame:
     """Times of each page: the numbers of its time line, else even steps over the calibrated range, else 0, 3, .. 18."""
     nums = F.array_sort(F.transform(F.filter("words", lambda w: F.rlike(w, F.lit(NUMERIC))), lambda w: w.cast("double")))
-    timed = rows.where("kind = 'time'").select(image, nums.alias("_t"))
     whole = F.size(F.filter("words", lambda w: F.rlike(w, F.lit(r"^\d+$"))))
-    first = rows.where(c("kind").isin("data", "unlabeled")).groupBy(image).agg(F.min(F.struct("row_y", whole.alias("k"))).getField("k").alias("_k"))
-    pages = attach(attach(rows.select(image).distinct(), timed, [image]), first, [image])
+    # a page has one time line
+    pages = rows.groupBy(image).agg(F.max(F.when(c("kind") == "time", nums)).alias("_t"), F.min(F.when(
+        c("kind").isin("data", "unlabeled"), F.struct("row_y", whole.alias("k")))).getField("k").alias("_k"))
     k = F.greatest(c("_k"), F.lit(7))
     guess = F.when(c("_k").isNotNull(), F.array(*[F.lit(float(v)) for v in range(0, 21, 3)][:7]))
     if calibration is not None:
@@ -93,20 +93,20 @@ def time_points(rows, calibration=None, image="image_id") -> DataFrame:
     return pages.select(image, times.alias("times")).where(F.size("times") > 0)
 
 
-def assemble_cells(rows, times, image="image_id", least=3) -> tuple[DataFrame, DataFrame]:
-    """Cells of the data lines against the page's times, and the confidence cells / (groups * times) of each page.
+def assemble_cells(rows, times, image="image_id", least=3) -> DataFrame:
+    """Cells of the data lines against the page's times, with the page's confidence cells / (groups * times).
 
     Lines with fewer than `least` values are no groups; of lines with the same name the last one counts.
     """
     data = parse_data_rows(rows.where(c("kind").isin("data", "unlabeled")), image)
     data = data.where(c("grp").isNotNull() & (F.size("values") >= least)).withColumn("grp", clean_group_name(c("grp")))
-    last = data.groupBy(image, "grp").agg(F.max(F.struct("row_y", "values")).getField("values").alias("values"))
+    last = data.groupBy(image, "grp").agg(F.max(F.struct("row_y", "values")).alias("_r")).select(image, "grp", "_r.row_y", "_r.values")
     last = attach(last, times.select(image, "times"), [image]).where(c("times").isNotNull())
-    cells = last.select(image, "grp", "times", F.posexplode("values").alias("pos", "n")).where(c("pos") < F.size("times"))
-    cells = cells.select(image, "grp", F.get("times", c("pos")).alias("t"), "n").groupBy(image, "grp", "t").agg(F.max("n").alias("n"))
-    conf = cells.groupBy(image).agg(F.count("*").alias("_c"), F.count_distinct("grp").alias("_g"))
-    conf = attach(conf, times.select(image, F.size("times").alias("_t")), [image])
-    return cells, conf.select(image, (c("_c") / F.greatest(c("_g") * c("_t"), F.lit(1))).alias("confidence"))
+    filled = F.size(F.array_distinct(F.slice("times", F.lit(1), F.least(F.size("values"), F.size("times")))))
+    groups = Ordered(last, image, "row_y").total(_c=F.sum(filled), _g=F.count("*")).df
+    groups = groups.withColumn("confidence", c("_c") / F.greatest(c("_g") * F.size("times"), F.lit(1)))
+    cells = groups.select(image, "grp", "times", "confidence", F.posexplode("values").alias("pos", "n")).where(c("pos") < F.size("times"))
+    return cells.groupBy(image, "grp", F.get("times", c("pos")).alias("t")).agg(F.max("n").alias("n"), F.max("confidence").alias("confidence"))
 
 
 def numeric_grid(tokens, bucket=20, image="image_id") -> DataFrame:

@@ -5,7 +5,7 @@ compares all pairs of an image.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ordered import Ordered
@@ -119,39 +119,44 @@ def protect_then_mask(pixels, boxes, protected, image="image_id", tile=64) -> Da
     return marked.where("_keep").unionByName(open_ones).drop("_keep")
 
 
-def _near_tiles(c: Column, r: int) -> Column:
-    t = F.floor(c / r).cast("int")
-    return F.array(t - 1, t, t + 1)
+def _column_neighbours(cells, probes, image):
+    """Closest set cells above (or level) and below each probe of a column, as `_up` and `_down`.
+
+    Cells and probes of a column are laid out together; a column holds at most a picture's height of each.
+    """
+    both = cells.withColumn("_d", F.lit(0)).unionByName(probes.withColumn("_d", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(image, "_x").orderBy("_y", "_d")
+    cell = F.when(F.col("_d") == 0, F.col("_y"))
+    both = both.withColumns({"_up": F.last(cell, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+                             "_down": F.first(cell, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    return both.where("_d = 1")
 
 
 def nearest_dark(points, dark, image="image_id", x="px", y="py", radius=8) -> DataFrame:
     """Closest dark pixel within a square of `radius`: `dist` (null when none) and its row `near_y`.
 
-    Points and pixels meet in tiles of side `radius`; ties go to the first in (dy, dx). Copies of a point or a
-    pixel are looked up once.
+    Each point looks up its closest pixel above and below in every column within reach, so no pairs are made; ties go
+    to the first in (dy, dx). Copies of a point or a pixel are looked up once.
     """
-    cells = dark.select(F.col(image).alias("_img"), F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
-    cells = cells.withColumns({"_tx": F.floor(F.col("_x") / radius).cast("int"), "_ty": F.floor(F.col("_y") / radius).cast("int")})
-    asked = points.select(image, x, y).distinct()
-    spread = asked.withColumn("_ax", F.explode(_near_tiles(F.col(x), radius))).withColumn("_ay", F.explode(_near_tiles(F.col(y), radius)))
-    dx, dy = F.col("_x") - F.col(x), F.col("_y") - F.col(y)
-    met = spread.join(cells, [F.col(image).eqNullSafe(F.col("_img")), F.col("_ax") == F.col("_tx"), F.col("_ay") == F.col("_ty"),
-                              F.abs(dx) <= radius, F.abs(dy) <= radius])
-    best = met.groupBy(image, x, y).agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), dy.alias("dy"), dx.alias("dx"))).alias("_b"))
-    best = best.select(image, x, y, F.sqrt(F.col("_b.d2").cast("double")).alias("dist"), (F.col(y) + F.col("_b.dy")).alias("near_y"))
+    cells = dark.select(image, F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
+    asked = points.select(image, F.col(x).alias("_px"), F.col(y).alias("_y")).distinct()
+    probes = asked.select(image, "_px", "_y", F.explode(F.sequence(F.col("_px") - radius, F.col("_px") + radius)).alias("_x"))
+    near = _column_neighbours(cells, probes, image)
+    dx = F.col("_x") - F.col("_px")
+    found = F.array(*[F.when(F.abs(F.col(n) - F.col("_y")) <= radius, F.struct(
+        (dx * dx + (F.col(n) - F.col("_y")) * (F.col(n) - F.col("_y"))).alias("d2"), (F.col(n) - F.col("_y")).alias("dy"), dx.alias("dx"))) for n in ("_up", "_down")])
+    best = near.select(image, "_px", "_y", F.array_min(found).alias("_f")).groupBy(image, "_px", "_y").agg(F.min("_f").alias("_b")).where("_b is not null")
+    best = best.select(image, F.col("_px").alias(x), F.col("_y").alias(y), F.sqrt(F.col("_b.d2").cast("double")).alias("dist"), (F.col("_y") + F.col("_b.dy")).alias("near_y"))
     return attach(points, best, [image, x, y])
 
 
 def nearest_vertical(points, mask, image="image_id", x="x", y="y", radius=15) -> DataFrame:
     """Signed offset to the closest set pixel in the same column within `radius` (upwards on ties)."""
-    cells = mask.select(F.col(image).alias("_img"), F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
-    cells = cells.withColumn("_ty", F.floor(F.col("_y") / radius).cast("int"))
-    asked = points.select(image, x, y).distinct()
-    spread = asked.withColumn("_ay", F.explode(_near_tiles(F.col(y), radius)))
-    dy = F.col("_y") - F.col(y)
-    met = spread.join(cells, [F.col(image).eqNullSafe(F.col("_img")), F.col(x) == F.col("_x"), F.col("_ay") == F.col("_ty"), F.abs(dy) <= radius])
-    best = met.groupBy(image, x, y).agg(F.min(F.struct(F.abs(dy).alias("a"), dy.alias("offset"))).getField("offset").alias("offset"))
-    return attach(points, best, [image, x, y])
+    cells = mask.select(image, F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
+    near = _column_neighbours(cells, points.select(image, F.col(x).alias("_x"), F.col(y).alias("_y")).distinct(), image)
+    found = F.array(*[F.when(F.abs(F.col(n) - F.col("_y")) <= radius, F.struct(F.abs(F.col(n) - F.col("_y")).alias("a"), (F.col(n) - F.col("_y")).alias("o"))) for n in ("_up", "_down")])
+    best = near.select(image, F.col("_x").alias(x), F.col("_y").alias(y), F.array_min(found).getField("o").alias("offset"))
+    return attach(points, best.where("offset is not null"), [image, x, y])
 
 
 def any_in_gap(gaps, mask, image="image_id", x="x", lo="y1", hi="y2", inset=2, tile=32) -> DataFrame:

@@ -194,8 +194,8 @@ def _peaks(pixels, min_pixels, max_colors, image) -> DataFrame:
             .select(image, F.slice(merged, 1, max_colors).alias("peaks")))
 
 
-def detect_palette(pixels, min_pixels=100, max_colors=4, image="image_id") -> DataFrame:
-    """Distinct curve colours per image: name, hue, HSV bounds, mean RGB over the bounds and size of the hue peak."""
+def palette_bounds(pixels, min_pixels=100, max_colors=4, image="image_id") -> DataFrame:
+    """Distinct curve colours as one array `colors` per image: hue, n, HSV bounds lo hi s_min v_min."""
     p = _peaks(pixels, min_pixels, max_colors, image)
 
     def bounds(q):
@@ -206,13 +206,23 @@ def detect_palette(pixels, min_pixels=100, max_colors=4, image="image_id") -> Da
         return F.struct(q["hue"].alias("hue"), q["n"].alias("n"), lo.alias("lo"), hi.alias("hi"),
                         F.when(cyan | purple, 30).otherwise(20).alias("s_min"), F.when(cyan, 60).otherwise(50).alias("v_min"))
 
-    palette = p.select(image, F.transform("peaks", bounds).alias("_c"))
-    met = attach(pixels.select(image, "b", "g", "r", "h", "s", "v"), palette, [image])
-    fits = F.filter("_c", lambda q: F.col("h").between(q["lo"], q["hi"]) & (F.col("s") >= q["s_min"]) & (F.col("v") >= q["v_min"]))
-    mean = (met.select(image, "b", "g", "r", F.explode(fits).alias("q")).groupBy(image, "q.hue")
-            .agg(*[F.floor(F.avg(k)).cast("int").alias(f"mean_{k}") for k in ("r", "g", "b")]))
-    rows = palette.select(image, F.explode("_c").alias("q")).select(image, "q.*")
-    rows = attach(rows, mean, [image, "hue"]).na.fill(0, ["mean_r", "mean_g", "mean_b"])
+    return p.select(image, F.transform("peaks", bounds).alias("colors"))
+
+
+def palette_masks(pixels, palette, image="image_id") -> DataFrame:
+    """Each pixel with the palette colours it fits (`q`): the palette travels as one array per image, so pixels are not
+    multiplied by it first."""
+    met = attach(pixels, palette.select(image, "colors"), [image])
+    fits = F.filter("colors", lambda q: F.col("h").between(q["lo"], q["hi"]) & (F.col("s") >= q["s_min"]) & (F.col("v") >= q["v_min"]))
+    return met.select(*pixels.columns, F.explode(fits).alias("q"))
+
+
+def detect_palette(pixels, min_pixels=100, max_colors=4, image="image_id") -> DataFrame:
+    """Distinct curve colours per image: name, hue, HSV bounds, mean RGB over the bounds and size of the hue peak."""
+    palette = palette_bounds(pixels, min_pixels, max_colors, image)
+    met = palette_masks(pixels.select(image, "b", "g", "r", "h", "s", "v"), palette, image)
+    mean = met.groupBy(image, "q.hue").agg(*[F.floor(F.avg(k)).cast("int").alias(f"mean_{k}") for k in ("r", "g", "b")])
+    rows = attach(palette.select(image, F.explode("colors").alias("q")).select(image, "q.*"), mean, [image, "hue"]).na.fill(0, ["mean_r", "mean_g", "mean_b"])
     return rows.select(image, c.hue_name(F.col("hue")).alias("name"), "hue", "lo", "hi", "s_min", "v_min", "mean_r", "mean_g", "mean_b", F.col("n").alias("pixel_count"))
 
 

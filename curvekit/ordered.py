@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import as_list, attach, cut_lineage, plan_bytes, setting
+from .runtime import as_list, attach, cut_lineage, input_bytes, setting
 
 MAX_HOT = 2048
 MAX_SLABS = 4096
@@ -27,7 +27,7 @@ def hot_slabs(df: DataFrame, keys: list[str], t: str) -> DataFrame | None:
     spark = df.sparkSession
     if not keys:
         df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
-    if plan_bytes(df) < setting(spark, "probeBytes", PROBE_BYTES):
+    if input_bytes(df) < setting(spark, "probeBytes", PROBE_BYTES):
         return None
     limit = setting(spark, "slabRows", SLAB_ROWS)
     hot = (df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)

@@ -15,11 +15,8 @@ KEYS = ["image_id", "color"]
 def color_curves(pixels: DataFrame, bounds: DataFrame, calibration: DataFrame, min_pixels=100, max_colors=4) -> DataFrame:
     """Palette colours of each picture, one row per column (median), mapped to data and cleaned: (image_id, color, t, s)."""
     inside = p.in_plot(pixels, bounds, 10)
-    palette = p.detect_palette(inside, min_pixels, max_colors)
-    colors = palette.groupBy("image_id").agg(F.collect_list(F.struct("name", "hue", "lo", "hi", "s_min", "v_min")).alias("_c"))  # at most max_colors entries
-    met = attach(inside.select("image_id", "x", "y", "h", "s", "v"), colors, ["image_id"])
-    fits = F.filter("_c", lambda q: F.col("h").between(q["lo"], q["hi"]) & (F.col("s") >= q["s_min"]) & (F.col("v") >= q["v_min"]))
-    masks = met.select("image_id", "x", "y", F.explode(fits).alias("q")).select("image_id", F.concat_ws("@", "q.name", F.col("q.hue").cast("string")).alias("color"), "x", "y")
+    found = p.palette_masks(inside.select("image_id", "x", "y", "h", "s", "v"), p.palette_bounds(inside, min_pixels, max_colors))
+    masks = found.select("image_id", F.concat_ws("@", c.hue_name(F.col("q.hue")), F.col("q.hue").cast("string")).alias("color"), "x", "y")
     points = axis.px_to_data(p.column_pick(masks, KEYS), calibration).select(*KEYS, "t", "s")
     clipped = axis.clip_points(attach(points, calibration.select("image_id", F.col("time_max").alias("_tm")), ["image_id"]), F.col("_tm")).drop("_tm")
     return clean.clean_curve(clipped, KEYS)

@@ -130,8 +130,7 @@ ASSEMBLED = """ga AS (SELECT image_id, row_y, vals, CASE WHEN trim(g, '.,;:|-_ '
     (SELECT image_id, count(*) AS c, count(DISTINCT grp) AS g FROM acells GROUP BY 1) USING (image_id) JOIN times USING (image_id)""", "t confidence")
 def r05(spark, sf):
     k = kinds(spark, sf)
-    got, conf = r.assemble_cells(k, r.time_points(k, even_calibration(spark, sf)))
-    return got.join(conf, "image_id")
+    return r.assemble_cells(k, r.time_points(k, even_calibration(spark, sf)))
 
 
 @query("r06_events", with_(CELLS) + "SELECT *, coalesce(greatest(0, n - lead(n) OVER (PARTITION BY image_id, grp ORDER BY t)), 0) AS events FROM cells")

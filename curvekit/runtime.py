@@ -60,6 +60,12 @@ def attach(df: DataFrame, small: DataFrame, names: list[str], hint: bool = False
     return df.join(right, on, "left").drop(*[f"__r_{n}" for n in names])
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan, from its file sizes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the distinct inputs a plan reads, from Spark's own estimates (file sizes). Join estimates are left out:
+    Catalyst multiplies the sizes of both sides, which says nothing about how many rows one key can have."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = {}
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        sizes[leaf.canonicalized().hashCode()] = int(str(leaf.stats().sizeInBytes()))
+    return sum(sizes.values())
