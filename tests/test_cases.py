@@ -323,9 +323,9 @@ def test_skeleton_equals_repeated_opening(spark):
 
 
 def test_bridge(spark):
-    m = [(x, 5) for x in range(5)] + [(x, 6) for x in range(9, 14)]
-    got = set(pts(masks.bridge_endpoints(cells(spark, m), 30), "x", "y"))
-    assert got == set(m) | {(x, 5) for x in range(4, 10)}
+    m = [(x, 5) for x in range(21)] + [(x, 6) for x in range(25, 46)]
+    got = set(pts(masks.bridge_endpoints(cells(spark, m), 8), "x", "y"))
+    assert got == set(m) | {(x, 5) for x in range(20, 26)}
 
 
 def test_lines_removed_from_picture(spark):
