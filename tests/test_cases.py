@@ -371,3 +371,18 @@ def test_png_to_pixels(spark, tmp_path):
     assert pts(px, "x", "y", "b", "g", "r") == [(0, 1, 30, 20, 10), (1, 0, 0, 0, 255)]
     assert pts(px.where("x = 1"), "h", "s", "v") == [(0, 255, 255)]
     assert pts(files.read_pixels(images, bounds=(0, 1, 3, 1)), "x", "y") == [(0, 1)]
+
+
+def test_column_overlap_rules(spark):
+    cols = {0: [10], 1: [10, 12], 2: [10, 60, 61, 62, 63], 3: [12, 13, 14, 15, 45, 46, 47], 4: [2, 3, 90], 5: [20, 30, 31, 32], 6: [20, 21, 22, 23, 40]}
+    df = spark.createDataFrame([(1, "blue", x, y) for x, ys in cols.items() for y in ys], "image_id long, color string, x int, y int")
+    got = {r["x"]: (r["y"], r["rule"]) for r in pixels.column_overlap_rules(df, 100).collect()}
+    assert got == {0: (10, "single"), 1: (10, "cluster"), 2: (60, "cross_above"), 3: (45, "gap_skip_text_top"), 4: (90, "noise_filtered_top_text"),
+                   5: (30, "continuity_bottom"), 6: (20, "cross_below")}
+
+
+def test_extend_plateau(spark):
+    rows = [(1, "dashed", x, 20.0 + (5.0 if x == 45 else 0)) for x in range(50)] + [(1, "solid", x, 60.0) for x in range(80)]
+    got = clean.extend_plateau(spark.createDataFrame(rows, "image_id long, style string, x int, y double"))
+    up = {r["x"]: (r["y"], r["present"]) for r in got.where("style = 'dashed'").collect()}
+    assert up[45] == (20.0, True) and up[60] == (20.0, False) and max(up) == 79
