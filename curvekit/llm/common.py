@@ -6,7 +6,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -56,12 +57,12 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def doc_slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about `size` bytes together; a longer document stands alone."""
+def doc_slices(offsets: np.ndarray, size: int = SLICE_BYTES, most: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most` documents of about `size` bytes together; a longer document stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + most, n)
         yield lo, hi
         lo = hi
 
@@ -96,3 +97,16 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def shuffle_partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 documents and their n + 1 offsets."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    return points, before[offsets]
+
+
+def crc(column) -> Column:
+    """crc32 of a column as text; null as empty text."""
+    return F.crc32(F.encode(F.coalesce(column.cast("string"), F.lit("")), "UTF-8"))

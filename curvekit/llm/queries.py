@@ -4,7 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import crc
 from .exact_dedup import exact_dedup
+from .language import identify_language, train_language_model
+from .mixing import mix_sources
+from .ngram_join import near_duplicates
 
 QUERIES, ORACLES = {}, {}
 
@@ -30,3 +34,46 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
     return exact_dedup(docs, carry=["doc_id", "text_sha256"])
+
+
+@register("op5_mixing", r"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+src AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS stop FROM
+  (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source)),
+steps AS (SELECT *, sum(source_size) OVER () AS budget,
+  (sum(source_size) OVER () - (sum(stop) OVER o - stop))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER o - weight))::DOUBLE AS level, stop::DOUBLE / weight::DOUBLE AS ratio
+  FROM src WINDOW o AS (ORDER BY stop::DOUBLE / weight::DOUBLE, rank ROWS UNBOUNDED PRECEDING)),
+rate AS (SELECT max(level) AS level FROM steps WHERE level <= ratio),
+targets AS (SELECT s.*, least(stop::DOUBLE, weight * rate.level) AS target FROM steps s, rate),
+dealt AS (SELECT d.*, t.source_size, t.rank, t.weight, t.target, t.budget, sum(size) OVER (PARTITION BY t.rank ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+line AS (SELECT *, sum(size) OVER (ORDER BY time, rank, mark, n ROWS UNBOUNDED PRECEDING) AS total FROM
+  (SELECT *, (n * source_size + cum)::DOUBLE / weight::DOUBLE AS time FROM dealt, (VALUES (0), (1), (2)) r(n)))
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, sum(CASE WHEN total <= budget THEN size ELSE 0 END)::BIGINT AS taken FROM line GROUP BY doc_id, size, source_size, target, rank, mark, cum""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"))
+
+
+@register("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc(F.col("doc_id")) % 3 == 1
+    model = train_language_model(docs, ~held_out)
+    return identify_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+@register("op7_ngram_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id != b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.y AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) c ON c.x = d.doc_id""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate component."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
