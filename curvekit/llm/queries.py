@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from .common import crc
 from .exact_dedup import exact_dedup
 from .language import identify_language, train_language_model
+from .lm import score_texts
 from .mixing import mix_sources
 from .ngram_join import near_duplicates
+from .pieces import decoded, encode_pieces, model_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -77,3 +79,20 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.y AS component_id FRO
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate component."""
     return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@register("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: its number of pieces, a hash of the ids, the hash of the text read back, and whether that is the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_pieces(docs, model_path())
+    back = coded.withColumn("back", decoded(docs, model_path(), F.col("ids")))
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
+                       F.sha2(F.encode("back", "UTF-8"), 256).alias("decoded_sha256"), (F.col("back") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@register("op10_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base and model score; learned where crc32(doc_id) mod 7 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_texts(docs, crc(F.col("doc_id")) % 7 != 2).withColumnRenamed("id", "doc_id")
