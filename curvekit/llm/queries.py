@@ -11,6 +11,7 @@ from .lm import score_texts
 from .mixing import mix_sources
 from .ngram_join import near_duplicates
 from .pieces import decoded, encode_pieces, model_path
+from .toxicity import score_toxicity, train_toxicity_model
 
 QUERIES, ORACLES = {}, {}
 
@@ -96,3 +97,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base and model score; learned where crc32(doc_id) mod 7 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, crc(F.col("doc_id")) % 7 != 2).withColumnRenamed("id", "doc_id")
+
+
+@register("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; learned from labels where crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity_model(docs, table(spark, sf_dir, "labels"), crc(F.col("doc_id")) % 4 != 2)
+    scored = score_toxicity(docs.withColumn("held_out", crc(F.col("doc_id")) % 4 == 2), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
