@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import read_back, rebuild
 from .common import crc
 from .exact_dedup import exact_dedup
 from .language import identify_language, train_language_model
@@ -106,3 +107,21 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_toxicity_model(docs, table(spark, sf_dir, "labels"), crc(F.col("doc_id")) % 4 != 2)
     scored = score_toxicity(docs.withColumn("held_out", crc(F.col("doc_id")) % 4 == 2), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op1_chat", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+e AS (SELECT *, length(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + length(role) - length(replace(role, chr(10), '')) AS r,
+  length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(4 + r + 1 + n + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, each row an event that begins a message, plus conversation -7; digests read back from the rendered text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    events = rows.unionByName(more).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
+    return read_back(rebuild(events))
