@@ -12,6 +12,7 @@ from .lm import score_texts
 from .mixing import mix_sources
 from .ngram_join import near_duplicates
 from .pieces import decoded, encode_pieces, model_path
+from .pii import KINDS, find_personal_data, train_span_model
 from .toxicity import score_toxicity, train_toxicity_model
 
 QUERIES, ORACLES = {}, {}
@@ -125,3 +126,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
     events = rows.unionByName(more).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
     return read_back(rebuild(events))
+
+
+@register("op2_pii")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the fixed patterns' spans, and all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs, train_span_model(docs)).withColumn("fixed", F.filter("spans", lambda s: s["base"]))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("fixed", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written(F.col("fixed")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
