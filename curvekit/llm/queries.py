@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .language import identify_language, train_language_model
 from .lm import score_texts
 from .mixing import mix_sources
+from .neighbours import nearest_neighbours
 from .ngram_join import near_duplicates
 from .pieces import decoded, encode_pieces, model_path
 from .pii import KINDS, find_personal_data, train_span_model
@@ -141,3 +142,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("fixed", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(written(F.col("fixed")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@register("op3_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors found for every vector whose id is divisible by 100."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
