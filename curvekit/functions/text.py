@@ -69,7 +69,7 @@ def _group_line(value: Column) -> Column:
     counts = F.when(piped, numbers_in(F.regexp_replace(F.regexp_extract(value, r"(?s)\|(.*)$", 1), r"^\s+|\s+$", ""))).otherwise(
         F.transform(F.filter(parts, lambda q: F.rlike(q, F.lit(NUMBER))), lambda q: q.try_cast("double")))
     ok = (name != "") & (F.size(counts) > 0) & ~F.exists(counts, lambda v: v.isNull())
-    return F.when(ok, F.struct(name.alias("grp"), F.transform(counts, lambda v: v.cast("bigint")).alias("counts")))
+    return F.when(ok, F.struct(name.alias("grp"), F.transform(counts, lambda v: v.try_cast("bigint")).alias("counts")))
 
 
 def parse_table_response(responses: DataFrame, image="image_id", text="text", default_step: float | None = 3.0) -> DataFrame:

@@ -52,7 +52,7 @@ def classify_rows(rows, image="image_id") -> DataFrame:
     base = F.when(c("_header"), "header").when(c("_axis"), "axis").when(data, "data").when(mostly, F.when(c("_small"), "time").otherwise("unlabeled")).otherwise("other")
     o = Ordered(r.withColumn("_k", base), image, "row_y").total(_lines=F.count("*"), _last=F.max("row_y"))
     o = o.total(_first=F.min(F.when(c("_k") == "time", c("row_y"))), _last_time=F.max(F.when((c("_k") == "time") & (c("row_y") == c("_last")), c("row_y"))),
-                _tail=F.max(F.when((c("row_y") == c("_last")) & (c("_nums") >= 3) & (c("_nums") / c("_all") > 0.7), c("row_y"))))
+                _tail=F.max(F.when((c("row_y") == c("_last")) & (c("_nums") >= 3) & (F.try_divide("_nums", "_all") > 0.7), c("row_y"))))
     chosen = F.coalesce("_last_time", "_first", "_tail")
     kind = (F.when(c("row_y") == chosen, "time").when((c("_k") == "time") & (c("row_y") == c("_first")), "other")
             .when(c("_k") == "time", "unlabeled").otherwise(c("_k")))
@@ -72,13 +72,14 @@ def parse_data_rows(rows, image="image_id") -> DataFrame:
     head = F.when(first > 0, F.slice("words", F.lit(1), (first - 1).cast("int"))).otherwise(c("words"))
     name = F.array_join(F.filter(head, lambda w: (w != "") & ~w.isin(*SEPARATORS)), " ")
     name = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(name, r"\s+", " ")), r"^[|:\-_\s]+", ""), r"[|:\-_\s]+$", "")
-    values = F.transform(F.filter("words", number), lambda w: w.try_cast("double").cast("bigint"))
+    values = F.transform(F.filter("words", number), lambda w: w.try_cast("double").try_cast("bigint"))
+    values = F.array_compact(values)  # a number that no count can have is noise
     return rows.select(image, "row_y", F.when(name != "", name).when(F.size(values) > 0, F.concat(F.lit("Group_"), F.size(values).cast("string"))).alias("grp"), values.alias("values"))
 
 
 def time_points(rows, calibration=None, image="image_id") -> DataFrame:
     """Times of each page: the numbers of its time line, else even steps over the calibrated range, else 0, 3, .. 18."""
-    nums = F.array_sort(F.transform(F.filter("words", lambda w: F.rlike(w, F.lit(NUMERIC))), lambda w: w.cast("double")))
+    nums = F.array_sort(F.transform(F.filter("words", lambda w: F.rlike(w, F.lit(NUMERIC))), lambda w: w.try_cast("double")))
     whole = F.size(F.filter("words", lambda w: F.rlike(w, F.lit(r"^\d+$"))))
     # a page has one time line
     pages = rows.groupBy(image).agg(F.max(F.when(c("kind") == "time", nums)).alias("_t"), F.min(F.when(
@@ -200,7 +201,7 @@ def _extend(anchors, plan, keys, dt, t_max) -> DataFrame:
     hi = F.when(c("_i") == c("_k") - 1, top).otherwise(F.least(top, F.ceil((c("_t2") - base) / dt) - 1))
     grid = seg.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi").select(*keys, c("t").alias("_t1"), c("s").alias("_s1"), "_t2", "_s2", base.alias("_b"), F.explode(F.sequence("_lo", "_hi")).alias("_g"))
     at = c("_b") + c("_g") * F.lit(float(dt))
-    value = c("_s1") + (c("_s2") - c("_s1")) * ((c("_at") - c("_t1")) / (c("_t2") - c("_t1")))
+    value = c("_s1") + (c("_s2") - c("_s1")) * F.try_divide(c("_at") - c("_t1"), c("_t2") - c("_t1"))
     return grid.withColumn("_at", at).select(*keys, c("_at").alias("t"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("s"))
 
 

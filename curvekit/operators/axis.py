@@ -16,8 +16,8 @@ CAL = ["x_0_pixel", "x_max_pixel", "y_0_pixel", "y_100_pixel", "time_min", "time
 def px_to_data(points, calibration, image="image_id", x="x", y="y", t="t", s="s") -> DataFrame:
     """Pixels to time and survival; percentage axes are divided by their maximum."""
     rows = attach(points, calibration.select(image, *CAL), [image])
-    per_t = (c("time_max") - c("time_min")) / (c("x_max_pixel") - c("x_0_pixel"))
-    per_s = (c("survival_max") - c("survival_min")) / (c("y_0_pixel") - c("y_100_pixel"))
+    per_t = F.try_divide(c("time_max") - c("time_min"), c("x_max_pixel") - c("x_0_pixel"))
+    per_s = F.try_divide(c("survival_max") - c("survival_min"), c("y_0_pixel") - c("y_100_pixel"))
     raw = c("survival_min") + (c("y_0_pixel") - c(y)) * per_s
     return rows.select(*points.columns, (c("time_min") + (c(x) - c("x_0_pixel")) * per_t).alias(t),
                        F.when(c("survival_max") > 1.5, raw / c("survival_max")).otherwise(raw).alias(s))
@@ -26,11 +26,11 @@ def px_to_data(points, calibration, image="image_id", x="x", y="y", t="t", s="s"
 def data_to_px(points, calibration, image="image_id", t="t", s="s", x="px", y="py") -> DataFrame:
     """The inverse, cut to whole pixels."""
     rows = attach(points, calibration.select(image, *CAL), [image])
-    per_t = (c("time_max") - c("time_min")) / (c("x_max_pixel") - c("x_0_pixel"))
-    per_s = (c("survival_max") - c("survival_min")) / (c("y_0_pixel") - c("y_100_pixel"))
+    per_t = F.try_divide(c("time_max") - c("time_min"), c("x_max_pixel") - c("x_0_pixel"))
+    per_s = F.try_divide(c("survival_max") - c("survival_min"), c("y_0_pixel") - c("y_100_pixel"))
     value = F.when(c("survival_max") > 1.5, c(s) * c("survival_max")).otherwise(c(s))
-    return rows.select(*points.columns, (c("x_0_pixel") + (c(t) - c("time_min")) / per_t).cast("int").alias(x),
-                       (c("y_0_pixel") - (value - c("survival_min")) / per_s).cast("int").alias(y))
+    return rows.select(*points.columns, (c("x_0_pixel") + F.try_divide(c(t) - c("time_min"), per_t)).try_cast("int").alias(x),
+                       (c("y_0_pixel") - F.try_divide(value - c("survival_min"), per_s)).try_cast("int").alias(y))
 
 
 def clip_points(points, t_max, t="t", s="s", slack=0.5) -> DataFrame:
@@ -86,12 +86,12 @@ def correct_axis_labels(labels, filtered=True, image="image_id") -> DataFrame:
         near = (c("_gap") > 0.5 * c("_med")) & (c("_gap") < 2 * c("_med"))
         step = attach(gaps, med, [image]).groupBy(image).agg(F.coalesce(F.avg(F.when(near, c("_gap"))), F.avg("_gap")).alias("_step"))
     else:
-        step = rows.groupBy(image).agg(((F.max("px") - F.min("px")) / (F.count("*") - 1)).alias("_step"))
+        step = rows.groupBy(image).agg(F.try_divide(F.max("px") - F.min("px"), F.count("*") - 1).alias("_step"))
     plan = attach(attach(st, small, [image]), step, [image])
     again = F.coalesce(c("_dup"), F.lit(False))
     plan = plan.where((c("_n") >= 2) & c("_zero_px").isNotNull() & c("_step").isNotNull() & (((c("_zeros") > 1) | again) if filtered else again))
     out = attach(rows, plan.select(image, "_zero_px", "_step"), [image])
-    steps = F.rint((c("_zero_px") - c("px")) / c("_step")) * 25
+    steps = F.rint(F.try_divide(c("_zero_px") - c("px"), c("_step"))) * 25
     fixed = F.greatest(F.lit(0.0), F.least(F.lit(100.0), steps))
     if not filtered:
         fixed = F.when(zero, 0.0).otherwise(fixed)
@@ -121,17 +121,17 @@ def x_anchors(labels, lines, t_max="t_max", image="image_id") -> DataFrame:
     # the last label by value, the lowest px first among equals
     all_ = attach(attach(lines, st, [image]), _ends(labels, image), [image])
     last_p = c("q1")
-    unit = (c("p2") - c("p1")) / (c("v2") - c("v1"))
+    unit = F.try_divide(c("p2") - c("p1"), c("v2") - c("v1"))
     far = F.when((c("_n") >= 2) & (c("v1") > 0) & (c("v2") != c("v1")), c("p1") - c("v1") * unit)
     x0 = F.coalesce("_zero", F.when(far >= 0, far.cast("int")), "y_axis_x").cast("int")
     all_ = all_.withColumn("x_0_pixel", x0)
     tm = c(t_max)
-    span = (last_p - c("p1")) / (c("w1") - c("v1"))
+    span = F.try_divide(last_p - c("p1"), c("w1") - c("v1"))
     many = (F.when(c("_hit").isNotNull(), F.struct(c("_hit").cast("int").alias("x"), tm.alias("t")))
             .when((c("_rv") < tm) & (c("w1") != c("v1")), F.struct((c("p1") + (tm - c("v1")) * span).cast("int").alias("x"), tm.alias("t")))
             .otherwise(F.struct(c("_rp").cast("int").alias("x"), c("_rv").alias("t"))))
     line = F.struct(c("x_axis_end").cast("int").alias("x"), tm.alias("t"))
-    reach = c("x_0_pixel") + tm * ((c("p1") - c("x_0_pixel")) / c("v1"))
+    reach = c("x_0_pixel") + tm * F.try_divide(c("p1") - c("x_0_pixel"), c("v1"))
     one = F.when((c("v1") > 0) & (c("p1") > c("x_0_pixel")) & (reach >= c("x_axis_end") * 0.7), F.struct(reach.cast("int").alias("x"), tm.alias("t"))).otherwise(line)
     end = F.when(c("_n") >= 2, many).when(c("_n") == 1, one).otherwise(line)
     return all_.withColumn("_e", end).select(image, "x_0_pixel", c("_e.x").alias("x_max_pixel"), c("_e.t").cast("double").alias("label_time_max"))
@@ -147,7 +147,7 @@ def y_anchors(labels, lines, image="image_id") -> DataFrame:
                                    F.min(F.when((F.abs(v - 100) < 1) | (F.abs(v - 1) < 0.05), c("px"))).alias("_hit"),
                                    F.min(F.struct((-v).alias("a"), c("px").alias("p"))).getField("p").alias("_hp"))
     rows = attach(lines, st, [image])
-    far = F.when((c("_n") >= 2) & (c("_top") > 0), c("_zero") - 100 * ((c("_zero") - c("_hp")) / c("_top")))
+    far = F.when((c("_n") >= 2) & (c("_top") > 0), c("_zero") - 100 * F.try_divide(c("_zero") - c("_hp"), c("_top")))
     return rows.select(image, F.coalesce("_zero", "x_axis_y").cast("int").alias("y_0_pixel"),
                        F.coalesce("_hit", F.when(far >= 0, far.cast("int")), "y_axis_top").cast("int").alias("y_100_pixel"),
                        F.when(c("_top") > 1.5, 100.0).otherwise(1.0).alias("survival_max"))
@@ -199,10 +199,10 @@ def expand_bounds(bounds, traced, image="image_id", x="x", beyond=20, ratio=1.5)
     (time_min, time_max) grows in proportion."""
     ext = traced.groupBy(image).agg(F.min(x).alias("_a"), F.max(x).alias("_b"))
     rows = attach(bounds, ext, [image])
-    wide = (c("_b") > c("px") + c("pw") + beyond) | ((c("_b") - c("_a")) / c("pw") > ratio)
+    wide = (c("_b") > c("px") + c("pw") + beyond) | (F.try_divide(c("_b") - c("_a"), c("pw")) > ratio)
     nx = F.greatest(F.lit(0), c("_a") - 10)
     rows = rows.withColumns({"_wide": F.coalesce(wide, F.lit(False)), "_nx": nx}).withColumn("_nw", c("_b") - c("_nx") + 10)
-    end = c("time_min") + (c("time_max") - c("time_min")) * (c("_nw") / c("pw"))
+    end = c("time_min") + (c("time_max") - c("time_min")) * F.try_divide("_nw", "pw")
     return rows.select(image, F.when(c("_wide"), c("_nx")).otherwise(c("px")).cast("int").alias("px"), "py", F.when(c("_wide"), c("_nw")).otherwise(c("pw")).cast("int").alias("pw"), "ph",
                        "time_min", F.when(c("_wide"), end).otherwise(c("time_max")).alias("time_max"), c("_wide").alias("expanded"))
 
@@ -274,12 +274,12 @@ def calibrate_from_labels(x_labels, y_labels, basic, time_max=None, least=50, im
         F.min(F.struct((-v).alias("a"), c("px").alias("p"))).alias("_fh"))
     raws = _ends(fixed.select(image, raw.alias("value"), "px"), image).select(image, c("w1").alias("r1"), c("q1").alias("s1"), c("w2").alias("r2"), c("q2").alias("s2"))
     rows = attach(attach(attach(attach(attach(basic, xs, [image]), ends, [image]), ys, [image]), raws, [image]), infer_percent_scale(fixed, image).select(image, c("survival_max").alias("_sm")), [image])
-    far = c("p1") - c("v1") * ((c("p2") - c("p1")) / (c("v2") - c("v1")))
+    far = c("p1") - c("v1") * F.try_divide(c("p2") - c("p1"), c("v2") - c("v1"))
     x0 = F.coalesce("_x0", F.when((c("_nx") >= 2) & (c("v1") > 0) & (F.abs(c("v2") - c("v1")) > 0.001) & (far < c("p1")) & (far >= 0), far.cast("int")), "x_0_pixel")
     y0 = F.coalesce("_y0", "y_0_pixel")
     high = -c("_fh.a")
     ext1 = F.when((c("_ny") >= 2) & (high > 0), c("_fz") - 100 * ((c("_fz") - c("_fh.p")) / high))
-    unit = (c("s2") - c("s1")) / (c("r1") - c("r2"))
+    unit = F.try_divide(c("s2") - c("s1"), c("r1") - c("r2"))
     ext2 = F.when((c("_ny") >= 2) & (c("r1") != c("r2")), c("s1") - (F.when(c("r1") > 1.5, 100.0).otherwise(1.0) - c("r1")) * unit)
     y1 = F.coalesce("_h1", "_h2", "_h3", "_h4", F.when(ext1 >= 0, ext1.cast("int")), F.when(ext2 >= 0, ext2.cast("int")), "y_100_pixel")
     xe = F.coalesce("_xr", "x_max_pixel")

@@ -22,9 +22,9 @@ KEYS = ["image_id", "curve_id"]
 def to_pixels(points, calibration, t="t", s="s") -> DataFrame:
     """Whole-pixel positions px, py of (t, s)."""
     rows = attach(points, calibration, ["image_id"])
-    px = c("x_0_pixel") + (c(t) - c("time_min")) / (c("time_max") - c("time_min")) * (c("x_max_pixel") - c("x_0_pixel"))
+    px = c("x_0_pixel") + F.try_divide(c(t) - c("time_min"), c("time_max") - c("time_min")) * (c("x_max_pixel") - c("x_0_pixel"))
     py = c("y_100_pixel") + (1.0 - c(s)) * (c("y_0_pixel") - c("y_100_pixel"))
-    return rows.select(*points.columns, px.cast("int").alias("px"), py.cast("int").alias("py"))
+    return rows.select(*points.columns, px.try_cast("int").alias("px"), py.try_cast("int").alias("py"))
 
 
 def pixel_errors(points, calibration, pixels, images, radius=15, dark=128, t="t", s="s") -> DataFrame:
@@ -98,7 +98,7 @@ def dense_grid(points, calibration, mask, every=2, t="t", s="s") -> DataFrame:
     cols = attach(points.select(*KEYS).distinct(), cal, ["image_id"]).where(c("x_0_pixel").isNotNull())
     w = c("x_max_pixel") - c("x_0_pixel")
     cols = cols.select("*", F.explode(F.sequence(c("x_0_pixel"), c("x_max_pixel") - 1, F.lit(every))).alias("x"))
-    cols = cols.withColumn("t", c("time_min") + (c("x") - c("x_0_pixel")) / w * (c("time_max") - c("time_min")))
+    cols = cols.withColumn("t", c("time_min") + F.try_divide(c("x") - c("x_0_pixel"), w) * (c("time_max") - c("time_min")))
     value = asof_step(points.select(*KEYS, c(t).alias("t"), c(s).alias("s")), cols.select(*KEYS, "t"), KEYS)
     rows = attach(cols, value, KEYS + ["t"]).where(c("s").isNotNull())
     rows = rows.withColumn("y", (c("y_100_pixel") + (1.0 - c("s")) * (c("y_0_pixel") - c("y_100_pixel"))).cast("int"))
@@ -126,5 +126,5 @@ def dense_match(points, calibration, mask, every=2, close_open=False) -> dict[st
     steps = find_steps(points.select(*KEYS, "t", "s"), KEYS).groupBy(*KEYS).agg(F.count("*").alias("steps"))
     st = grid.groupBy(*KEYS).agg(F.count("*").alias("total"), F.count_if(F.abs("offset") <= 5).alias("matched"), F.coalesce(F.avg("offset"), F.lit(0.0)).alias("avg_offset"),
                                  F.coalesce(F.max(F.abs("offset")), F.lit(0)).alias("max_offset"))
-    st = attach(st, steps, KEYS).withColumns({"steps": F.coalesce("steps", F.lit(0)), "match_rate": c("matched") / c("total")})
+    st = attach(st, steps, KEYS).withColumns({"steps": F.coalesce("steps", F.lit(0)), "match_rate": F.try_divide("matched", "total")})
     return {"summary": st, "offset_regions": regions, "missing_steps": missing}

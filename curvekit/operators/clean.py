@@ -75,7 +75,7 @@ def rescale_to_one(points: DataFrame, key="curve_id", t="t", s="s", low=0.1, hig
 
 def _rescaled(o: Ordered, s, low=0.1, high=0.95) -> Ordered:
     fix = (F.col("_top") > low) & (F.col("_top") < high)
-    value = F.when(fix, F.least(F.lit(1.0), F.col(s) * (1.0 / F.col("_top")))).otherwise(F.col(s))
+    value = F.when(fix, F.least(F.lit(1.0), F.col(s) * F.try_divide(F.lit(1.0), F.col("_top")))).otherwise(F.col(s))
     return o.with_columns(**{s: value}).select(*[c for c in o.df.columns if c != "_top"])
 
 
@@ -170,8 +170,8 @@ def truncate_anomalous_tail(traced: DataFrame, key="curve_id", x="x", y="y", plo
     rx, ry = F.when(in_ref, F.col(x)), F.when(in_ref, F.col(y))
     o = o.total(_y0=F.min_by(y, rx), _y1=F.max_by(y, rx), _x0=F.min(rx), _x1=F.max(rx), _lo=F.min(ry), _hi=F.max(ry))
     slope = F.when(F.col("_x1") != F.col("_x0"),
-                   (F.col("_y1") - F.col("_y0")) / (F.col("_x1") - F.col("_x0"))).otherwise(0.0)
-    local = (F.col("_y2") - F.col(y)) / (F.col("_x2") - F.col(x))
+                   F.try_divide(F.col("_y1") - F.col("_y0"), F.col("_x1") - F.col("_x0"))).otherwise(0.0)
+    local = F.try_divide(F.col("_y2") - F.col(y), F.col("_x2") - F.col(x))
     slack = F.greatest(F.lit(20.0), (F.col("_hi") - F.col("_lo")) * 2)
     back = F.col("_y2").between(F.col("_lo") - slack, F.col("_hi") + slack)
     steep = F.when(slope > 0, local > slope * 5).when(slope <= 0.01, local > plot_h * 0.10).otherwise(False)
@@ -206,9 +206,9 @@ def fill_linear(traced: DataFrame, key="curve_id", x="x", y="y") -> DataFrame:
     """Every x between a curve's first and last, linearly interpolated; `present` tells the measured ones."""
     keys = as_list(key)
     o = Ordered(traced.select(*keys, x, y), keys, x).lead(_x2=x, _y2=y)
-    grid = F.sequence(F.col(x), F.coalesce(F.col("_x2") - 1, F.col(x)))
+    grid = F.sequence(F.col(x), F.greatest(F.coalesce(F.col("_x2") - 1, F.col(x)), F.col(x)))  # a repeated x gives its own row
     rows = o.df.select(*keys, F.col(x).alias("_x1"), F.col(y).cast("double").alias("_y1"), "_x2", "_y2", F.explode(grid).alias(x))
-    share = (F.col(x) - F.col("_x1")) / (F.col("_x2") - F.col("_x1"))
+    share = F.try_divide(F.col(x) - F.col("_x1"), F.col("_x2") - F.col("_x1"))
     value = F.when(F.col(x) == F.col("_x1"), F.col("_y1")).otherwise(F.col("_y1") + (F.col("_y2") - F.col("_y1")) * share)
     return rows.select(*keys, x, value.alias(y), (F.col(x) == F.col("_x1")).alias("present"))
 
@@ -289,7 +289,7 @@ def resample(points: DataFrame, key="curve_id", t="t", s="s", step=0.5, t_max=No
     ks = F.when(lo <= hi, F.sequence(lo, hi))
     rows = o.df.where(F.col("_n") > 1).select(*keys, F.col(t).alias("_t1"), F.col(s).alias("_s1"), "_t2", "_s2",
                                               F.explode(ks).alias("_k")).withColumn(t, F.col("_k") * F.lit(float(step)))
-    share = (F.col(t) - F.col("_t1")) / (F.col("_t2") - F.col("_t1"))
+    share = F.try_divide(F.col(t) - F.col("_t1"), F.col("_t2") - F.col("_t1"))
     value = F.when((F.col(t) <= F.col("_t1")) | F.col("_t2").isNull(), F.col("_s1")).otherwise(
         F.col("_s1") + (F.col("_s2") - F.col("_s1")) * share)
     return rows.select(*keys, t, value.alias(s)).unionByName(o.df.where(F.col("_n") == 1).select(*keys, t, s))

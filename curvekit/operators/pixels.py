@@ -125,7 +125,7 @@ def image_profile(pixels, images, image="image_id") -> DataFrame:
     st = pixels.groupBy(image).agg(F.sum("s").alias("_s"), F.count_if(F.col("s") > 50).alias("_k"))
     rows = attach(images.select(image, "width", "height"), st, [image]).na.fill(0, ["_s", "_k"])
     size = F.col("width") * F.col("height")
-    aspect = F.col("width") / F.col("height")
+    aspect = F.try_divide("width", "height")
     return rows.select(image, "width", "height", (F.col("_s") / size < 30).alias("grayscale"),
                        (F.col("_k") / size * 100).alias("colored_pct"), aspect.alias("aspect"),
                        F.when(aspect > 1.5, "wide").when(aspect < 0.8, "tall").otherwise("standard").alias("shape"))
@@ -135,7 +135,7 @@ def is_grayscale(pixels, images, limit=30, image="image_id") -> DataFrame:
     """Mean saturation over all cells below `limit`."""
     st = pixels.groupBy(image).agg(F.sum("s").alias("_s"))
     rows = attach(images.select(image, "width", "height"), st, [image])
-    return rows.select(image, (F.coalesce(F.col("_s"), F.lit(0)) / (F.col("width") * F.col("height")) < limit).alias("grayscale"))
+    return rows.select(image, (F.try_divide(F.coalesce(F.col("_s"), F.lit(0)), F.col("width") * F.col("height")) < limit).alias("grayscale"))
 
 
 def is_color(pixels, images, threshold=0.005, image="image_id") -> DataFrame:
@@ -143,7 +143,7 @@ def is_color(pixels, images, threshold=0.005, image="image_id") -> DataFrame:
     colored = (F.col("s") > 50) & (F.col("v") > 30) & (F.col("v") < 250)
     st = pixels.groupBy(image).agg(F.count_if(colored).alias("_k"))
     rows = attach(images.select(image, "width", "height"), st, [image])
-    ratio = F.coalesce(F.col("_k"), F.lit(0)) / (F.col("width") * F.col("height"))
+    ratio = F.try_divide(F.coalesce(F.col("_k"), F.lit(0)), F.col("width") * F.col("height"))
     rows = rows.select(image, ratio.alias("ratio"))
     unsure = rows.where((F.col("ratio") > 0.001) & (F.col("ratio") <= threshold)).select(image)
     palette = _peaks(pixels.join(unsure, image, "left_semi"), 50, 4, image)

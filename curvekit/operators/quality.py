@@ -74,7 +74,7 @@ def early_zero(points, key="curve_id", t="t", s="s", share=0.3, t_max=None) -> D
     end = F.max(t) if t_max is None else F.lit(float(t_max))
     z = points.groupBy(*keys).agg(F.min(F.when(F.col(s) < 0.01, F.col(t))).alias("z"), end.alias("e"))
     text = F.concat(F.lit("Curve reaches zero at time "), num(F.col("z")), F.lit(", which is only "),
-                    pct(F.col("z") / F.col("e")), F.lit(" of the time range"))
+                    F.coalesce(pct(F.try_divide("z", "e")), F.lit("0%")), F.lit(" of the time range"))
     return z.where(F.col("z") < F.col("e") * share).select(*issue(keys, "early_zero", "critical", text, F.col("z"), F.col("e")))
 
 
@@ -149,7 +149,7 @@ def all_issues(points, key="curve_id", t="t", s="s", curves=None, strict=False,
         one(F.col("neg") > 0, "negative_time", "error", say("Found ", F.col("neg"), " points with negative time"), F.col("neg_lo"), F.col("neg_hi")),
         one(F.col("out") > 0, "survival_out_of_range", "error", say("Found ", F.col("out"), " points with survival outside [0,1]")),
         one(F.col("zero_t") < end * share, "early_zero", "critical",
-            say("Curve reaches zero at time ", num(F.col("zero_t")), ", which is only ", pct(F.col("zero_t") / end), " of the time range"),
+            say("Curve reaches zero at time ", num(F.col("zero_t")), ", which is only ", F.coalesce(pct(F.try_divide("zero_t", end)), F.lit("0%")), " of the time range"),
             F.col("zero_t"), end),
         one(F.col("zero") > 0.5, "flat_region", "critical", say(pct(F.col("zero")), " of curve points are at zero")),
         one(F.col("_h").isNotNull(), "reference_line_contamination", "error",

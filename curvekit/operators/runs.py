@@ -152,8 +152,8 @@ def axis_candidates(dark, images, max_gap=3, longest=False) -> DataFrame:
     h = attach(runs(dark, "row", max_gap), dims, ["image_id"])
     v = attach(runs(dark, "col", max_gap), dims, ["image_id"])
     size = F.col("end") - F.col("start")
-    hs = (size / F.col("width") + F.col("line") / F.col("height")) / 2
-    vs = (size / F.col("height") + 1 - F.col("line") / F.col("width")) / 2
+    hs = (F.try_divide(size, F.col("width")) + F.try_divide("line", "height")) / 2
+    vs = (F.try_divide(size, F.col("height")) + 1 - F.try_divide("line", "width")) / 2
     pick = lambda score: F.max(F.struct((size if longest else score).cast("double").alias("score"), "line", "start", "end"))
     xa = h.where((F.col("line") >= F.col("height") * 0.4) & (size >= F.col("width") * 0.3)).groupBy("image_id").agg(pick(hs).alias("_x"))
     ya = v.where((F.col("line") <= F.col("width") * 0.4) & (size >= F.col("height") * 0.5)).groupBy("image_id").agg(pick(vs).alias("_y"))
@@ -499,7 +499,7 @@ def panel_start(pixels, images, bounds) -> DataFrame:
     cells of the upper 60% lie within 30 rows, and the darkest label column near it."""
     rows = attach(images.select("image_id", "width", "height"), bounds, ["image_id"])
     mid = F.floor(c("width") / 2)
-    wide = rows.where((c("width") / c("height") >= 1.5) & (c("px") + c("pw") <= mid + 50))
+    wide = rows.where((F.try_divide("width", "height") >= 1.5) & (c("px") + c("pw") <= mid + 50))
     top = attach(pixels, wide.select("image_id", "py", "ph", "width", "height"), ["image_id"]).where(c("py").isNotNull())
     area = top.where((c("s") > 40) & (c("v") > 40) & (c("v") < 250) & (c("y") >= c("py")) & (c("y") < c("py") + F.floor(c("ph") * 0.6))
                      & (c("x") >= F.floor(c("width") / 2) + 50))
@@ -534,8 +534,8 @@ def line_style(traced, key="curve_id", x="x", present="present") -> DataFrame:
     o = Ordered(ons, keys, "_x").lag(_before="_long")
     alt = o.df.groupBy(*keys).agg(F.count_if(c("_before") != c("_long")).alias("_alt"))
     st = attach(st, alt, keys)
-    ratio = c("_p") / c("_t")
-    regular = (c("_son") / c("_aon") < 0.5) & (c("_soff") / c("_aoff") < 0.5)
+    ratio = F.try_divide("_p", "_t")
+    regular = (F.try_divide("_son", "_aon") < 0.5) & (F.try_divide("_soff", "_aoff") < 0.5)
     say = lambda s, q: F.struct(F.lit(s).alias("style"), (q if isinstance(q, Column) else F.lit(q)).alias("confidence"))
     both = (c("_kon") > 0) & (c("_koff") > 0)
     style = (F.when(c("_t") < 5, say("unknown", 0.3)).when(ratio > 0.85, say("solid", 0.9))
@@ -567,7 +567,7 @@ def dash_score(traced, pixels, image="image_id", key="curve_id", x="x", y="y", b
     for part in (gaps, segs, wide):
         st = attach(st, part, keys)
     n = F.coalesce(c("gaps"), F.lit(0))
-    cv = c("_gs") / c("_ga")
+    cv = F.try_divide("_gs", "_ga")
     reg = F.when(n >= 3, F.when(cv < 0.5, 1.0).when(cv < 1.0, 0.5).otherwise(0.0)).otherwise(0.0)
     score = (F.when(n >= 10, 4).when(n >= 6, 3).when(n >= 3, 2).otherwise(0) + F.when((reg >= 0.5) & (n >= 3), 2).otherwise(0)
              + F.when((n >= 2) & c("_ga").between(4, 20), 1).otherwise(0) + F.when(c("dark") < 0.80, 1).otherwise(0)

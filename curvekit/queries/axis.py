@@ -181,7 +181,7 @@ def c11(spark, sf):
 
 @query("c12_expand_bounds", with_(r.PIXELS, DARKS, r.BOUNDS) + """, b AS (SELECT image_id, CAST(px + image_id AS INTEGER) AS px, py, CAST(20 + image_id * 3 AS INTEGER) AS pw, ph, 0e0 AS time_min, 24e0 AS time_max FROM bounds), e AS (SELECT image_id, min(x) AS a, max(x) AS b FROM darks GROUP BY 1),
     w AS (SELECT *, e.b > px + pw + 20 OR (e.b - e.a) / pw > 1.5e0 AS wide, greatest(0, e.a - 10) AS nx FROM b LEFT JOIN e USING (image_id))
-    SELECT image_id, CASE WHEN wide THEN nx ELSE px END AS px, py, CASE WHEN wide THEN b - nx + 10 ELSE pw END AS pw, ph, time_min, CASE WHEN wide THEN time_min + (time_max - time_min) * ((b - nx + 10) / pw) ELSE time_max END AS time_max, wide AS expanded FROM w""", "time_max")
+    SELECT image_id, CASE WHEN wide THEN nx ELSE px END AS px, py, CASE WHEN wide THEN b - nx + 10 ELSE pw END AS pw, ph, time_min, CASE WHEN wide THEN time_min + (time_max - time_min) * ((b - nx + 10) / pw) ELSE time_max END AS time_max, coalesce(wide, false) AS expanded FROM w""", "time_max")
 def c12(spark, sf):
     b = r.bounds(spark, sf).withColumns({"px": (F.col("px") + F.col("image_id")).cast("int"), "pw": (20 + F.col("image_id") * 3).cast("int"), "time_min": F.lit(0.0), "time_max": F.lit(24.0)})
     return a.expand_bounds(b, darks(spark, sf))

@@ -50,11 +50,11 @@ def j01(spark, sf):
 def uneven(spark, sf):
     """Pairs where curve R misses every seventh month and both agree until month 30."""
     p = v.pair(spark, sf)
-    near = F.when(F.col("t") < 30, 0.9 - F.col("t") * 1e-3 + F.col("s") * 1e-3).otherwise(F.col("s"))
+    near = F.when(F.col("t") < 30, 0.9 - F.col("t") * 1e-3 + F.floor(F.col("s") * 1e3) * 1e-6).otherwise(F.col("s"))
     return p.where((F.col("style") != "R") | (F.col("t") % 7 != 3)).withColumn("s", near)
 
 
-UNEVEN = """uneven AS (SELECT image_id, style, t, CASE WHEN t < 30 THEN 0.9e0 - t * 1e-3 + s * 1e-3 ELSE s END AS s FROM pair WHERE style <> 'R' OR t % 7 <> 3)"""
+UNEVEN = """uneven AS (SELECT image_id, style, t, CASE WHEN t < 30 THEN 0.9e0 - t * 1e-3 + floor(s * 1e3) * 1e-6 ELSE s END AS s FROM pair WHERE style <> 'R' OR t % 7 <> 3)"""
 UWIDE = WIDE.replace("FROM pair", "FROM uneven").replace("wide AS", "uwide AS")
 UDIV = """udiv AS (SELECT image_id, count(*) AS common, coalesce(min(t) FILTER (abs(y1 - y2) > {thr}), {none}) AS t_div FROM uwide
     WHERE y1 IS NOT NULL AND y2 IS NOT NULL GROUP BY 1)"""

@@ -94,9 +94,9 @@ def p11(spark, sf):
 
 
 @query("p12_content_bbox", PXI + """SELECT image_id, coalesce(greatest(0, a - 5), 0) AS x1, coalesce(least(width, b + 6), width) AS x2, coalesce(greatest(0, c - 5), 0) AS y1,
-    coalesce(least(height, d + 6), height) AS y2 FROM images LEFT JOIN (SELECT image_id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM pixels WHERE gray < 100 AND x > 20 GROUP BY 1) USING (image_id)""")
+    coalesce(least(height, d + 6), height) AS y2 FROM images LEFT JOIN (SELECT image_id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM pixels WHERE gray < 100 GROUP BY 1) USING (image_id)""")
 def p12(spark, sf):
-    return p.content_bbox(r.pixels(spark, sf).where("x > 20"), r.images(spark, sf), white=100)
+    return p.content_bbox(r.pixels(spark, sf), r.images(spark, sf), white=100)
 
 
 @query("p13_image_profile", PXI + """SELECT image_id, width, height, coalesce(ss, 0) / (width * height) < 30 AS grayscale, coalesce(k, 0) / (width * height) * 100 AS colored_pct,

@@ -63,7 +63,7 @@ def w04(spark, sf):
     return w.cluster_axis_adaptive(darks(spark, sf), 4)
 
 
-NARROW = "darks AS (SELECT image_id, x, y FROM pixels WHERE gray < 120 AND y < 9)"
+NARROW = "darks AS (SELECT image_id, x, y FROM pixels WHERE gray < 120)"
 
 
 @query("w05_cluster_with_style", with_(r.PIXELS, NARROW) + ", " + ADAPT.format(k=2) + """, sd AS (SELECT *, (x + y) % 3 = 0 AS d FROM gd),
@@ -73,7 +73,7 @@ NARROW = "darks AS (SELECT image_id, x, y FROM pixels WHERE gray < 120 AND y < 9
         WHEN n >= 4 AND span >= 4 AND h THEN CASE WHEN y <= mid THEN 'a' ELSE 'b' END ELSE '1' END AS part FROM sc JOIN hv USING (image_id, x))
     SELECT image_id, x, part, median(y) AS center, count(*) AS cells FROM pt GROUP BY 1, 2, 3""", "center")
 def w05(spark, sf):
-    d = r.pixels(spark, sf).where("gray < 120 and y < 9").select("image_id", "x", "y")
+    d = r.pixels(spark, sf).where("gray < 120").select("image_id", "x", "y")
     return w.cluster_with_style(d, d.where((F.col("x") + F.col("y")) % 3 == 0))
 
 

@@ -24,15 +24,15 @@ def scan_images(spark: SparkSession, path: str, types=IMAGE_TYPES) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Spark's image rows with the file name as image_id."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select(F.col("image.origin").alias("image_id"), "image.*")
+    """Spark's image rows with the file name as image_id; `readable` is false for files that cannot be decoded (height and width are then -1)."""
+    return spark.read.format("image").option("dropInvalid", "false").load(path).select(F.col("image.origin").alias("image_id"), "image.*", (F.col("image.height") > 0).alias("readable"))
 
 
 def read_pixels(images: DataFrame, key="image_id", white=250, bounds: tuple | None = None) -> DataFrame:
     """Pixel rows of image rows (height, width, nChannels, data), without near-white ones.
 
     `bounds` (x, y, w, h) and `white` are applied while the bytes are unpacked, so only useful pixels leave the mapper.
-    A picture is sent on in slices of rows.
+    A picture is sent on in slices of rows; one that could not be decoded has no pixels.
     """
     schema = T.StructType([images.schema[key]] + [T.StructField(n, T.IntegerType()) for n in ("x", "y", "b", "g", "r")])
     arrow = to_arrow_schema(schema)
@@ -43,6 +43,8 @@ def read_pixels(images: DataFrame, key="image_id", white=250, bounds: tuple | No
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i] for n in batch.schema.names}
                 h, w, n = row["height"].as_py(), row["width"].as_py(), row["nChannels"].as_py()
+                if not h or h < 0 or row["data"].as_py() is None:
+                    continue  # not decoded; read_images reports it
                 data = np.frombuffer(row["data"].as_py(), np.uint8).reshape(h, w, n)
                 for top in range(0, h, 256):
                     part = data[top:top + 256]
@@ -94,10 +96,10 @@ def read_at_risk_wide(spark: SparkSession, path: str) -> DataFrame:
 def parse_grid(rows: DataFrame, key="table_id", row="row_no", cells="cells") -> DataFrame:
     """Cells of generic tables: times from the first row's readable cells, groups from the first column of the others."""
     keys = as_list(key)
-    wide = rows.select(*keys, row, F.col(cells).getItem(0).alias("_name"), F.posexplode(cells).alias("pos", "cell")).where("pos > 0")
+    wide = rows.select(*keys, row, F.get(F.col(cells), F.lit(0)).alias("_name"), F.posexplode(cells).alias("pos", "cell")).where("pos > 0")
     head = wide.where(F.col(row) == 0).select(*keys, "pos", F.trim("cell").try_cast("double").alias("t")).where("t is not null")
     body = wide.where((F.col(row) > 0) & (F.trim("_name") != "") & ~F.lower(F.trim("_name")).isin("time", "months", "number at risk"))
-    body = body.withColumn("n", F.trim("cell").try_cast("double").cast("bigint")).where("n is not null")
+    body = body.withColumn("n", F.trim("cell").try_cast("double").try_cast("bigint")).where("n is not null")
     got = attach(body, head, keys + ["pos"]).where("t is not null")
     # a group named twice keeps its last row
     return got.groupBy(*keys, F.trim("_name").alias("grp"), "t").agg(F.max(F.struct(row, "n")).getField("n").alias("n"))
