@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..ordered import Ordered
 from ..runtime import as_list, attach
-from .joins import first_match, fuzzy_pairs, nearest
+from .joins import first_similar, nearest
 from .runs import group_tokens_by_row
 
 c = F.col
@@ -288,11 +288,12 @@ def reconcile_tables(first, second, confidence, rules="fill", image="image_id")
 
     confidence: the second source's (image_id, confidence). "fill": missing cells come in above 0.6, cells that differ by over
     30% are replaced above 0.8, unmatched groups are added above 0.7. "check": replaced over 20% above 0.8, added above 0.7,
-    nothing filled.
+    nothing filled. A group of the second source goes to the first similar one, in the order of the first source's column `seq` if it has one.
     """
     fill, part = (0.6, 0.3) if rules == "fill" else (2.0, 0.2)
-    pairs = fuzzy_pairs(first.select(image, c("grp").alias("a")), second.select(image, c("grp").alias("b")), image, "a", "b")
-    match = first_match(pairs, image, "a", "b").select(image, c("b").alias("grp"), c("a").alias("_to"))
+    seq = "seq" if "seq" in first.columns else None
+    names = first.select(image, c("grp").alias("a"), *([c("seq")] if seq else []))
+    match = first_similar(names, second.select(image, c("grp").alias("b")), image, "a", "b", seq).select(image, c("b").alias("grp"), c("a").alias("_to"))
     rows = attach(attach(second.select(image, "grp", "t", c("n").alias("_n2")), match, [image, "grp"]), confidence.select(image, c("confidence").alias("_q")), [image])
     added = rows.where(c("_to").isNull() & (c("_q") > 0.7)).select(image, "grp", "t", c("_n2").alias("n"))
     hits = rows.where(c("_to").isNotNull()).groupBy(image, c("_to").alias("grp"), "t").agg(F.max(F.struct("grp", "_n2", "_q")).alias("_r"))

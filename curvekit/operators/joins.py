@@ -213,6 +213,24 @@ def fuzzy_pairs(left, right, image="image_id", a="name_a", b="name_b") -> DataFr
     return pairs.distinct()
 
 
+def first_similar(left, right, image="image_id", a="name_a", b="name_b", order: str | None = None) -> DataFrame:
+    """For each b of `right` the first similar a of `left` (by the column `order` of `left`, then by name), similar as in `fuzzy_pairs`.
+
+    Both sides are reduced to the first name of each join key before they meet, so no pairs of names are made: a key gives one row for each b.
+    """
+    bare = lambda n: F.regexp_replace(F.lower(F.col(n)), "[^a-z0-9]", "")
+    starts = lambda n: F.when(F.length(bare(n)) >= 4, F.array(F.substring(bare(n), 1, 4))).otherwise(F.array().cast("array<string>"))
+    tagged = lambda tag, keys: F.transform(keys, lambda k: F.concat(F.lit(tag), k))
+    seq = F.lit(0) if order is None else F.col(order)
+    la = left.select(image, F.struct(seq.alias("seq"), F.col(a).alias("name")).alias("_first"),
+                     F.explode(F.array_distinct(F.concat(tagged("w", _name_keys(F.col(a), True)), tagged("s", _name_keys(F.col(a), False)), tagged("t", starts(a))))).alias("_k"))
+    la = la.groupBy(image, "_k").agg(F.min("_first").alias("_first"))
+    rb = right.select(F.col(image).alias("_img"), b).distinct().select(
+        "_img", b, F.explode(F.array_distinct(F.concat(tagged("w", _name_keys(F.col(b), False)), tagged("s", _name_keys(F.col(b), True)), tagged("t", starts(b))))).alias("_kb"))
+    met = la.join(rb, [F.col(image).eqNullSafe(F.col("_img")), F.col("_k") == F.col("_kb")])
+    return met.groupBy(image, b).agg(F.min("_first").getField("name").alias(a))
+
+
 def first_match(pairs, image="image_id", a="name_a", b="name_b") -> DataFrame:
     """For each b the first similar a by name."""
     return pairs.groupBy(image, b).agg(F.min(a).alias(a))

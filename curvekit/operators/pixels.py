@@ -6,6 +6,7 @@ or width, and a large image still spreads over its columns.
 """
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,20 +68,36 @@ def dark_pixels(pixels, threshold=128, channels=False) -> DataFrame:
     return pixels.where(F.col("gray") < threshold)
 
 
-def adaptive_dark(pixels, block=15, offset=10, image="image_id") -> DataFrame:
-    """Pixels darker than the mean of their block x block neighbourhood by at least `offset`.
+def gaussian_weights(block: int) -> list[float]:
+    """Weights of a row or column of the neighbourhood, sum 1; the width of the bell follows from the block."""
+    sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    raw = [math.exp(-((i - block // 2) ** 2) / (2 * sigma * sigma)) for i in range(block)]
+    return [v / sum(raw) for v in raw]
 
-    Missing cells are white, so only darkness (255 - gray) is summed: each cell gives its darkness to the columns of
-    its row within reach, and a running range over each column adds up the rows. Box weights.
+
+def adaptive_dark(pixels, block=15, offset=10, image="image_id", weights="gaussian") -> DataFrame:
+    """Pixels darker than the mean of their block x block neighbourhood by at least `offset`; `weights` is "gaussian" or "even".
+
+    Missing cells are white, so only darkness (255 - gray) is summed. Both kernels separate: each cell gives its darkness to the columns of its row within
+    reach, then the rows are added up, by a running range over each column (even weights) or by giving on to the rows within reach.
     """
     r = block // 2
-    spread = pixels.select(image, "y", (255 - F.col("gray")).alias("_d"),
-                           F.explode(F.sequence(F.col("x") - r, F.col("x") + r)).alias("x"))
-    rows = spread.groupBy(image, "x", "y").agg(F.sum("_d").alias("_d"))
-    w = Window.partitionBy(image, "x").orderBy("y").rangeBetween(-r, r)
-    near = rows.withColumn("_n", F.sum("_d").over(w)).select(image, "x", "y", "_n")
+    bell = F.array(*[F.lit(v) for v in (gaussian_weights(block) if weights == "gaussian" else [1.0 / block] * block)])
+
+    def given(to: str, other: str, frame):
+        steps = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: F.struct((F.col(to) + i - r).alias("at"), (F.col("_d") * F.get(bell, i)).alias("d")))
+        return frame.select(image, other, F.explode(steps).alias("_s")).groupBy(image, F.col("_s.at").alias(to), other).agg(F.sum("_s.d").alias("_d"))
+
+    dark = pixels.select(image, "x", "y", (255 - F.col("gray")).alias("_d"))
+    if weights == "gaussian":
+        near = given("y", "x", given("x", "y", dark)).withColumnRenamed("_d", "_n")
+        mean = 255 - F.col("_n")
+    else:
+        spread = dark.select(image, "y", "_d", F.explode(F.sequence(F.col("x") - r, F.col("x") + r)).alias("x"))
+        w = Window.partitionBy(image, "x").orderBy("y").rangeBetween(-r, r)
+        near = spread.groupBy(image, "x", "y").agg(F.sum("_d").alias("_d")).withColumn("_n", F.sum("_d").over(w)).select(image, "x", "y", "_n")
+        mean = 255 - F.col("_n") / (block * block)
     got = attach(pixels, near, [image, "x", "y"])
-    mean = 255 - F.col("_n") / (block * block)
     return got.where(F.col("gray") <= mean - offset).drop("_n")
 
 

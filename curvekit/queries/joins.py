@@ -141,7 +141,7 @@ def j12(spark, sf):
     a = p.select(F.col("p_size").alias("image_id"), F.concat_ws(" ", "p_type", "p_brand").alias("name_a"))
     b = p.select(F.col("p_size").alias("image_id"), F.when(F.col("p_partkey") % 2 == 0, F.lower("p_brand")).when(
         F.col("p_partkey") % 3 == 0, F.upper(F.substring("p_type", 1, 5))).otherwise(F.col("p_name")).alias("name_b"))
-    return j.first_match(j.fuzzy_pairs(a, b))
+    return j.first_similar(a, b)
 
 
 @query("j13_upper_bound_filter", with_(DARK, SPOTS) + """SELECT image_id, d.x, d.y FROM dark d LEFT JOIN (SELECT image_id, px AS x, min(py) AS top FROM spots GROUP BY 1, 2) u

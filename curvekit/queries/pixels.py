@@ -65,11 +65,21 @@ def p07(spark, sf):
         p.dark_pixels(px, 60, channels=True).select("image_id", "x", "y", F.lit(2).alias("mode")))
 
 
-@query("p08_adaptive_dark", PX + """, near AS (SELECT a.image_id, a.x, a.y, any_value(a.gray) AS gray, sum(255 - b.gray) AS n FROM pixels a JOIN pixels b
+BELL = "bell AS (SELECT * FROM (VALUES " + ", ".join(f"({i - 7}, {v!r}::DOUBLE)" for i, v in enumerate(p.gaussian_weights(15))) + ") v(d, w))"
+
+
+@query("p08_adaptive_dark", PX + ", " + BELL + """, near AS (SELECT a.image_id, a.x, a.y, any_value(a.gray) AS gray, sum(bx.w * by_.w * (255 - b.gray)) AS n FROM pixels a JOIN pixels b
+    ON a.image_id = b.image_id AND b.x BETWEEN a.x - 7 AND a.x + 7 AND b.y BETWEEN a.y - 7 AND a.y + 7 JOIN bell bx ON bx.d = b.x - a.x JOIN bell by_ ON by_.d = b.y - a.y GROUP BY 1, 2, 3)
+    SELECT image_id, x, y FROM near WHERE gray <= 255 - n - 10""")
+def p08_gaussian(spark, sf):
+    return p.adaptive_dark(r.pixels(spark, sf)).select("image_id", "x", "y")
+
+
+@query("p08_adaptive_dark_even", PX + """, near AS (SELECT a.image_id, a.x, a.y, any_value(a.gray) AS gray, sum(255 - b.gray) AS n FROM pixels a JOIN pixels b
     ON a.image_id = b.image_id AND b.x BETWEEN a.x - 7 AND a.x + 7 AND b.y BETWEEN a.y - 7 AND a.y + 7 GROUP BY 1, 2, 3)
     SELECT image_id, x, y FROM near WHERE gray <= 255 - n / 225 - 10""")
 def p08(spark, sf):
-    return p.adaptive_dark(r.pixels(spark, sf)).select("image_id", "x", "y")
+    return p.adaptive_dark(r.pixels(spark, sf), weights="even").select("image_id", "x", "y")
 
 
 @query("p09_remove_colors", PX + "SELECT image_id, x, y FROM pixels WHERE NOT (((h < 10 OR h > 170) AND s > 50 AND v > 50) OR (h BETWEEN 100 AND 130 AND s > 50 AND v > 50))")
