@@ -62,35 +62,36 @@ def set_names(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """`id, n, a, b` of each document, and as further rows `part, cells`: counts of shingles by hash cell, one set of cells a task."""
+    """`id, n, a, b, bits` of each document, and as further rows `part, cells`: counts of shingles by hash cell, one set of cells a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, waiting, held = np.zeros(CELLS, np.uint32), [], 0
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            n, a, b = [], [], []
+            n, a, b, bits = [], [], [], []
             for _, _, tokens, at in document_sets(batch.column(1), size):
                 x, y = set_names(tokens, at)
                 n.append(np.diff(at)), a.append(x), b.append(y)
+                bits += [signature(tokens[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
                 waiting.append((tokens & U(CELLS - 1)).astype(np.int32))
                 held += len(tokens)
                 if held >= PART:
                     cells += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
                     waiting, held = [], 0
             rows = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n, a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in rows], pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())],
-                                             ["id", "n", "a", "b", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x) for x in rows], pa.array(bits, pa.binary()), pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())],
+                                             ["id", "n", "a", "b", "bits", "part", "cells"])
         if held:
             cells += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
         if kind is not None:
             step = CELLS // 16
             packed = [zlib.compress(cells[i * step:(i + 1) * step].tobytes(), 1) for i in range(16)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(16, kind), *[pa.nulls(16, pa.int64())] * 3, pa.array(range(16), pa.int32()), pa.array(packed, pa.binary())],
-                                             ["id", "n", "a", "b", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(16, kind), *[pa.nulls(16, pa.int64())] * 3, pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array(packed, pa.binary())],
+                                             ["id", "n", "a", "b", "bits", "part", "cells"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n bigint, a bigint, b bigint, part int, cells binary")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, a bigint, b bigint, bits binary, part int, cells binary")
 
 
 def frequency(parts: DataFrame) -> np.ndarray:
@@ -198,19 +199,14 @@ def shared_tokens(dealt: DataFrame, hot: int) -> DataFrame:
 
 
 def token_rows(shared: DataFrame) -> DataFrame:
-    """`token, a, hub`: a row for each token and set, with the smallest set of the token in its bucket."""
+    """`token, a`: a row for each token and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                token, name = np.frombuffer(t, U), np.frombuffer(s, U).view(np.int64)
-                if not len(token):
-                    continue
-                new = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-                hub = np.repeat(np.minimum.reduceat(name, new), np.diff(np.append(new, len(token))))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(name), pa.array(hub)], ["token", "a", "hub"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(s, np.int64))], ["token", "a"])
 
-    return shared.select("tokens", "sets").mapInArrow(run, "token bigint, a bigint, hub bigint")
+    return shared.select("tokens", "sets").mapInArrow(run, "token bigint, a bigint")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -222,11 +218,74 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def opened(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Links `x, y`: for each query the first member of its group block that is similar, if any.
+def signature(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens in each of 2n to 4n hash cells. Two signatures differ in at most as many cells as their sets have tokens apart."""
+    size = max(64, 1 << int(2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((mix(tokens) & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A signature brought down to fewer cells: parities of cells that fall together add up."""
+    while len(bits) > words:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
+def in_blocks(members: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of both sides (`grp, block, ask` and `columns`) by group block, members before queries."""
+    cols = ["grp", "block", "ask", *columns]
+    both = members.withColumn("ask", F.lit(False)).select(cols).unionByName(queries.withColumn("ask", F.lit(True)).select(cols))
+    return both.repartition("grp", "block").sortWithinPartitions("grp", "block", "ask")
+
+
+def promising(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+    """`grp, block, ask, a`: queries that may have a partner among the members of their block, and those members.
 
-    Both sides have `grp, block, a, shingles`. A block is streamed: its members (at most a few times BLOCK) are held with the union of their tokens, and a
-    query is compared with them only if its overlap with the union is large enough.
+    Sets with the wanted overlap have sizes within `percent`, and at most (100 - percent) / (100 + percent) of both sizes apart; signatures give a lower
+    bound of that. Both sides have `grp, block, a, n, bits`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, sizes, bits, used, stacks = None, [], [], [], set(), {}
+        for batch in batches:
+            out = []
+            for grp, block, ask, a, n, packed in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+                if (grp, block) != last:
+                    last, names, sizes, bits, used, stacks = (grp, block), [], [], [], set(), {}
+                own = np.frombuffer(packed, U)
+                if not ask:
+                    names.append(a), sizes.append(n), bits.append(own)
+                    stacks = {}
+                    continue
+                if not names:
+                    continue
+                some = []
+                for words in {len(x) for x in bits}:
+                    if words not in stacks:
+                        stacks[words] = [i for i, x in enumerate(bits) if len(x) == words]
+                    rows, low = stacks[words], min(words, len(own))
+                    if ("m", words, low) not in stacks:
+                        stacks["m", words, low] = (np.array(rows), np.array([sizes[i] for i in rows]), np.stack([folded(bits[i], low) for i in rows]))
+                    at, size, matrix = stacks["m", words, low]
+                    apart = np.bitwise_count(matrix ^ folded(own, low)).sum(axis=1, dtype=np.int64)
+                    good = (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & (apart * (100 + percent) <= (100 - percent) * (size + n))
+                    some += [i for i in at[good].tolist() if names[i] != a]
+                if some:
+                    out.append((grp, block, True, a))
+                    out += [(grp, block, False, names[i]) for i in some if i not in used]
+                    used.update(some)
+            cols = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.bool_(), pa.int64()))], ["grp", "block", "ask", "a"])
+
+    return in_blocks(members, queries, ["a", "n", "bits"]).mapInArrow(run, "grp bigint, block int, ask boolean, a bigint")
+
+
+def opened(rows: DataFrame, percent: int) -> DataFrame:
+    """Links `x, y`: for each query the first member of its group block that is similar, if any. `rows` has `grp, block, ask, a, shingles`.
+
+    A block is streamed: its members (a few times BLOCK at most) are held with the union of their tokens, and a query is compared with them only if its
+    overlap with the union is large enough.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +312,36 @@ def opened(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
                         break
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
-    cols = ["grp", "block", "ask", "a", "shingles"]
-    both = members.withColumn("ask", F.lit(False)).select(cols).unionByName(queries.withColumn("ask", F.lit(True)).select(cols))
-    return both.repartition("grp", "block").sortWithinPartitions("grp", "block", "ask").mapInArrow(run, "x bigint, y bigint")
+    dealt = rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "ask")
+    return dealt.select("grp", "block", "ask", "a", "shingles").mapInArrow(run, "x bigint, y bigint")
+
+
+def cross_blocks(tokens: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members and queries (`grp, block, a, n, bits`) of groups that share a prefix token: the rows of the token-group matrix with two groups or more.
+
+    `tokens` has `token, a`; `groups` has `a, grp, n, w, bits` for all its sets. The smaller group asks, and only sets whose size and number of tokens
+    that others may have (`w`) leave room for the overlap with some member.
+    """
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("w").alias("room"))
+    matrix = tokens.select("token", "a").join(groups.select("a", "grp", "n", "w"), "a")
+    split = matrix.groupBy("token").agg(F.min("grp").alias("lowest"), F.max("grp").alias("highest")).filter("lowest != highest").select("token")
+    rows = cut_lineage(matrix.join(split, "token").join(sizes, "grp"))
+    others = rows.select("token", F.col("grp").alias("other"), F.col("many").alias("others"), F.col("least").alias("low"), F.col("most").alias("high"), F.col("room").alias("space")).distinct()
+    smaller = (F.col("many") < F.col("others")) | ((F.col("many") == F.col("others")) & (F.col("grp") < F.col("other")))
+    fits = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
+    fits &= (100 + percent) * F.least("w", "space") >= percent * (F.col("n") + F.col("low"))
+    pairs = cut_lineage(rows.join(others, "token").filter(smaller & fits).select("a", F.col("other").alias("grp"), "others").distinct())
+    blocks = F.ceil(F.col("others") / F.lit(BLOCK)).cast("int")
+    asked = pairs.groupBy("grp").agg(F.first("others").alias("others"))
+    members = groups.join(asked, "grp").select("grp", F.pmod(F.xxhash64("a"), blocks).cast("int").alias("block"), "a", "n", "bits")
+    queries = pairs.select("a", "grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).join(groups.select("a", "n", "bits"), "a")
+    return members, queries.select("grp", "block", "a", "n", "bits")
+
+
+def grouped(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """`sets` with `grp`: the component of each under `edges`; sets without edges are groups of their own."""
+    roots = components(edges)
+    return cut_lineage(sets.join(roots, F.col("a") == F.col("node"), "left").select(*sets.columns, F.coalesce("root", "a").alias("grp")))
 
 
 def fetched_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -282,15 +368,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are one component. A null id is reported as null and never the smallest unless its component has no other. Shingles are compared by 64-bit hashes.
 
     1. One pass names each set and counts all shingles in a sketch of fixed size. 2. A second pass deals each set's prefix, rarest tokens first, by token.
-    3. Sets that share a prefix token with another are fetched. Each is compared with the smallest set it shares a token with; links make groups.
+    3. Each set that shares a prefix token with another is held against that of these sets which has most tokens in common with others (the original, where
+    copies were made from one), by signatures that bound the sets' distance from below; with the matrix of step 4 over the groups so made this leaves the sets that may have a partner at all. These are fetched, compared in the same way by
+    their shingles, and links make groups.
     4. The token-group matrix (shared prefix tokens x groups) names for each set the other groups that may hold a partner; the smaller group asks. A group
-    is opened in blocks, and only if the query's overlap with the block's token union could suffice; the first link found in a block ends it, since the
-    members of a group are connected already. So no link between components is lost and no group is expanded into pairs.
+    is opened in blocks, and only if the signatures and the query's overlap with the block's token union could suffice; the first link found in a block
+    ends it, since the members of a group are connected already. So no link between components is lost and no group is expanded into pairs.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     facts = cut_lineage(describe(base, size))
-    rows = facts.filter(F.col("part").isNull()).select("id", "n", "a", "b")
+    rows = facts.filter(F.col("part").isNull()).select("id", "n", "a", "b", "bits")
     cells = frequency(facts.filter(F.col("part").isNotNull()))
     parts = shuffle_partitions(docs)
     limit = max(4 * int(cells.sum(dtype=np.uint64)) // CELLS, int(cells.sum(dtype=np.uint64)) // (64 * parts), 64)
@@ -299,37 +387,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = cut_lineage(shared_tokens(dealt_prefixes(base, level, size, percent, 4 * parts, hot), hot))
     tokens = token_rows(shared)
 
-    sets = rows.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"))
-    hubs = tokens.filter(F.shiftrightunsigned("token", 58) > hot).select("token", "hub").distinct()
-    top = hubs.groupBy("token").agg(F.min("hub").alias("top"))
-    stars = tokens.select(F.col("a").alias("x"), F.col("hub").alias("y")).unionByName(hubs.join(top, "token").select(F.col("hub").alias("x"), F.col("top").alias("y")))
-    stars = cut_lineage(stars.groupBy("x").agg(F.min("y").alias("y")))  # each set of a shared token, with the smallest set it shares one with
-    wanted = sets.join(stars.select(F.col("x").alias("a")), "a").select("id", "a", "b")
-    kept = cut_lineage(fetched_sets(base, wanted, size))
-
-    asks = stars.filter("x != y")
+    sets = rows.filter("n > 0").groupBy("a", "b").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    counts = tokens.groupBy("a").agg(F.count(F.lit(1)).alias("shared"))
+    prefix = F.col("n") - F.ceil(percent * F.col("n") / F.lit(100)) + 1
+    room = (F.col("n") - prefix + F.col("shared")).alias("w")  # all tokens but those of the prefix that no other set has
+    signs = cut_lineage(counts.withColumnRenamed("a", "own").join(sets.drop("id"), F.col("own") == F.col("a")).select("a", "n", room, "bits").filter(100 * F.col("w") >= percent * F.col("n")))
+    lean = tokens.join(signs.select("a", (F.col("w") / F.col("n")).alias("share")), "a")
+    best = lean.groupBy("token").agg(F.max(F.struct("share", "a")).alias("best"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("token", "best")
+    # each set asks the one that has most in common with all sets, of those it shares a token with: what copies were made from, if it is there
+    asks = lean.join(best, "token").groupBy("a").agg(F.max("best").alias("best")).select(F.col("a").alias("x"), F.col("best.a").alias("y")).filter("x != y")
+    asks = cut_lineage(asks.join(signs, F.col("x") == F.col("a")).select("a", "y", "n", "bits"))
     loads = asks.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * BLOCK)).cast("int").alias("blocks"))
-    centres = loads.join(kept, F.col("y") == F.col("a")).select(F.col("y").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "a", "shingles")
-    first = (asks.join(loads, "y").select(F.col("y").alias("grp"), F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"), "x")
-             .join(kept, F.col("x") == F.col("a")).select("grp", "block", "a", "shingles"))
-    links = cut_lineage(opened(centres, first, percent).distinct())
-    labels = components(links)
-
-    grouped = cut_lineage(stars.select(F.col("x").alias("a")).join(labels, F.col("a") == F.col("node"), "left").select("a", F.coalesce("root", "a").alias("grp")))
-    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("many"))
-    matrix = tokens.select("token", "a").join(grouped, "a")
-    split = matrix.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("token")
-    open_rows = cut_lineage(matrix.join(split, "token").join(sizes, "grp"))
-    cells_of = open_rows.select("token", F.col("grp").alias("other"), F.col("many").alias("others")).distinct()
-    smaller = (F.col("many") < F.col("others")) | ((F.col("many") == F.col("others")) & (F.col("grp") < F.col("other")))
-    pairs = cut_lineage(open_rows.join(cells_of, "token").filter(smaller).select("a", F.col("other").alias("grp"), "others").distinct())
-    count = F.ceil(F.col("many") / F.lit(BLOCK)).cast("int")
-    asked = pairs.select("grp").distinct()
-    held = (grouped.join(asked, "grp").join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("a"), count).cast("int"))
-            .join(kept, "a").select("grp", "block", "a", "shingles"))
-    second = (pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("others") / F.lit(BLOCK)).cast("int") - 1)))
-              .join(kept, "a").select("grp", "block", "a", "shingles"))
-    more = cut_lineage(opened(held, second, percent).distinct())
+    centres = (loads.join(signs.select("a", "n", "bits"), F.col("y") == F.col("a"))
+               .select(F.col("y").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "a", "n", "bits"))
+    first = asks.join(loads, "y").select(F.col("y").alias("grp"), F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), "a", "n", "bits")
+    near = cut_lineage(promising(centres, first, percent))
+    likely = grouped(signs, near.filter("ask").select(F.col("a").alias("x"), F.col("grp").alias("y")))
+    beside = cut_lineage(promising(*cross_blocks(tokens, likely, percent), percent))
+    joint = likely.filter("a != grp").select(F.explode(F.array("a", "grp")).alias("a"))
+    able = cut_lineage(joint.unionByName(beside.select("a")).distinct())  # sets that may have a partner at all
+    kept = cut_lineage(fetched_sets(base, sets.join(able, "a").select("id", "a", "b"), size))
+
+    links = cut_lineage(opened(near.join(kept, "a"), percent).distinct())
+    groups = grouped(signs.join(able, "a"), links)
+    left = cut_lineage(promising(*cross_blocks(tokens.join(able, "a"), groups, percent), percent))
+    more = cut_lineage(opened(left.join(kept, "a"), percent).distinct())
     roots = components(links.unionByName(more))
 
     named = sets.join(roots, F.col("a") == F.col("node"), "left").select("a", "b", "id", F.coalesce("root", "a").alias("root"))
@@ -338,3 +420,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = cut_lineage(named.join(least, "root").select(F.col("a").alias("ka"), F.col("b").alias("kb"), "component_id"))
     out = rows.join(final, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """One row of `docs` for each component of `near_duplicates`: the one with the smallest id; of rows with that id the one with the smallest hash.
+
+    Rows without words are components of their own and all stay. Rows with a null id stay only where no row of their component has an id. Columns are those
+    of `docs`.
+    """
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(*plain).alias("tie"))
+    found = near_duplicates(rows.select(F.struct(F.col("id").isNull().alias("nil"), "id", "tie").alias("own"), "text"), "own", "text", size, percent)
+    # ids are structs of id and hash here, so a component's smallest one is one row, or several that are equal
+    lost = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.id").alias("gone"), F.col("id.tie").alias("gone_tie")).distinct()
+    left = rows.join(lost, (F.col("tie") == F.col("gone_tie")) & F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+    repeated = found.filter((F.col("n_shingles") > 0) & F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return left.select("row.*")
+    again = repeated.select(F.col("id.id").alias("rid"), F.col("id.tie").alias("rtie"))
+    marked = left.join(again, (F.col("tie") == F.col("rtie")) & F.col("id").eqNullSafe(F.col("rid")), "left")
+    single = marked.filter(F.col("rtie").isNull()).select("row").unionByName(marked.filter(F.col("rtie").isNotNull()).groupBy("id", "tie").agg(F.first("row").alias("row")).select("row"))
+    return single.select("row.*")
