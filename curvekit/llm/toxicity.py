@@ -52,8 +52,8 @@ class ToxicityModel:
         y = np.array(labels, np.int64)
         if len(docs) and 0 < y.sum() < len(y):
             self.fit(docs, y, epochs, rounds, hard, rng)
-        elif len(docs):
-            self.shift = 4.0 if y.all() else -4.0
+        else:
+            self.slope, self.shift = 0.0, (4.0 if y.all() else -4.0) if len(docs) else 0.0
         self.fold()
 
     def fold(self) -> None:
@@ -195,7 +195,7 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, use: Column, id_col
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_out: str = "score") -> DataFrame:
     """`docs` with a score from 0 to 1 of each whole text; an existing column of that name is replaced.
 
-    Null texts, empty texts and texts without a word get the score of a text without any toxic word. Without labels every text gets 0.5. An empty table
+    Null texts, empty texts and texts without a word get the score of a text without any toxic word. Without labels every text gets 0.5, with labels of one class a score on its side. An empty table
     gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number a bucket
