@@ -134,13 +134,15 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 10, id_col: s
 
     Centroids are fitted on at most `sample` vectors (by a hash of their id); there are at most about `lists`, so that each task can hold them. Every vector
     goes to the list of its nearest centroid, boundary vectors to up to `copies` lists (those within `ratio`). A query opens the lists within `reach` times
-    the distance of its nearest centroid (at most `most_lists`, and enough to hold k others). Long lists and many queries are cut into blocks.
+    the distance of its nearest centroid (at most `most_lists`), and the nearest lists up to 16 times the vectors asked for, copies not counted. Long lists and many queries are cut into blocks.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = usable(vectors, id_col, vector_col)
     asks = usable(vectors.filter(query), id_col, vector_col)
-    got = rows.select("v", F.xxhash64(F.col("id"), F.lit(3)).alias("mark")).orderBy("mark").limit(sample).select("v").toArrow().column("v")
+    marked = rows.select("v", F.xxhash64(F.col("id"), F.lit(3)).alias("mark"))
+    last = marked.select("mark").orderBy("mark").limit(sample).agg(F.max("mark").alias("last")).first()["last"]  # only so many vectors reach the driver
+    got = marked.filter(F.col("mark") <= (0 if last is None else last)).orderBy("mark").limit(sample).select("v").toArrow().column("v")
     schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
     if not len(got):
         return spark.createDataFrame([], schema)
@@ -169,7 +171,7 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 10, id_col: s
                 ids, away = graph.value.search(as_matrix(some.column(1)), most_lists)
                 count = np.where(ids >= 0, held.value[ids], 0)
                 before = np.cumsum(count, axis=1) - count
-                good = (ids >= 0) & (count > 0) & ((away <= reach * away[:, :1]) | (before < copies * (k + 1)))
+                good = (ids >= 0) & (count > 0) & ((away <= reach * away[:, :1]) | (before < 16 * copies * (k + 1)))
                 row, place = np.nonzero(good)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, place]), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row))], ["list", "id", "v"])
 
