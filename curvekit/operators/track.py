@@ -102,10 +102,11 @@ class _Column:
                     self.picked[i] = shared[0]
 
 
-def track(clusters: DataFrame, n: int, plot_w: float, plot_h: float, dashes: DataFrame | None = None, key="image_id", x="x") -> DataFrame:
+def track(clusters: DataFrame, n: int, plot_w: float, plot_h: float, dashes: DataFrame | None = None, key="image_id", x="x", gaps=True) -> DataFrame:
     """Assign the clusters (key, x, center) of each column to n curves: rows (key, curve, x, y, present).
 
-    A curve without a cluster in a column gets a row without y. Dash marks within three rows of a centre count for it.
+    A curve without a cluster in a column gets a row without y; with `gaps` so do all curves in the columns between the first and the last cluster that
+    have none at all, which is where a dashed line shows. Dash marks within three rows of a centre count for it.
     """
     keys = as_list(key)
     rows = clusters.select(*keys, x, "center")
@@ -131,4 +132,11 @@ def track(clusters: DataFrame, n: int, plot_w: float, plot_h: float, dashes: Dat
         trails = tuple((trails[i] + ((row[x], col.picked[i]),))[-RECENT:] if i in col.picked else trails[i] for i in range(n))
         return trails, made
 
-    return fold(cols, keys, [x], step, tuple(() for _ in range(n)), f"curve int, {x} int, y double, present boolean")
+    found = fold(cols, keys, [x], step, tuple(() for _ in range(n)), f"curve int, {x} int, y double, present boolean")
+    if not gaps:
+        return found
+    # columns of one picture: at most its width
+    every = rows.groupBy(*keys).agg(F.min(x).alias("_a"), F.max(x).alias("_b")).select(*keys, F.explode(F.sequence("_a", "_b")).alias(x))
+    empty = attach(every, rows.select(*keys, x).distinct().withColumn("_has", F.lit(True)), keys + [x]).where(F.col("_has").isNull())
+    return found.unionByName(empty.select(*keys, F.explode(F.array(*[F.lit(i) for i in range(n)])).alias("curve"), F.col(x).cast("int").alias(x),
+                                          F.lit(None).cast("double").alias("y"), F.lit(False).alias("present")))

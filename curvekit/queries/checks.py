@@ -20,7 +20,7 @@ from . import raster as r
 from . import views as v
 from .base import query, table
 from .clean import with_
-from .pixels import darks
+from .pixels import DARKS, darks
 
 CAL = """cal AS (SELECT CAST(n_nationkey AS BIGINT) AS image_id, CAST(3 + n_nationkey % 4 AS INTEGER) AS x_0_pixel, CAST(80 + n_nationkey % 3 AS INTEGER) AS x_max_pixel, 48 AS y_0_pixel, 2 AS y_100_pixel, 0e0 AS time_min, 90e0 AS time_max FROM nation)"""
 
@@ -124,6 +124,16 @@ def x11(spark, sf):
     return track(clusters, 2, 90.0, 50.0, d.where((F.col("x") + F.col("y")) % 3 == 0))
 
 
+@query("x11_track_gaps", with_(r.PIXELS, DARKS) + """SELECT e.image_id, CAST(v.c AS INTEGER) AS curve, CAST(e.x AS INTEGER) AS x, false AS present
+    FROM (SELECT image_id, unnest(range(min(x), max(x) + 1)) AS x FROM darks GROUP BY 1) e, (VALUES (0), (1), (2)) v(c)
+    WHERE NOT EXISTS (SELECT 1 FROM darks d WHERE d.image_id = e.image_id AND d.x = e.x)""")
+def x11_gaps(spark, sf):
+    """The rows of columns without any cluster."""
+    clusters = w.cluster_axis_adaptive(darks(spark, sf), 2)
+    rows = track(clusters, 3, 90.0, 50.0)
+    return rows.join(clusters.select("image_id", "x").distinct(), ["image_id", "x"], "left_anti").select("image_id", "curve", "x", "present")
+
+
 # -- choices ---------------------------------------------------------------------------------------
 
 def column_tops(px, threshold):
