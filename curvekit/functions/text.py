@@ -165,6 +165,7 @@ def parse_plot_area_assessment(responses, image="image_id", text="text") -> Data
                             (~failed & x).alias("adjust_bottom"), (~failed & y).alias("adjust_left"), (~failed & talk).alias("adjust_bounds"))
 
 
+# Words that speak for and against an extraction (the issue texts further down are fixed as well).
 POSITIVE = ["complete", "all curves", "fully visible", "clean", "no text", "removed", "acceptable", "good"]
 NEGATIVE = ["gap", "missing", "incomplete", "text visible", "annotation", "box", "artifact", "not removed"]
 

@@ -16,7 +16,7 @@ from .runs import group_tokens_by_row
 
 c = F.col
 # Header texts of at-risk tables, axis-label rows, separators that are no names.
-HEADERS = r"number\s*at\s*risk|n\s*at\s*risk|patients\s*at\s*risk|no\.?\s*at\s*risk|at\s*risk"
+HEADERS = r"at\s*risk"
 AXIS_ROW = r"time\s*\(?months?\)?|months?|years?"
 NUMERIC = r"^\d+\.?\d*$"
 SEPARATORS = ["|", "-", ":", "_", ".", ","]

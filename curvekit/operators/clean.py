@@ -259,11 +259,6 @@ def skip_excursion(traced: DataFrame, key="curve_id", x="x", y="y", jump=15, rea
     return fold(rows, keys, [x, y], step, (None, ()), f"{x} {kinds[x]}, {y} {kinds[y]}", finish)
 
 
-def bridge_gaps(traced: DataFrame, key="curve_id", x="x", y="y", max_gap=100) -> DataFrame:
-    """Excursions replaced, then gaps held."""
-    return fill_hold(skip_excursion(traced, key, x, y), key, x, y, max_gap)
-
-
 def prepend_shared_start(traced: DataFrame, image="image_id", key="curve_id", x="x", y="y", late=20, near=15) -> DataFrame:
     """Curves that start `late` pixels after the image's first one, near the top, begin where the first one does."""
     firsts = traced.groupBy(image, key).agg(F.min(x).alias("_x0"), F.min(F.struct(x, y)).getField(y).alias("_y0"))

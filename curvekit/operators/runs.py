@@ -341,6 +341,7 @@ def filter_components_text(components, images) -> DataFrame:
     exempt = A > F.coalesce(c("_second") * 0.3, F.lit(500.0))
     ratio = c("w") / c("h")
     mid = (c("cy") > H * 0.20) & (c("cy") < H * 0.85)
+    # Limits of the rules, in their order.
     rules = [  # the first rule that applies decides: True drops, False keeps
         ((c("cy") < H * 0.35) & (c("cx") > W * 0.55) & (A < 1600), True),
         ((c("cy") < H * 0.25) & (A < 800), True),
@@ -431,9 +432,9 @@ def filter_components_isolated(components, cells, images, margin=15, near=50, ti
     return rows.where(start | ~drop).select(*components.columns)
 
 
-def filter_components_annotation(components) -> DataFrame:
+def filter_components_annotation(components, least=800, side=80) -> DataFrame:
     """Large connected regions only, for colours that mostly colour text."""
-    return components.where((c("area") >= 800) & ((c("w") >= 80) | (c("h") >= 80)))
+    return components.where((c("area") >= least) & ((c("w") >= side) | (c("h") >= side)))
 
 
 def protect_components(components, images, short=False, least=50) -> DataFrame:

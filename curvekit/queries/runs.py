@@ -183,6 +183,11 @@ def w11b(spark, sf):
     return w.filter_components_curve(stats(spark, sf), r.images(spark, sf), strict=False)
 
 
+@query("w11_filter_components_annotation", CP + OUT + "sized WHERE area >= 3 AND (w >= 3 OR h >= 3)", "cx cy")
+def w11c(spark, sf):
+    return w.filter_components_annotation(stats(spark, sf), least=3, side=3)
+
+
 @query("w12_filter_components_noise", CP + OUT + "sized WHERE area >= 20 AND NOT (area < 100 AND greatest(w, h) / least(w, h) < 2 AND fill > 0.6e0)", "cx cy")
 def w12(spark, sf):
     return w.filter_components_noise(stats(spark, sf))

@@ -196,6 +196,12 @@ def t12(spark, sf):
     return p.withColumn("pos", F.col("pos").cast("int"))
 
 
+@query("t12_low_coverage", "SELECT image_id FROM (SELECT l_orderkey % 500 AS image_id, max(l_linenumber) AS m FROM lineitem GROUP BY 1) WHERE m / 8 < 0.8e0")
+def t12_low(spark, sf):
+    points = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("image_id"), F.col("l_linenumber").alias("t"))
+    return x.low_coverage(points, 8.0)
+
+
 @query("t13_model_points_to_curves", """WITH a AS (SELECT l_orderkey % 500 AS image_id, l_orderkey AS curve, CAST(l_linenumber AS DOUBLE) AS t, CASE WHEN l_quantity > 1.5e0 THEN l_quantity / 100 ELSE l_quantity END AS s FROM lineitem),
     b AS (SELECT * FROM a UNION ALL SELECT DISTINCT image_id, curve, 0e0, 1e0 FROM a)
     SELECT image_id, curve, t, least(1e0, min(s) OVER (PARTITION BY image_id, curve ORDER BY t, s ROWS UNBOUNDED PRECEDING)) AS s, 0.8e0 AS mean_confidence FROM b""", "s mean_confidence")

@@ -64,10 +64,6 @@ def read_pixels(images: DataFrame, key="image_id", white=250, bounds: tuple | No
     return images.select(key, "height", "width", "nChannels", "data").mapInArrow(unpack, schema)
 
 
-def image_sizes(images: DataFrame, key="image_id") -> DataFrame:
-    return images.select(key, "width", "height")
-
-
 def read_calibration_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CALIBRATION).json(path)
 
