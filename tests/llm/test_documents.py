@@ -6,8 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import rows, sentence
 from pyspark.sql import functions as F
+from samples import rows, sentence
 
 from curvekit.llm import exact_dedup as dedup
 from curvekit.llm import language, lm, mixing, ngram_join, pieces, pii, toxicity
