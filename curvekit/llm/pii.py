@@ -267,7 +267,10 @@ def all_spans(texts: list[str], model: SpanModel) -> list[list[tuple[int, int, i
 def train_span_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = 300) -> SpanModel:
     """A model of at most `texts` whole texts with a digit or an @, chosen by a hash of their id; the fixed patterns are its labels."""
     rows = docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.lit(2)).alias("mark"), F.col(f"`{text_col}`").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    return SpanModel([r["text"] for r in rows.orderBy("mark", "text").limit(texts).collect()])
+    last = rows.select("mark").orderBy("mark").limit(texts).agg(F.max("mark").alias("last")).first()["last"]  # only so many texts reach the driver
+    if last is None:
+        return SpanModel([])
+    return SpanModel([r["text"] for r in rows.filter(F.col("mark") <= last).orderBy("mark", "text").limit(texts).collect()])
 
 
 def find_personal_data(docs: DataFrame, model: SpanModel, text_col: str = "text", spans_out: str = "spans") -> DataFrame:
