@@ -15,7 +15,8 @@ from .components import components
 
 CELLS = 1 << 20  # counters of the frequency sketch, 4 MB whatever the input
 BLOCK = 64  # documents of a group that are opened together
-PART = 1 << 21  # tokens gathered before they are dealt to buckets
+PART = 1 << 19  # tokens gathered before they are counted or dealt to buckets
+ROWS = 128  # rows of a batch that are taken apart at once
 U = np.uint64
 
 
@@ -52,6 +53,15 @@ def document_sets(column, size: int) -> Iterator[tuple[int, int, np.ndarray, np.
         yield lo, hi, *shingles(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], size)
 
 
+def in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that only a few lists and byte strings are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            yield batch.slice(lo, ROWS)
+    del batches
+    pa.default_memory_pool().release_unused()
+
+
 def set_names(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit names of each set; 0 for the empty one."""
     sums = [np.zeros(len(tokens) + 1, U), np.zeros(len(tokens) + 1, U)]
@@ -185,7 +195,7 @@ def shared_tokens(dealt: DataFrame, hot: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([token[keep].tobytes()], pa.binary()), pa.array([name[keep].tobytes()], pa.binary())],
                                               ["bucket", "tokens", "sets"])
 
-        for batch in batches:
+        for batch in in_rows(batches):
             for bucket, t, s in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 if last is not None and bucket != last:
                     yield done()
@@ -202,7 +212,7 @@ def token_rows(shared: DataFrame) -> DataFrame:
     """`token, a`: a row for each token and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_rows(batches):
             for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(s, np.int64))], ["token", "a"])
 
@@ -248,7 +258,7 @@ def promising(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, names, sizes, bits, used, stacks = None, [], [], [], set(), {}
-        for batch in batches:
+        for batch in in_rows(batches):
             out = []
             for grp, block, ask, a, n, packed in zip(*[batch.column(i).to_pylist() for i in range(6)]):
                 if (grp, block) != last:
@@ -290,7 +300,7 @@ def opened(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, names, sets, union = None, [], [], None
-        for batch in batches:
+        for batch in in_rows(batches):
             xs, ys = [], []
             for grp, block, ask, a, packed in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 if (grp, block) != last:
