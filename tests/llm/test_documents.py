@@ -214,6 +214,73 @@ def test_language_model_classes_sum_to_one():
     assert len(tokens) == 4 and np.allclose(np.exp(model.logs(lm.contexts(tokens, at))).sum(axis=1), 1, atol=1e-5)
 
 
+def test_language_model_context_weights(spark):
+    """Scores against weights of all contexts kept in one dictionary, and three rounds of them."""
+    table = [(i, sentence(i, 20 + i % 9)) for i in range(60)] + [(90, None), (91, "the"), (92, "never Seen before")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+    train = F.col("doc_id") % 4 != 1
+    model, counts, total, distinct = lm.word_model(docs.filter(train).select("text"))
+    tokens = {d: lm.keys(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])) for d, t in table}
+    events = {d: list(zip(zip(*(x.tolist() for x in lm.contexts(*own))), lm.classes_of(own[0], model.singles).tolist())) for d, own in tokens.items()}
+    weights, others, share = defaultdict(dict), Counter(), np.exp(model.bias.astype(float))
+    seen = Counter((c, k) for d, own in events.items() if d % 4 != 1 for cs, k in own for c in cs)
+
+    def chances(cs):
+        value = model.bias.astype(float).copy()
+        for c in cs:
+            for k in range(lm.CLASSES):
+                value[k] += weights[c].get(k, others[c])
+        return np.exp(value) / np.exp(value).sum()
+
+    for n in range(3):
+        expected = Counter()
+        for cs, k in (e for d, own in events.items() if d % 4 != 1 for e in own):
+            chance = chances(cs) if n else share
+            for c in cs:
+                for k in range(lm.CLASSES):
+                    expected[c, k] += chance[k]
+        left = Counter()
+        for (c, k), e in expected.items():
+            left[c] += 0 if seen[c, k] else e
+        for c, e in left.items():
+            others[c] -= (4 if n else 2) / lm.FEATURES * e / (e + lm.PRIOR)
+        for (c, k), s in [x for x in seen.items() if x[1]]:
+            weights[c][k] = weights[c].get(k, 0) + (4 if n else 2) / lm.FEATURES * (s - expected[c, k]) / (s + expected[c, k] + lm.PRIOR)
+    known = model.class_tokens + model.class_words + 1
+    for r in lm.score_texts(docs, train).collect():
+        want = sum(math.log10(chances(cs)[k]) - math.log10(known[k]) for cs, k in events[r["id"]])
+        assert r["score"] == pytest.approx(r["base_score"] + r["n_tokens"] * math.log10(total + distinct + 1) + want, abs=1e-3)
+
+
+def test_language_model_contexts_apart(spark):
+    """What follows each of 32 words is told apart although their contexts agree in 13 bits, as they do in any table of 8,192 rows once there are enough."""
+    first = lm.keys(*(np.frombuffer("".join(f"n{i}" + " " for i in range(400000)).encode(), np.uint8), np.array([0, sum(len(f"n{i}") + 1 for i in range(400000))])))[0]
+    alike = np.flatnonzero((lm.mix(first[:-1] + np.uint64(0x11)) & np.uint64(8191)) == 77)[:32].tolist()
+    assert len(alike) == 32
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"f{rng.integers(5000)} n{alike[x]} {'yes' if x % 2 else 'no'}" for x in rng.integers(0, 32, 60).tolist()) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = lm.score_texts(docs, F.col("doc_id") % 10 != 1).filter("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert (got["score"] - got["base"]) / got["n"] > 0.44
+
+
+def test_language_model_pieces():
+    rng = np.random.default_rng(3)
+    docs = [(7, 5), (8, lm.PIECE * 2 + 9), (9, 1), (11, lm.PIECE - 3), (12, 40)]
+    docs = [(row, rng.integers(0, 1 << 63, n).astype(np.uint64)) for row, n in docs]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r for r, _ in part]), pa.array([t.tobytes() for _, t in part])], ["row", "tokens"]) for part in (docs[:2], docs[2:])]
+    names, rows_, active = set(), [], [[] for _ in range(lm.FEATURES)]
+    for cut, found, place, row, lead in lm.pieces(iter(batches)):
+        assert len(found) - lead <= lm.PIECE and (row[lead], cut) not in names
+        names.add((row[lead], cut))
+        rows_.append(row[lead:])
+        for out, x in zip(active, lm.contexts_of(found, place)):
+            out.append(x[lead:])
+    assert np.array_equal(np.concatenate(rows_), np.repeat([r for r, _ in docs], [len(t) for _, t in docs]))
+    want = lm.contexts(np.concatenate([t for _, t in docs]), np.append(0, np.cumsum([len(t) for _, t in docs])))
+    assert all(np.array_equal(np.concatenate(a), b) for a, b in zip(active, want))
+
+
 # language ID -----------------------------------------------------------------------------------------------------------------------------------------
 def test_language(spark, docs, nothing):
     known = [(i, ("der die das und nicht schlecht machen " if i % 2 else "le la les pour quelle maison entre ") * (3 + i % 5), "de" if i % 2 else "fr") for i in range(60)]
