@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,76 +12,62 @@ from pyspark.sql.window import Window
 
 from .common import code_points, doc_slices, utf8
 
-TABLE = 0x3000  # code points that have an entry of their own; all others share one
-LETTERS = 62  # letters told apart, the most frequent of the training sample
-SYMBOLS = LETTERS + 2  # 0: no letter, 1: any other letter
+LIMIT = 0x110000  # code points; three of them fit 63 bits
 ORDERS = (1, 2, 3)
 BLOCK = 256  # documents of one matrix product
 
 
-def _lower_table() -> np.ndarray:
-    """Lower-case code point of each letter below TABLE, 0 for all that is no letter."""
-    return np.array([ord(c.lower()[0]) if c.isalpha() else 0 for c in map(chr, range(TABLE))], np.uint32)
+@cache
+def lower_table() -> np.ndarray:
+    """Lower-case code point of each letter, 0 for all that is no letter."""
+    return np.array([ord(c.lower()[0]) if c.isalpha() else 0 for c in map(chr, range(LIMIT))], np.uint32)
 
 
 class Grams:
-    """Presence of the n-grams (n = 1, 2, 3) of a dictionary in whole documents."""
-
-    def __init__(self, texts: list[str]):
-        self.lower = _lower_table()
-        points = self.lower[[min(ord(c), TABLE - 1) for c in "".join(texts)]] if texts else np.zeros(0, np.uint32)
-        counts = np.bincount(points, minlength=TABLE)[:TABLE]
-        counts[0] = 0
-        best = [p for p in np.argsort(-counts, kind="stable")[:LETTERS] if counts[p]]
-        ids = np.ones(TABLE, np.uint8)
-        ids[best] = np.arange(2, 2 + len(best))
-        self.symbol = np.where(self.lower > 0, ids[np.minimum(self.lower, TABLE - 1)], 0).astype(np.uint8)
-        self.columns = {n: np.full(SYMBOLS**n, -1, np.int32) for n in ORDERS}
+    """Presence of the n-grams (n = 1, 2, 3) of a dictionary in whole documents; n-grams are of lower-case letters of any script, all else is 0."""
+
+    def __init__(self):
+        self.known = {n: np.zeros(0, np.int64) for n in ORDERS}  # sorted codes
+        self.first = dict.fromkeys(ORDERS, 0)  # column of the first of them
         self.size = 0
 
     def fit(self, texts: list[str], least: int = 2) -> None:
         """Dictionary: the n-grams of at least `least` of the texts (of any, if none is in so many)."""
-        seen = {n: np.zeros(SYMBOLS**n, np.int64) for n in ORDERS}
+        seen: dict[int, list[np.ndarray]] = {n: [] for n in ORDERS}
         for text in texts:
-            symbols, _ = self.symbols(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+            symbols = lower_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
             for n in ORDERS:
-                seen[n][np.unique(self.codes(symbols, n))] += 1
-        least = min(least, max((int(s.max()) for s in seen.values()), default=1) or 1)
-        for n in ORDERS:
-            own = np.flatnonzero(seen[n] >= least)
-            own = own[own > 0]  # without the one of no letters at all
-            self.columns[n][own] = self.size + np.arange(len(own))
-            self.size += len(own)
-
-    def symbols(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol of each code point, and whether it is a letter."""
-        out = self.symbol[np.minimum(points, TABLE - 1)]
-        if len(points) and points.max() >= TABLE:
-            far = np.flatnonzero(points >= TABLE)
-            each, back = np.unique(points[far], return_inverse=True)
-            out[far] = np.array([chr(p).isalpha() for p in each.tolist()], np.uint8)[back]
-        return out, out > 0
+                seen[n].append(np.unique(self.codes(symbols, n)))
+        counted = {n: np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True) for n, own in seen.items()}
+        least = min(least, max((int(c.max()) for _, c in counted.values() if len(c)), default=1) or 1)
+        for n, (own, count) in counted.items():
+            self.known[n] = own[(count >= least) & (own > 0)]  # without the one of no letters at all
+            self.first[n] = self.size
+            self.size += len(self.known[n])
 
     @staticmethod
     def codes(symbols: np.ndarray, n: int) -> np.ndarray:
-        out = symbols[:max(0, len(symbols) - n + 1)].astype(np.int32)
+        out = symbols[:max(0, len(symbols) - n + 1)].astype(np.int64)
         for i in range(1, n):
-            out = out * SYMBOLS + symbols[i:len(symbols) - n + 1 + i]
+            out = (out << 21) | symbols[i:len(symbols) - n + 1 + i]
         return out
 
     def presence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents x dictionary, 0 or 1; and which documents have a letter."""
         points, at = code_points(data, offsets)
-        symbols, letter = self.symbols(points)
+        symbols = lower_table()[points]
+        letter = symbols > 0
         count = len(offsets) - 1
         doc = np.repeat(np.arange(count, dtype=np.int32), np.diff(at))
         seen = np.zeros((count, self.size + 1), np.uint8)
         flat = seen.reshape(-1)
         for n in ORDERS:
-            if len(symbols) < n:
+            if len(symbols) < n or not len(self.known[n]):
                 continue
-            column = self.columns[n][self.codes(symbols, n)]
-            good = column >= 0
+            own = self.codes(symbols, n)
+            column = np.minimum(np.searchsorted(self.known[n], own), len(self.known[n]) - 1)
+            good = self.known[n][column] == own
+            column += self.first[n]
             if n > 1:
                 good &= doc[:len(column)] == doc[n - 1:]
             flat[doc[:len(column)][good].astype(np.int64) * (self.size + 1) + column[good]] = 1
@@ -96,7 +83,7 @@ class LanguageModel:
         self.langs = sorted(set(langs))
         at = {name: [i for i, x in enumerate(langs) if x == name] for name in self.langs}
         chosen = [i for name in self.langs for i in at[name][:landmarks]]
-        self.grams = Grams(texts)
+        self.grams = Grams()
         self.grams.fit([texts[i] for i in chosen])
         if not self.langs:
             return

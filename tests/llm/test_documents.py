@@ -295,6 +295,15 @@ def test_language(spark, docs, nothing):
     assert {r["lang_pred"] for r in language.identify_language(docs, none).collect()} == {"und"}
 
 
+def test_language_scripts(spark):
+    """Languages with letters from U+3000 on are told apart by them."""
+    parts = {"zh": "我们今天去学校看书然后回家吃饭", "ja": "わたしはきょうがっこうへいきます", "ko": "우리는오늘학교에가서책을읽는다"}
+    known = [(i, text[i % 5:] + " " + text[: 9 + i % 4], lang) for i in range(40) for lang, text in parts.items()]
+    model = language.train_language_model(spark.createDataFrame(known, "doc_id bigint, text string, lang string"), F.lit(True))
+    asked = spark.createDataFrame([(i, text[2:12]) for i, text in enumerate(parts.values())], "doc_id bigint, text string")
+    assert [r["lang_pred"] for r in language.identify_language(asked, model).orderBy("doc_id").collect()] == list(parts)
+
+
 # toxicity --------------------------------------------------------------------------------------------------------------------------------------------
 def test_toxicity(spark, docs, nothing):
     def text(i):
