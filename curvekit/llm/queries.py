@@ -4,11 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .best_position import search
 from .chat import read_back, rebuild
 from .common import crc
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_in_middle, middle_text
 from .language import identify_language, train_language_model
 from .lm import score_texts
+from .min_max import near_copies
 from .mixing import mix_sources
 from .neighbours import nearest_neighbours
 from .ngram_join import near_duplicates
@@ -148,3 +151,52 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors found for every vector whose id is divisible by 100."""
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op11_ranked_search", r"""
+WITH w AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+a AS MATERIALIZED (SELECT count(*)::BIGINT AS texts, sum(n)::BIGINT AS tokens FROM d),
+p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, a GROUP BY term, texts),
+i AS MATERIALIZED (SELECT p.doc_id, p.term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * texts) // tokens))) AS impact FROM p JOIN f USING (term) JOIN d USING (doc_id), a),
+s AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN i USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_min_max_dedup", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id != b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.y AS component_id, d.doc_id = c.y AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) c ON c.x = d.doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate component and whether it stays."""
+    return near_copies(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op13_fill_in_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y, ('0x' || h[25:32])::BIGINT % 100 AS way FROM d),
+c AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN way < 50 THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(u[1:least(x, y)], ''), '') AS p, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS m FROM k),
+o AS (SELECT *, t[length(p) + length(m) + 1:] AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form != 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, and the text rebuilt from that."""
+    cut = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def digest(text):
+        return F.sha2(F.encode(text, "UTF-8"), 256)
+
+    return cut.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"), "prefix_chars", "middle_chars", digest(F.col("fim_text")).alias("output_sha256"),
+                      digest(middle_text(F.col("fim_text"), F.col("fim_form"))).alias("restored_sha256"))
