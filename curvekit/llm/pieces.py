@@ -261,3 +261,27 @@ def decode_pieces(docs: DataFrame, path: str, ids_col: str = "ids", text_out: st
     """`docs` with the text of each id list; an existing column of that name is replaced. Null and empty lists give an empty text."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text_out]
     return docs.select(*kept, decoded(docs, path, F.col(f"`{ids_col}`")).alias(text_out))
+
+
+def encode_and_decode(docs: DataFrame, path: str, text_col: str = "text", ids_out: str = "ids", text_out: str = "decoded") -> DataFrame:
+    """`docs` with the piece ids of each whole text and the text read back from them; existing columns of these names are replaced.
+
+    One Python worker a task encodes and decodes a slice of about a megabyte of texts at a time and hands it on before it takes the next, so that a task
+    holds one vocabulary and one slice (or one longer text). Results are those of `encode_pieces` and `decode_pieces`, also for nulls and empty texts.
+    """
+    shared = _shared(docs, path)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in batches:
+            text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+            _, offsets = utf8(text)
+            for lo, hi in doc_slices(offsets):
+                ids, at = shared.value.encode(text.slice(lo, hi - lo))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+                yield pa.StructArray.from_arrays([lists, pa.array(shared.value.decode(ids, at), pa.string())], ["ids", "text"])
+            pa.default_memory_pool().release_unused()
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (ids_out, text_out)]
+    both = docs.select(F.struct(*kept, F.lit(0).alias("__")).alias("row"), F.arrow_udf(run, "struct<ids:array<int>,text:string>", F.ArrowUDFType.SCALAR_ITER)(F.col(f"`{text_col}`")).alias("coded"))
+    names = [c for c in docs.columns if c not in (ids_out, text_out)]
+    return both.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("coded.ids").alias(ids_out), F.col("coded.text").alias(text_out))

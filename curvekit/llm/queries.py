@@ -15,7 +15,7 @@ from .min_max import near_copies
 from .mixing import mix_sources
 from .neighbours import nearest_neighbours
 from .ngram_join import near_duplicates
-from .pieces import decoded, encode_pieces, model_path
+from .pieces import encode_and_decode, model_path
 from .pii import KINDS, find_personal_data, train_span_model
 from .toxicity import score_toxicity, train_toxicity_model
 
@@ -92,8 +92,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded: its number of pieces, a hash of the ids, the hash of the text read back, and whether that is the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode_pieces(docs, model_path())
-    back = coded.withColumn("back", decoded(docs, model_path(), F.col("ids")))
+    back = encode_and_decode(docs, model_path(), text_out="back")
     return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
                        F.sha2(F.encode("back", "UTF-8"), 256).alias("decoded_sha256"), (F.col("back") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -187,6 +187,10 @@ def test_pieces_edges(docs, nothing):
     back = pieces.decode_pieces(coded.withColumn("was", F.coalesce("text", F.lit(""))), path).collect()
     assert len(back) == len(rows()) and all(r["text"] == r["was"] for r in back)
     assert all(r["ids"] == [] for r in back if not r["was"])
+    once = pieces.encode_and_decode(docs.withColumn("ids", F.lit("clash")).withColumn("decoded", F.lit(1)), path).collect()
+    apart = pieces.encode_pieces(docs, path).collect()
+    assert Counter((r["doc_id"], r["text"], tuple(r["ids"]), r["decoded"]) for r in once) == Counter((r["doc_id"], r["text"], tuple(r["ids"]), r["text"] or "") for r in apart)
+    assert pieces.encode_and_decode(nothing, path).count() == 0
     assert pieces.encode_pieces(nothing, path).count() == 0 and pieces.decode_pieces(pieces.encode_pieces(nothing, path), path).count() == 0
 
 
