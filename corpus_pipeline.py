@@ -15,7 +15,7 @@ from curvekit.llm.exact_dedup import exact_dedup
 from curvekit.llm.language import identify_language, train_language_model
 from curvekit.llm.mixing import mix_sources, repeat_documents
 from curvekit.llm.ngram_join import keep_one
-from curvekit.llm.pieces import decoded, encode_pieces, model_path
+from curvekit.llm.pieces import encode_and_decode, model_path
 from curvekit.runtime import shared_dir
 
 #: Language ID, the Jaccard join and encoding have no form in SQL.
@@ -46,8 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`doc_id, lang, source, ids, n_tokens, round_trip` (whether the ids decode to the text)."""
-    coded = encode_pieces(docs, model_path())
-    same = decoded(coded, model_path(), F.col("ids")) == F.coalesce("text", F.lit(""))
+    coded = encode_and_decode(docs, model_path())
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_tokens"), same.alias("round_trip"))
 
 
