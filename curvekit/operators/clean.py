@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fold import fold
+from ..islands import fold_islands, keep_since
 from ..ordered import Ordered, exact_median
 from ..runtime import as_list, attach
 
@@ -33,32 +34,17 @@ def dedup_continuity(points: DataFrame, key="curve_id", t="t", s="s", digits=3,
     A single value is taken as it is. Equal values at one time cannot change the choice, so they are merged first.
     """
     keys = as_list(key)
-    rows = points.select(*keys, F.round(t, digits).alias(t), F.col(s).alias(s)).distinct()
+    rows = points.where(F.col(s).isNotNull()).groupBy(*keys, F.round(t, digits).alias(t)).agg(F.array_sort(F.collect_set(s)).alias("_vs"))  # what was found in one place
+    value = dict(points.dtypes)[s]
 
-    def chosen(state):
-        prev, _, n, only, best, near, _ = state
-        return only if n == 1 else near if best is None else best
+    def step(prev, row):
+        vs = row["_vs"]
+        best = F.array_max(F.filter(vs, lambda v: (v >= prev - down) & (v <= prev + up)))
+        near = F.array_min(F.transform(vs, lambda v: F.struct(F.abs(v - prev).alias("d"), v.alias("v"))))["v"]
+        chosen = F.when(F.size(vs) == 1, F.element_at(vs, 1)).otherwise(F.coalesce(best, near))
+        return chosen, F.struct(row[t].alias(t), chosen.alias(s))
 
-    def step(state, row):
-        time, value = row[t], row[s]
-        made = []
-        if state[1] != time:
-            prev = state[0]
-            if state[1] is not None:
-                prev = chosen(state)
-                made = [(state[1], prev)]
-            state = (prev, time, 0, None, None, None, None)
-        prev, _, n, only, best, near, dist = state
-        if prev - down <= value <= prev + up and (best is None or value > best):
-            best = value
-        if dist is None or abs(value - prev) < dist:
-            near, dist = value, abs(value - prev)
-        return (prev, time, n + 1, value, best, near, dist), made
-
-    def finish(state):
-        return [(state[1], chosen(state))] if state[1] is not None else []
-
-    return fold(rows, keys, [t, s], step, (1.0, None, 0, None, None, None, None), f"{t} double, {s} double", finish)
+    return fold_islands(Ordered(rows, keys, t), F.size("_vs") == 1, step, value, f"struct<{t}: double, {s}: double>", start=F.lit(1.0))
 
 
 def bin_median(points: DataFrame, key="curve_id", t="t", s="s", width=0.5) -> DataFrame:
@@ -118,29 +104,17 @@ def _dropped(o: Ordered, s, tol, start) -> Ordered:
 def thin(points: DataFrame, key="curve_id", t="t", s="s", tol_t=0.005, tol_s=0.005) -> DataFrame:
     """Keep a row when time advanced or the value fell by more than its tolerance since the last kept row."""
 
-    def step(kept, row):
-        now = (row[t], row[s])
-        if kept is None or now[0] - kept[0] > tol_t or kept[1] - now[1] > tol_s:
-            return now, [now]
-        return kept, []
-
     keys = as_list(key)
-    return fold(points.select(*keys, t, s), keys, [t, s], step, None,
-                f"{t} double, {s} double")
+    o = Ordered(points.select(*keys, t, s), keys, t, s).lag(_p=t)
+    return keep_since(o, F.col("_p").isNull() | (F.col(t) - F.col("_p") > tol_t),
+                      lambda last, row: (row[t] - last[t] > tol_t) | (last[s] - row[s] > tol_s), [t, s])
 
 
 def drop_flat(points: DataFrame, key="curve_id", t="t", s="s", tol=0.001) -> DataFrame:
     """Drop inner rows that equal both the last kept and the next value."""
     keys = as_list(key)
-    ahead = Ordered(points.select(*keys, t, s), keys, t, s).lead(_next=s).df
-
-    def step(last, row):
-        value, nxt = row[s], row["_next"]
-        if last is None or nxt is None or abs(value - last) > tol or abs(nxt - value) > tol:
-            return value, [(row[t], value)]
-        return last, []
-
-    return fold(ahead, keys, [t, s], step, None, f"{t} double, {s} double")
+    o = Ordered(points.select(*keys, t, s), keys, t, s).lead(_next=s)
+    return keep_since(o, F.col("_next").isNull() | (F.abs(F.col("_next") - F.col(s)) > tol), lambda last, row: F.abs(row[s] - last[s]) > tol, [t, s])
 
 
 def trim_tail_drop(points: DataFrame, key="curve_id", t="t", s="s", stable=0.05, drop=0.1, floor=0.05) -> DataFrame:
@@ -192,14 +166,8 @@ def max_jump_filter(traced: DataFrame, key="curve_id", x="x", y="y", plot_y=0.0,
     """Drop rows outside the plot and rows that fall more than frac * plot_h below the last kept row."""
     keys, jump = as_list(key), plot_h * frac
     inside = traced.where(F.col(y).between(plot_y - margin, plot_y + plot_h + margin)).select(*keys, x, y)
-    kinds = dict(inside.dtypes)
-
-    def step(kept, row):
-        if kept is not None and row[y] - kept > jump:
-            return kept, []
-        return row[y], [(row[x], row[y])]
-
-    return fold(inside, keys, [x, y], step, None, f"{x} {kinds[x]}, {y} {kinds[y]}")
+    o = Ordered(inside, keys, x, y).running(before=True, _m=("min", y))  # no kept row is higher up than that
+    return keep_since(o, F.col("_m").isNull() | (F.col(y) - F.col("_m") <= jump), lambda last, row: row[y] - last[y] <= jump, [x, y])
 
 
 def fill_linear(traced: DataFrame, key="curve_id", x="x", y="y") -> DataFrame:

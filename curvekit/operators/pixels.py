@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fold import fold
+from ..islands import two_way
 from ..functions import color as c
 from ..ordered import Ordered, exact_median
 from ..runtime import as_list, attach
@@ -277,40 +277,36 @@ def _columns(mask, keys, x, y):
     return mask.groupBy(*keys, x).agg(F.min(y).alias("_min"), F.floor(F.median(y)).cast("int").alias("_med"), F.count("*").alias("_n"))
 
 
+def _top_or_median(mask, keys, x, y, after) -> DataFrame:
+    """One row per column, its top or its median; `after(name)` tells which (0 or 1) if the row chosen before is the column `name`, null before the first."""
+    o = Ordered(_columns(mask, keys, x, y), keys, x).lag(_p0="_min", _p1="_med")
+    o = two_way(o, after("_p0"), after("_p1"))
+    return o.df.select(*keys, F.col(x).cast("int").alias(x), F.when(F.col("_way") == 0, F.col("_min")).otherwise(F.col("_med")).cast("int").alias(y))
+
+
 def column_pick_continuous(mask, key=("image_id",), x="x", y="y", jump=20) -> DataFrame:
     """Thin columns take the median, others the top unless it jumps from the last chosen row, then the median."""
 
-    def step(prev, row):
-        low, med = row["_min"], row["_med"]
-        value = med if row["_n"] <= 3 or (prev is not None and abs(low - prev) > jump) else low
-        return value, [(row[x], value)]
+    def after(prev):
+        return F.when(F.col("_n") <= 3, 1).when(F.col(prev).isNull(), 0).otherwise((F.abs(F.col("_min") - F.col(prev)) > jump).cast("int"))
 
-    keys = as_list(key)
-    return fold(_columns(mask, keys, x, y), keys, [x], step, None, f"{x} int, {y} int")
+    return _top_or_median(mask, as_list(key), x, y, after)
 
 
 def column_pick_nearest(mask, key=("image_id",), x="x", y="y", up=5) -> DataFrame:
     """Thin columns take the median, others the top or median closest to the last chosen row and not above it by more than `up`."""
 
-    def step(prev, row):
-        low, med = row["_min"], row["_med"]
-        if row["_n"] <= 3:
-            value = med
-        elif prev is None:
-            value = low
-        else:
-            far = lambda q: abs(q - prev) if q >= prev - up else 1000
-            value = low if far(low) <= far(med) else med
-        return value, [(row[x], value)]
+    def after(prev):
+        far = lambda q: F.when(F.col(q) >= F.col(prev) - up, F.abs(F.col(q) - F.col(prev))).otherwise(1000)
+        return F.when(F.col("_n") <= 3, 1).when(F.col(prev).isNull(), 0).otherwise((far("_min") > far("_med")).cast("int"))
 
-    keys = as_list(key)
-    return fold(_columns(mask, keys, x, y), keys, [x], step, None, f"{x} int, {y} int")
+    return _top_or_median(mask, as_list(key), x, y, after)
 
 
 def column_overlap_rules(mask, height: int, key=("image_id", "color"), x="x", y="y", gray="color") -> DataFrame:
     """One row per column from its clusters; the rule that applied is kept as `rule`.
 
-    Everything but the continuity arms is decided inside the column; those leave two candidates to the fold.
+    Everything but the continuity arms is decided inside the column; those leave two candidates, the one nearer to the row chosen before.
     """
     keys = as_list(key)
     cols = mask.groupBy(*keys, x).agg(F.array_sort(F.collect_set(y)).alias("_ys"))
@@ -340,19 +336,17 @@ def column_overlap_rules(mask, height: int, key=("image_id", "color"), x="x", y=
     rows = cols.select(*keys, x, choice.alias("_c"), top.cast("int").alias("_top"), bottom.cast("int").alias("_bottom"))
     rows = rows.select(*keys, x, F.col("_c.rule").alias("_rule"), F.col("_c.y").alias("_y"), "_top", "_bottom")
 
-    def step(prev, row):
-        value, rule = row["_y"], row["_rule"]
-        if value is None:
-            kind = "gap_" if rule == "gap" else ""
-            if prev is None:
-                value, rule = row["_top"], "gap_prefer_top" if kind else "default_top"
-            elif abs(row["_top"] - prev) <= abs(row["_bottom"] - prev):
-                value, rule = row["_top"], f"{kind}continuity_top"
-            else:
-                value, rule = row["_bottom"], f"{kind}continuity_bottom"
-        return value, [(row[x], value, rule)]
-
-    return fold(rows, keys, [x], step, None, f"{x} int, {y} int, rule string")
+    rows = rows.withColumns({"_c0": F.coalesce("_y", "_top"), "_c1": F.coalesce("_y", "_bottom")})
+
+    def after(prev):
+        far = lambda q: F.abs(F.col(q) - F.col(prev))
+        return F.when(F.col("_y").isNotNull() | F.col(prev).isNull(), 0).otherwise((far("_top") > far("_bottom")).cast("int"))
+
+    o = two_way(Ordered(rows, keys, x).lag(_p0="_c0", _p1="_c1"), after("_p0"), after("_p1"))
+    gap, down = F.col("_rule") == "gap", F.col("_way") == 1
+    rule = (F.when(F.col("_y").isNotNull(), F.col("_rule")).when(F.col("_p0").isNull(), F.when(gap, "gap_prefer_top").otherwise("default_top"))
+            .otherwise(F.concat(F.when(gap, "gap_").otherwise(""), F.when(down, "continuity_bottom").otherwise("continuity_top"))))
+    return o.df.select(*keys, F.col(x).cast("int").alias(x), F.when(down, F.col("_c1")).otherwise(F.col("_c0")).cast("int").alias(y), rule.alias("rule"))
 
 
 # -- densities, edges, extents ---------------------------------------------------------------------

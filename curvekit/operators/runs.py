@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..fold import fold
+from ..islands import fold_islands, keep_since
 from ..ordered import Ordered
 from ..runtime import as_list, attach, cut_lineage
 from . import masks as m
@@ -179,12 +179,8 @@ def tick_marks(pixels, axes, reach=20, dark=100, every=5, width=3, share=0.5, ap
                       & (F.col("x") - off % every < F.col("x_axis_to")) & (off % every < width))
     dense = rows.groupBy("image_id", (F.col("x") - off % every).cast("int").alias("pos")).agg(F.count("*").alias("n")).where(F.col("n") > reach * share)
 
-    def step(last, row):
-        if last is None or row["pos"] - last > apart:
-            return row["pos"], [(row["pos"],)]
-        return last, []
-
-    return fold(dense.select("image_id", "pos"), "image_id", ["pos"], step, None, "pos int")
+    o = Ordered(dense.select("image_id", "pos"), "image_id", "pos").lag(_p="pos")
+    return keep_since(o, c("_p").isNull() | (c("pos") - c("_p") > apart), lambda last, row: row["pos"] - last["pos"] > apart, ["pos"])
 
 
 # -- connected components --------------------------------------------------------------------------
@@ -585,23 +581,19 @@ def dash_score(traced, pixels, image="image_id", key="curve_id", x="x", y="y", b
 def group_tokens_by_row(tokens, image="image_id", tol=15, y="center_y", x="center_x", seq=None) -> DataFrame:
     """Tokens with the row they join: the first anchor, in input order, within `tol`; other tokens become anchors.
 
-    Only the distinct whole rows of a page, with their first appearance, go through the fold; the anchors it keeps
-    are at least `tol` apart.
+    Only the distinct whole rows of a page, with their first appearance, matter; gaps of `tol` cut them into islands, each of which is gathered (at most
+    the height of a page) and read in input order.
     """
     seq = seq or [y, x]
     rows = tokens.withColumn("_y", F.floor(y).cast("int"))
     first = rows.groupBy(image, "_y").agg(F.min(F.struct(*seq)).alias("_s"))
-    first = first.select(image, "_y", *[F.col(f"_s.{k}").alias(f"_o{i}") for i, k in enumerate(seq)])
-    order = [f"_o{i}" for i in range(len(seq))]
-
-    def step(anchors, row):
-        here = row["_y"]
-        for a in anchors:
-            if abs(a - here) < tol:
-                return anchors, [(here, a)]
-        return anchors + (here,), [(here, here)]
-
-    found = fold(first, image, order + ["_y"], step, (), "_y int, row_y int")
+    o = Ordered(first, image, "_y").lag(_p="_y")
+    o = o.islands("_island", c("_p").isNull() | (c("_y") - c("_p") >= tol))
+    near = lambda a, b: F.abs(a - b) < tol
+    islands = o.df.groupBy(image, "_island").agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_y"))), lambda r: r["_y"]).alias("_ys"))
+    anchors = F.aggregate("_ys", F.array().cast("array<int>"), lambda seen, v: F.when(F.exists(seen, lambda a: near(a, v)), seen).otherwise(F.concat(seen, F.array(v))))
+    joined = islands.withColumn("_as", anchors).select(image, "_as", F.explode("_ys").alias("_y"))
+    found = joined.select(image, "_y", F.get(F.filter("_as", lambda a: near(a, c("_y"))), F.lit(0)).alias("row_y"))
     return attach(rows, found, [image, "_y"]).drop("_y")
 
 
@@ -610,18 +602,15 @@ def consolidate_regions(regions, key="curve_id", t="t", offset="offset", gap=1.0
     keys = as_list(key)
     kinds = dict(regions.dtypes)
 
-    def step(last, row):
-        now = (row[t], row[offset])
-        if last is None:
-            return now, []
-        if now[0] - last[0] < gap:
-            return (now if abs(now[1]) > abs(last[1]) else last), []
-        return now, [last]
+    kind = f"struct<{t}: {kinds[t]}, {offset}: {kinds[offset]}>"
 
-    def finish(last):
-        return [last] if last is not None else []
+    def step(last, row):
+        now = F.struct(row[t].alias(t), row[offset].alias(offset))
+        close = last.isNotNull() & (row[t] - last[t] < gap)
+        return F.when(close & (F.abs(row[offset]) <= F.abs(last[offset])), last).otherwise(now), F.when(~close, last)
 
-    kept = fold(regions.select(*keys, t, offset), keys, [t, offset], step, None, f"{t} {kinds[t]}, {offset} {kinds[offset]}", finish)
+    o = Ordered(regions.select(*keys, t, offset), keys, t, offset).lag(_p=t)
+    kept = fold_islands(o, c("_p").isNull() | (c(t) - c("_p") >= gap), step, kind, kind, finish=lambda last: last)
     neg = Ordered(kept.withColumn("_size", -F.abs(F.col(offset))), keys, "_size", [t]).row_number("rank")
     return neg.df.select(*keys, t, offset, "rank")
 
