@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .ordered import SLAB_ROWS, Ordered
 from .runtime import attach, cut_lineage, setting
 
-CHUNK = 512  # rows whose results are appended one by one; longer islands append whole chunks
+CHUNK = 64  # rows whose results are appended one by one
 HOT_CHUNK = 1 << 18  # rows of a hot key that are folded together
 
 
@@ -43,35 +43,35 @@ def fold_islands(o: Ordered, restart: Column, step, state: str, out: str, start:
     begin = (F.lit(None) if start is None else start).cast(state)
     none = F.array().cast(f"array<{out}>")
 
-    def one(acc, row):
-        old = acc["s"]
-        new, made = step(F.when(row["_r"], begin).otherwise(old), row)
-        outs = acc["o"]
-        if finish is not None:
-            outs = F.concat(outs, F.when(row["_r"] & old.isNotNull(), F.array(finish(old).cast(out))).otherwise(none))
-        return F.struct(new.cast(state).alias("s"), F.when(made.isNotNull(), F.concat(outs, F.array(made.cast(out)))).otherwise(outs).alias("o"))
+    def folded(rows: Column, entry: Column, within: bool) -> Column:
+        """The state after all rows, and what they put out; `within`: restart points may stand after the first row. Results are appended by chunks of rows, so
+        that a long island does not copy them row by row."""
 
-    def rows_from(rows: Column, entry: Column) -> Column:
-        return F.aggregate(rows, F.struct(entry.cast(state).alias("s"), none.alias("o")), one)
+        def one(acc, row):
+            new, made = step(F.when(row["_r"], begin).otherwise(acc["s"]) if within else acc["s"], row)
+            outs = [acc["o"], F.filter(F.array(made.cast(out)), lambda m: m.isNotNull())]
+            if finish is not None and within:
+                outs.insert(1, F.filter(F.array(F.when(row["_r"], finish(acc["s"])).cast(out)), lambda m: m.isNotNull()))
+            return F.struct(new.cast(state).alias("s"), F.concat(*outs).alias("o"))
 
-    def folded(rows: Column, entry: Column) -> Column:
-        """The state after all rows, and what they put out."""
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda i: F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)))
         first = F.struct(F.struct(entry.cast(state).alias("s"), none.alias("o")).alias("r"), F.array().cast(f"array<array<{out}>>").alias("p"))
-        long = F.aggregate(chunks, first, lambda acc, chunk: F.struct(rows_from(chunk, acc["r"]["s"]).alias("r"), F.concat(acc["p"], F.array(acc["r"]["o"])).alias("p")),
+        return F.aggregate(chunks, first, lambda acc, chunk: F.struct(F.aggregate(chunk, F.struct(acc["r"]["s"].alias("s"), none.alias("o")), one).alias("r"),
+                                                                      F.concat(acc["p"], F.array(acc["r"]["o"])).alias("p")),
                            lambda acc: F.struct(acc["r"]["s"].alias("s"), F.flatten(F.concat(acc["p"], F.array(acc["r"]["o"]))).alias("o")))
-        return F.when(F.size(rows) <= CHUNK, rows_from(rows, entry)).otherwise(long)
 
     def put_out(done: DataFrame, last: Column) -> DataFrame:
-        rows = F.col("_f.o")
-        if finish is not None:
-            rows = F.concat(rows, F.when(last & F.col("_f.s").isNotNull(), F.array(finish(F.col("_f.s")).cast(out))).otherwise(none))
-        return done.select(*keys, F.explode(rows).alias("_o")).select(*[k for k in keys if k != "_all"], "_o.*")
+        if finish is None:
+            rows = F.col("_f.o")
+        else:
+            rows = F.concat("_f.o", F.filter(F.array(F.when(last, finish(F.col("_f.s"))).cast(out)), lambda m: m.isNotNull()))
+        # not `explode`: Spark would put its test for empty arrays, and with it the whole fold, into a filter of its own
+        return done.select(*keys, F.explode_outer(rows).alias("_o")).where(F.col("_o").isNotNull()).select(*[k for k in keys if k != "_all"], "_o.*")
 
     gathered = F.array_sort(F.collect_list(F.struct(*cols))).alias("_rows")
     cold = o.running(_island=("sum", F.col("_r").cast("int")))._cold
     islands = cold.groupBy(*keys, "_island").agg(gathered)  # keys of more rows than `curvekit.slabRows` are below
-    found = put_out(islands.select(*keys, folded(F.col("_rows"), begin).alias("_f")), F.lit(True))
+    found = put_out(islands.select(*keys, folded(F.col("_rows"), begin, False).alias("_f")), F.lit(True))
     if o._hot is None:
         return found
 
@@ -81,7 +81,7 @@ def fold_islands(o: Ordered, restart: Column, step, state: str, out: str, start:
     order = Window.partitionBy(*keys).orderBy("_run")
 
     def ends(part: DataFrame) -> DataFrame:
-        return cut_lineage(part.select(*keys, "_run", "_entry", folded(F.col("_rows"), F.col("_entry"))["s"].alias("_exit")))
+        return cut_lineage(part.select(*keys, "_run", "_entry", folded(F.col("_rows"), F.col("_entry"), True)["s"].alias("_exit")))
 
     states = ends(runs.withColumn("_entry", begin))
     while True:
@@ -93,7 +93,7 @@ def fold_islands(o: Ordered, restart: Column, step, state: str, out: str, start:
         both = states.withColumn("_new", F.lit(0)).unionByName(again.withColumn("_new", F.lit(1)))
         states = cut_lineage(both.groupBy(*keys, "_run").agg(F.max_by(F.struct("_entry", "_exit"), "_new").alias("_m")).select(*keys, "_run", "_m._entry", "_m._exit"))
     last = states.withColumn("_last", F.lead("_run", 1).over(order).isNull()).select(*keys, "_run", "_entry", "_last")
-    done = attach(runs, last, [*keys, "_run"]).select(*keys, "_last", folded(F.col("_rows"), F.col("_entry")).alias("_f"))
+    done = attach(runs, last, [*keys, "_run"]).select(*keys, "_last", folded(F.col("_rows"), F.col("_entry"), True).alias("_f"))
     return found.unionByName(put_out(done, F.col("_last")))
 
 
@@ -104,7 +104,7 @@ def keep_since(o: Ordered, restart: Column, keep, columns: list[str]) -> DataFra
 
     def step(last, row):
         own = F.struct(*[row[c].alias(c) for c in columns])
-        stays = last.isNull() | row["_r"] | F.coalesce(keep(last, row), F.lit(False))
-        return F.when(stays, own).otherwise(last), F.when(stays, own)
+        made = F.when(last.isNull() | row["_r"] | F.coalesce(keep(last, row), F.lit(False)), own)
+        return F.coalesce(made, last), made
 
     return fold_islands(o, restart, step, kind, kind)

@@ -173,97 +173,77 @@ def any_in_gap(gaps, mask, image="image_id", x="x", lo="y1", hi="y2", inset=2, t
 
 # -- names -----------------------------------------------------------------------------------------
 
-def _name_keys(name: Column, whole: bool) -> Column:
-    """Join keys of a name: its lower-case and alphanumeric forms (or all their substrings) and its 4-letter start."""
-    low = F.lower(name)
-    bare = F.regexp_replace(low, "[^a-z0-9]", "")
+GRAM = 4
 
-    def parts(c, tag):
-        one = F.array(F.concat(F.lit(tag), c))
-        if whole:
-            return one
-        n = F.length(c)
-        subs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-            F.sequence(F.lit(1), n - i + 1), lambda k: F.concat(F.lit(tag), F.substring(c, i, k)))))
-        return F.when(n > 0, subs).otherwise(F.array(F.lit(tag)))
 
-    # an empty lower-case name is contained in every name; an empty alphanumeric form never matches
-    raw = parts(low, "r:") if whole else F.array_union(parts(low, "r:"), F.array(F.lit("r:")))
-    clean = F.when(bare != "", parts(bare, "n:")).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(raw, clean))
+def _name_forms(names: DataFrame, name: str) -> DataFrame:
+    """`names` with one row for each form of the name that is compared: `form` (raw: lower case, bare: letters and digits only) and `text`."""
+    low = F.lower(name)
+    bare = F.regexp_replace(low, "[^a-z0-9]", "")
+    forms = F.array(F.struct(F.lit("raw").alias("form"), low.alias("text")), F.struct(F.lit("bare").alias("form"), bare.alias("text")))
+    return names.select("*", F.explode(forms).alias("_f")).select(*names.columns, "_f.form", "_f.text").where((F.col("text") != "") | (F.col("form") == "raw"))
 
 
-def fuzzy_pairs(left, right, image="image_id", a="name_a", b="name_b") -> DataFrame:
-    """Pairs of similar names: one contains the other (case-insensitive, or by letters and digits only), or their
-    alphanumeric forms share the first four letters.
+def _contained(hay: DataFrame, needles: DataFrame, image: str, carry: list[str]) -> DataFrame:
+    """`image, form, text` and `carry` for each needle text that a name of `hay` contains.
 
-    Containment becomes equality: the contained name equals one of the substrings of the other.
+    A name contains a text when one of its suffixes begins with it. Suffixes meet the needles' first four letters, which bring the lengths of the needles that
+    begin so (at most as many as a name is long); only there are substrings made. Needles of fewer letters bring their lengths to all names of their image.
     """
-    la, rb = left.select(image, a).distinct(), right.select(F.col(image).alias("_img"), b).distinct()
-    bare = lambda n: F.regexp_replace(F.lower(F.col(n)), "[^a-z0-9]", "")
-    starts = lambda n: F.when(F.length(bare(n)) >= 4, F.array(F.substring(bare(n), 1, 4)))
-    same = [F.col(image).eqNullSafe(F.col("_img")), F.col("_ka") == F.col("_kb")]
-
-    def joined(ka, kb):
-        return la.withColumn("_ka", F.explode(ka)).join(rb.withColumn("_kb", F.explode(kb)), same).select(image, a, b)
-
-    pairs = (joined(_name_keys(F.col(a), True), _name_keys(F.col(b), False))
-             .unionByName(joined(_name_keys(F.col(a), False), _name_keys(F.col(b), True)))
-             .unionByName(joined(starts(a), starts(b))))
-    return pairs.distinct()
+    n = F.length("text")
+    sizes = F.array_sort(F.collect_set(n)).alias("_sizes")
+    near = [F.col(image).eqNullSafe(F.col("_img")), F.col("form") == F.col("_form")]
+    known = needles.select(F.col(image).alias("_img"), F.col("form").alias("_form"), "text")
+    starts = known.where(n >= GRAM).groupBy("_img", "_form", F.substring("text", 1, GRAM).alias("_gram")).agg(sizes)
+    ends = hay.where(n >= GRAM).select(image, "form", *carry, F.explode(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substring("text", i, n))).alias("_end"))
+    met = ends.join(starts, [*near, F.substring("_end", 1, GRAM) == F.col("_gram")])
+    long = met.select(image, "form", *carry, F.explode(F.transform(F.filter("_sizes", lambda k: k <= F.length("_end")), lambda k: F.substring(F.col("_end"), F.lit(1), k))).alias("text"))
+    few = known.where(n < GRAM).groupBy("_img", "_form").agg(sizes)
+    parts = F.flatten(F.transform(F.filter("_sizes", lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k, F.lit(0)) + 1), lambda i: F.substring(F.col("text"), i, k))))
+    short = hay.join(few, near).select(image, "form", *carry, F.explode(F.array_distinct(parts)).alias("text"))
+    return long.unionByName(short)
 
 
 def first_similar(left, right, image="image_id", a="name_a", b="name_b", order: str | None = None) -> DataFrame:
-    """For each b of `right` the first similar a of `left` (by the column `order` of `left`, then by name), similar as in `fuzzy_pairs`.
+    """For each b of `right` the first similar a of `left` (by the column `order` of `left`, then by name).
 
-    Both sides are reduced to the first name of each join key before they meet, so no pairs of names are made: a key gives one row for each b.
+    Names are similar when one contains the other (case-insensitive, or by letters and digits only), or when their letters and digits share the first four.
+    Both sides are reduced to the first name of each text before they meet, so no pairs of names are made: a text gives one row for each b.
     """
-    bare = lambda n: F.regexp_replace(F.lower(F.col(n)), "[^a-z0-9]", "")
-    starts = lambda n: F.when(F.length(bare(n)) >= 4, F.array(F.substring(bare(n), 1, 4))).otherwise(F.array().cast("array<string>"))
-    tagged = lambda tag, keys: F.transform(keys, lambda k: F.concat(F.lit(tag), k))
     seq = F.lit(0) if order is None else F.col(order)
-    la = left.select(image, F.struct(seq.alias("seq"), F.col(a).alias("name")).alias("_first"),
-                     F.explode(F.array_distinct(F.concat(tagged("w", _name_keys(F.col(a), True)), tagged("s", _name_keys(F.col(a), False)), tagged("t", starts(a))))).alias("_k"))
-    la = la.groupBy(image, "_k").agg(F.min("_first").alias("_first"))
-    rb = right.select(F.col(image).alias("_img"), b).distinct().select(
-        "_img", b, F.explode(F.array_distinct(F.concat(tagged("w", _name_keys(F.col(b), False)), tagged("s", _name_keys(F.col(b), True)), tagged("t", starts(b))))).alias("_kb"))
-    met = la.join(rb, [F.col(image).eqNullSafe(F.col("_img")), F.col("_k") == F.col("_kb")])
+    la = left.where(F.col(a).isNotNull()).groupBy(image, a).agg(F.min(F.struct(seq.alias("seq"), F.col(a).alias("name"))).alias("_first"))
+    la = _name_forms(la, a).select(image, "form", "text", "_first")
+    rb = _name_forms(right.where(F.col(b).isNotNull()).select(image, b).distinct(), b)
+    start = lambda df: df.where((F.col("form") == "bare") & (F.length("text") >= GRAM)).withColumns({"form": F.lit("start"), "text": F.substring("text", 1, GRAM)})
+    firsts = lambda df: df.groupBy(image, "form", "text").agg(F.min("_first").alias("_first"))
+
+    inside_a = firsts(_contained(la, rb, image, ["_first"]).unionByName(start(la)))
+    inside_b = _contained(rb, la, image, [b]).distinct()
+    on = lambda x, y: x.join(y.select(F.col(image).alias("_img"), F.col("form").alias("_form"), F.col("text").alias("_text"), *[c for c in y.columns if c not in (image, "form", "text")]),
+                             [F.col(image).eqNullSafe(F.col("_img")), F.col("form") == F.col("_form"), F.col("text") == F.col("_text")]).select(image, b, "_first")
+    met = on(rb.unionByName(start(rb)), inside_a).unionByName(on(inside_b, firsts(la)))
     return met.groupBy(image, b).agg(F.min("_first").getField("name").alias(a))
 
 
-def first_match(pairs, image="image_id", a="name_a", b="name_b") -> DataFrame:
-    """For each b the first similar a by name."""
-    return pairs.groupBy(image, b).agg(F.min(a).alias(a))
-
-
 def merge_box_passes(first, second, image="image_id", seq="seq", near=10) -> DataFrame:
     """First-pass boxes, and the second-pass ones (in `seq` order) not within `near` pixels in x and y of an earlier one.
 
-    Boxes at the same place as an earlier one never survive, so the fold sees each place once, and what it keeps
-    per image is at least `near` pixels apart.
+    Boxes at the same place as an earlier one never survive, so each place is seen once. Boxes on two sides of a gap of `near` without a box do not matter to
+    each other: gaps in x, then in y cut an image into islands, each of which is gathered (the boxes of one spot of a picture) and read in `seq` order.
     """
-    from ..fold import fold
     cols = [image, "x", "y", "w", "h"]
     zone = first.select(image, (F.col("x") - (near - 1)).alias("x1"), (F.col("y") - (near - 1)).alias("y1"),
                         (F.col("x") + near).alias("x2"), (F.col("y") + near).alias("y2"))
     fresh = in_boxes(second, zone, image, tile=32)
-    once = fresh.groupBy(image, "x", "y").agg(F.min(F.struct(seq, "w", "h")).alias("_r")).select(
-        image, F.col(f"_r.{seq}").alias(seq), "x", "y", "_r.w", "_r.h")
-    kinds = dict(first.dtypes)
-
-    def step(kept, row):
-        kept = {} if kept is None else kept
-        cx, cy = row["x"] // near, row["y"] // near
-        for ax in (cx - 1, cx, cx + 1):
-            for ay in (cy - 1, cy, cy + 1):
-                for px, py in kept.get((ax, ay), ()):
-                    if abs(px - row["x"]) < near and abs(py - row["y"]) < near:
-                        return kept, []
-        kept.setdefault((cx, cy), []).append((row["x"], row["y"]))
-        return kept, [(row["x"], row["y"], row["w"], row["h"])]
-
-    ddl = ", ".join(f"{c} {kinds[c]}" for c in cols[1:])
-    return first.select(*cols).unionByName(fold(once, image, [seq, "x", "y"], step, None, ddl))
+    once = fresh.groupBy(image, "x", "y").agg(F.min(F.struct(seq, "w", "h")).alias("_r"))
+    places = once.select(image, "x", "y", F.struct(F.col(f"_r.{seq}").alias("seq"), "x", "y", "_r.w", "_r.h").alias("_box"))
+    far = F.col("_p").isNull() | (F.col("_at") - F.col("_p") >= near)
+    o = Ordered(places.withColumn("_at", F.col("x")), image, "_at", ["y"]).lag(_p="_at").islands("_i", far)
+    o = Ordered(o.df.withColumn("_at", F.col("y")), [image, "_i"], "_at", ["x"]).lag(_p="_at").islands("_k", far)
+    boxes = o.df.groupBy(image, "_i", "_k").agg(F.array_sort(F.collect_list("_box")).alias("_boxes"))
+    close = lambda p, q: (F.abs(p["x"] - q["x"]) < near) & (F.abs(p["y"] - q["y"]) < near)
+    kept = F.aggregate("_boxes", F.slice("_boxes", 1, 0), lambda kept, b: F.when(F.exists(kept, lambda p: close(p, b)), kept).otherwise(F.concat(kept, F.array(b))))
+    return first.select(*cols).unionByName(boxes.select(image, F.explode_outer(kept).alias("_b")).select(image, "_b.x", "_b.y", "_b.w", "_b.h"))
 
 
 # -- masks -----------------------------------------------------------------------------------------

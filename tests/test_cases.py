@@ -1,5 +1,6 @@
 """Hand-written cases, properties and brute-force comparisons on small inputs."""
 import random
+import re
 import struct
 import zlib
 
@@ -241,10 +242,31 @@ def test_fix_continuity_equals_walk(spark, seed):
 def test_fuzzy_names(spark):
     a = spark.createDataFrame([(1, "Arm A"), (1, "Placebo"), (1, "x")], "image_id long, name_a string")
     b = spark.createDataFrame([(1, "the arm-a group"), (1, "PLAC."), (1, "Other"), (1, "??")], "image_id long, name_b string")
-    got = {(r["name_a"], r["name_b"]) for r in joins.fuzzy_pairs(a, b).collect()}
+    got = {(r["name_a"], r["name_b"]) for r in joins.first_similar(a, b).collect()}
     assert got == {("Arm A", "the arm-a group"), ("Placebo", "PLAC.")}
 
 
+def test_first_similar_equals_rule(spark):
+    """All names of up to six letters and marks, with empty, short and null ones, against the rule for each pair."""
+    rnd = random.Random(11)
+    name = lambda: None if rnd.random() < 0.03 else "".join(rnd.choice("aAb1- .") for _ in range(rnd.choice([0, 1, 2, 3, 4, 5, 6, 9])))
+    left = [(rnd.choice([1, 2, None]), name()) for _ in range(60)]
+    right = [(rnd.choice([1, 2, None]), name()) for _ in range(90)]
+    bare = lambda s: re.sub("[^a-z0-9]", "", s.lower())
+
+    def similar(x, y):
+        p, q = bare(x), bare(y)
+        return (x.lower() in y.lower() or y.lower() in x.lower() or bool(p and q) and (p in q or q in p) or len(p) >= 4 and len(q) >= 4 and p[:4] == q[:4])
+
+    want = {}
+    for i, y in right:
+        near = [x for k, x in left if k == i and x is not None and y is not None and similar(x, y)]
+        if near:
+            want[i, y] = min(near)
+    got = joins.first_similar(spark.createDataFrame(left, "image_id long, name_a string"), spark.createDataFrame(right, "image_id long, name_b string")).collect()
+    assert {(r["image_id"], r["name_b"]): r["name_a"] for r in got} == want and len(got) == len(want)
+
+
 def test_merge_box_passes(spark):
     f = spark.createDataFrame([(1, 50, 50, 5, 5)], "image_id long, x int, y int, w int, h int")
     s = spark.createDataFrame([(1, i, x, y, 5, 5) for i, (x, y) in enumerate([(55, 55), (80, 80), (85, 85), (92, 80), (80, 80)])],
