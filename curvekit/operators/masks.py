@@ -29,6 +29,7 @@ def rect(w: int, h: int) -> list[tuple[int, int]]:
     return [(i - w // 2, j - h // 2) for j in range(h) for i in range(w)]
 
 
+FAR = 1 << 30
 CROSS = [(0, -1), (-1, 0), (0, 0), (1, 0), (0, 1)]
 
 
@@ -46,19 +47,65 @@ def _spread(mask, keys, offsets):
     return mask.select(*keys, F.explode(moves).alias("_m")).select(*keys, "_m.x", "_m.y")
 
 
+def _box(kernel) -> tuple[int, int, int, int] | None:
+    """Smallest and largest dx and dy of a kernel that is a full rectangle around its anchor."""
+    xs, ys = {dx for dx, _ in kernel}, {dy for _, dy in kernel}
+    x1, x2, y1, y2 = min(xs), max(xs), min(ys), max(ys)
+    full = len(set(kernel)) == (x2 - x1 + 1) * (y2 - y1 + 1)
+    return (x1, x2, y1, y2) if full and x1 <= 0 <= x2 and y1 <= 0 <= y2 else None
+
+
+def _stretches(mask, keys, line, pos, gap):
+    """First and last cell of each stretch along `pos` without a step of more than `gap`. A partition is one row or column of one picture."""
+    w = Window.partitionBy(*keys, line).orderBy(pos)
+    rows = mask.withColumn("_s", (F.coalesce(F.col(pos) - F.lag(pos).over(w), F.lit(FAR)) > gap).cast("int")).withColumn("_run", F.sum("_s").over(w))
+    return rows.groupBy(*keys, line, "_run").agg(F.min(pos).alias("_a"), F.max(pos).alias("_b"))
+
+
+def _cells(stretches, keys, line, pos, first, last):
+    rows = stretches.withColumns({"_c": first, "_d": last}).where(F.col("_c") <= F.col("_d"))
+    return rows.select(*keys, line, F.explode(F.sequence("_c", "_d")).alias(pos))
+
+
+def _widened(mask, keys, line, pos, lo, hi):
+    """Every cell moved by -hi to -lo along `pos`: stretches that would touch are one, so the work does not grow with the reach."""
+    return _cells(_stretches(mask, keys, line, pos, hi - lo + 1), keys, line, pos, F.col("_a") - hi, F.col("_b") - lo)
+
+
+def _narrowed(mask, images, keys, line, pos, lo, hi, size):
+    """Cells whose neighbours from lo to hi along `pos` are all set, or outside the picture if `images` are given."""
+    rows = _stretches(mask, keys, line, pos, 1)
+    first, last = F.col("_a") - lo, F.col("_b") - hi
+    if images is not None:
+        rows = attach(rows, images.select("image_id", size), ["image_id"])
+        first = F.when(F.col("_a") == 0, 0).otherwise(first)
+        last = F.when(F.col("_b") == F.col(size) - 1, F.col("_b")).otherwise(last)
+    return _cells(rows, keys, line, pos, first, last)
+
+
 def dilate(mask, kernel=None, n=1, images=None, keys=("image_id",)) -> DataFrame:
+    """Full rectangles widen the stretches of each row, then of each column; other kernels move every cell by every offset."""
     keys, kernel = as_list(keys), kernel or rect(3, 3)
-    out = mask.select(*keys, "x", "y")
+    out, box = mask.select(*keys, "x", "y"), _box(kernel)
     for _ in range(n):
-        out = _inside(_spread(out, keys, [(-dx, -dy) for dx, dy in kernel]), images, keys).distinct()
+        if box is None:
+            out = _inside(_spread(out, keys, [(-dx, -dy) for dx, dy in kernel]), images, keys).distinct()
+        else:
+            wide = _widened(out, keys, "y", "x", box[0], box[1])
+            out = _inside(_widened(wide, keys, "x", "y", box[2], box[3]).select(*keys, "x", "y"), images, keys)
     return out
 
 
 def erode(mask, kernel=None, n=1, images=None, keys=("image_id",)) -> DataFrame:
-    """Cells whose whole kernel neighbourhood is set: each set cell votes for the cells it belongs to."""
+    """Cells whose whole kernel neighbourhood is set. Full rectangles narrow the stretches of each row, then of each column; with other kernels each set cell
+    votes for the cells it belongs to."""
     keys, kernel = as_list(keys), kernel or rect(3, 3)
-    out = mask.select(*keys, "x", "y").distinct()
+    out, box = mask.select(*keys, "x", "y").distinct(), _box(kernel)
     for _ in range(n):
+        if box is not None:
+            narrow = _narrowed(out, images, keys, "y", "x", box[0], box[1], "width")
+            out = _inside(_narrowed(narrow, images, keys, "x", "y", box[2], box[3], "height").select(*keys, "x", "y"), images, keys)
+            continue
         votes = _inside(_spread(out, keys, [(-dx, -dy) for dx, dy in kernel]), images, keys)
         votes = votes.groupBy(*keys, "x", "y").agg(F.count("*").alias("_n"))
         need = F.lit(len(kernel))
@@ -80,9 +127,6 @@ def closed(mask, kernel=None, images=None, keys=("image_id",)) -> DataFrame:
 
 # -- thin lines ------------------------------------------------------------------------------------
 
-FAR = 1 << 30
-
-
 def _span(df, part, pos, size):
     """Distance from each cell to the first unset cell before and after it in its run along `pos`.
 

@@ -192,10 +192,13 @@ def fresh(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("s01_scan_images")
+@query("s01_scan_images", "SELECT p_size AS image_id, true AS found FROM part GROUP BY 1")
 def s01(spark, sf):
-    """The listing itself works on any file type; the data folder holds parquet files."""
-    return files.scan_images(spark, sf, ("parquet",)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """The listing works on any file type: each part size has files of its own, written first."""
+    path = fresh(spark, "scan")
+    table(spark, sf, "part").select("p_size", "p_name").repartition("p_size").write.partitionBy("p_size").text(path)
+    found = files.scan_images(spark, path, ("txt",))
+    return found.groupBy(F.regexp_extract("path", r"p_size=(\d+)", 1).cast("int").alias("image_id")).agg((F.min("length") > 0).alias("found"))
 
 
 @query("s02_read_pixels", """SELECT vec_id AS image_id, CAST((i - 1) % 8 AS INTEGER) AS x, CAST((i - 1) // 8 AS INTEGER) AS y, g AS b, g, g AS r FROM (SELECT vec_id, i, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1e0) * 127) AS INTEGER) AS g FROM embeddings, (SELECT unnest(range(1, 65)) AS i) q) WHERE g < 140""")
@@ -207,6 +210,18 @@ def s02(spark, sf):
     return files.read_pixels(im, white=140)
 
 
+@query("s02_read_pixels_cropped", """SELECT vec_id AS image_id, CAST((i - 1) % 8 AS INTEGER) AS x, CAST((i - 1) // 8 AS INTEGER) AS y, g AS b, g, g AS r FROM (SELECT vec_id, i, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1e0) * 127) AS INTEGER) AS g FROM embeddings, (SELECT unnest(range(1, 65)) AS i) q)
+    WHERE g < 140 AND (vec_id % 7 = 0 OR ((i - 1) % 8 >= vec_id % 5 AND (i - 1) % 8 < vec_id % 5 + 4 AND (i - 1) // 8 >= vec_id % 3 - 1 AND (i - 1) // 8 < vec_id % 3 + 5))""")
+def s02_cropped(spark, sf):
+    """As s02, but each picture has a plot rectangle of its own, every seventh none."""
+    e = table(spark, sf, "embeddings")
+    hexed = F.array_join(F.transform("embedding", lambda q: F.lpad(F.hex(F.floor((q.cast("double") + 1.0) * 127)), 2, "0")), "")
+    left = F.when(F.col("vec_id") % 7 != 0, F.col("vec_id") % 5)
+    im = e.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex(hexed).alias("data"),
+                  left.alias("left"), (F.col("vec_id") % 3 - 1).alias("top"), F.lit(4).alias("wide"), F.lit(6).alias("high"))
+    return files.read_pixels(im, white=140, bounds=("left", "top", "wide", "high"))
+
+
 @query("s03_read_calibration_json", "SELECT CAST(n_nationkey AS BIGINT) AS image_id, 10 + n_nationkey AS x_0_pixel, 400 AS x_max_pixel, 300 AS y_0_pixel, 20 AS y_100_pixel, 24e0 + n_regionkey AS time_max FROM nation")
 def s03(spark, sf):
     path = fresh(spark, "calibration")

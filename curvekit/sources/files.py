@@ -31,9 +31,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def read_pixels(images: DataFrame, key="image_id", white=250, bounds: tuple | None = None) -> DataFrame:
     """Pixel rows of image rows (height, width, nChannels, data), without near-white ones.
 
-    `bounds` (x, y, w, h) and `white` are applied while the bytes are unpacked, so only useful pixels leave the mapper.
-    A picture is sent on in slices of rows; one that could not be decoded has no pixels.
+    `bounds` is a rectangle (x, y, w, h): numbers for all pictures, or four columns of `images` with each picture's own plot rectangle (a picture without one
+    is read as a whole). Rectangle and `white` are applied while the bytes are unpacked, and rows of pixels outside the rectangle are not looked at, so only
+    useful pixels leave the mapper. A picture is sent on in slices of rows; one that could not be decoded has no pixels.
     """
+    sides = [F.lit(None)] * 4 if bounds is None else [F.col(b) if isinstance(b, str) else F.lit(b) for b in bounds]
     schema = T.StructType([images.schema[key]] + [T.StructField(n, T.IntegerType()) for n in ("x", "y", "b", "g", "r")])
     arrow = to_arrow_schema(schema)
     key_type = arrow.field(0).type
@@ -46,22 +48,21 @@ def read_pixels(images: DataFrame, key="image_id", white=250, bounds: tuple | No
                 if not h or h < 0 or row["data"].as_py() is None:
                     continue  # not decoded; read_images reports it
                 data = np.frombuffer(row["data"].as_py(), np.uint8).reshape(h, w, n)
-                for top in range(0, h, 256):
-                    part = data[top:top + 256]
+                box = [row[f"_b{k}"].as_py() for k in range(4)]
+                x0, y0, bw, bh = (0, 0, w, h) if None in box else box
+                x0, x1, y0, y1 = max(x0, 0), min(x0 + bw, w), max(y0, 0), min(y0 + bh, h)
+                for top in range(y0, y1, 256):
+                    part = data[top:min(top + 256, y1), x0:max(x1, x0)]
                     bgr = np.repeat(part, 3, axis=2) if n == 1 else part[:, :, :3]
                     keep = bgr.min(axis=2) < white
-                    if bounds is not None:
-                        x0, y0, bw, bh = bounds
-                        yy, xx = np.mgrid[top:top + part.shape[0], 0:w]
-                        keep &= (xx >= x0) & (xx < x0 + bw) & (yy >= y0) & (yy < y0 + bh)
                     ys, xs = np.nonzero(keep)
                     if len(ys):
                         picked = bgr[ys, xs].astype(np.int32)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([row[key].as_py()] * len(ys), key_type), pa.array(xs.astype(np.int32)), pa.array((ys + top).astype(np.int32)),
+                            [pa.array([row[key].as_py()] * len(ys), key_type), pa.array((xs + x0).astype(np.int32)), pa.array((ys + top).astype(np.int32)),
                              *[pa.array(np.ascontiguousarray(picked[:, k])) for k in range(3)]], schema=arrow)
 
-    return images.select(key, "height", "width", "nChannels", "data").mapInArrow(unpack, schema)
+    return images.select(key, "height", "width", "nChannels", "data", *[b.cast("int").alias(f"_b{k}") for k, b in enumerate(sides)]).mapInArrow(unpack, schema)
 
 
 def read_calibration_json(spark: SparkSession, path: str) -> DataFrame:

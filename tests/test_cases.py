@@ -408,3 +408,23 @@ def test_extend_plateau(spark):
     got = clean.extend_plateau(spark.createDataFrame(rows, "image_id long, style string, x int, y double"))
     up = {r["x"]: (r["y"], r["present"]) for r in got.where("style = 'dashed'").collect()}
     assert up[45] == (20.0, True) and up[60] == (20.0, False) and max(up) == 79
+
+
+@pytest.mark.parametrize("sized", [False, True])
+def test_rectangles_equal_offsets(spark, sized):
+    """Morphology by stretches against every offset of the kernel."""
+    from curvekit.operators import masks
+
+    rnd = random.Random(4)
+    size = {1: (9, 7), 2: (5, 12)}
+    cells = {(i, x, y) for i, (w, h) in size.items() for x in range(w) for y in range(h) if rnd.random() < 0.8}
+    df = spark.createDataFrame(sorted(cells), "image_id int, x int, y int")
+    images = spark.createDataFrame([(i, *s) for i, s in size.items()], "image_id int, width int, height int") if sized else None
+    for w, h in ((3, 3), (1, 4), (5, 2)):
+        kernel = masks.rect(w, h)
+        spots = [(i, x, y) for i in size for x in range(-6, 20) for y in range(-6, 20)]
+        inside = lambda i, x, y: x >= 0 and y >= 0 and (not sized or (x < size[i][0] and y < size[i][1]))
+        wide = {p for p in spots if inside(*p) and any((p[0], p[1] + dx, p[2] + dy) in cells for dx, dy in kernel)}
+        narrow = {p for p in spots if inside(*p) and all((q := (p[0], p[1] + dx, p[2] + dy)) in cells or sized and not inside(*q) for dx, dy in kernel)}
+        assert {tuple(r) for r in masks.dilate(df, kernel, images=images).collect()} == wide
+        assert {tuple(r) for r in masks.erode(df, kernel, images=images).collect()} == narrow
