@@ -135,17 +135,19 @@ def _column_neighbours(cells, probes, image):
 def nearest_dark(points, dark, image="image_id", x="px", y="py", radius=8) -> DataFrame:
     """Closest dark pixel within a square of `radius`: `dist` (null when none) and its row `near_y`.
 
-    Each point looks up its closest pixel above and below in every column within reach, so no pairs are made; ties go
-    to the first in (dy, dx). Copies of a point or a pixel are looked up once.
+    Each point looks up its closest pixel above and below in its own column first, then only in the columns that are no farther away than that pixel;
+    a point on a dark pixel asks for no more. No pairs are made; ties go to the first in (dy, dx). Copies of a point or a pixel are looked up once.
     """
     cells = dark.select(image, F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
-    asked = points.select(image, F.col(x).alias("_px"), F.col(y).alias("_y")).distinct()
-    probes = asked.select(image, "_px", "_y", F.explode(F.sequence(F.col("_px") - radius, F.col("_px") + radius)).alias("_x"))
-    near = _column_neighbours(cells, probes, image)
-    dx = F.col("_x") - F.col("_px")
-    found = F.array(*[F.when(F.abs(F.col(n) - F.col("_y")) <= radius, F.struct(
-        (dx * dx + (F.col(n) - F.col("_y")) * (F.col(n) - F.col("_y"))).alias("d2"), (F.col(n) - F.col("_y")).alias("dy"), dx.alias("dx"))) for n in ("_up", "_down")])
-    best = near.select(image, "_px", "_y", F.array_min(found).alias("_f")).groupBy(image, "_px", "_y").agg(F.min("_f").alias("_b")).where("_b is not null")
+    dx, dy = F.col("_x") - F.col("_px"), lambda n: F.col(n) - F.col("_y")
+    found = F.array_min(F.array(*[F.when(F.abs(dy(n)) <= radius, F.struct((dx * dx + dy(n) * dy(n)).alias("d2"), dy(n).alias("dy"), dx.alias("dx"))) for n in ("_up", "_down")]))
+    asked = points.select(image, F.col(x).alias("_px"), F.col(y).alias("_y")).distinct().withColumn("_x", F.col("_px"))
+    own = _column_neighbours(cells, asked, image).select(image, "_px", "_y", found.alias("_f"))
+    # a column as far away as the pixel found can still hold one that comes first in (dy, dx); the own column is looked up again, which spares a second use of the rows
+    reach = F.coalesce(F.abs("_f.dy"), F.lit(radius))
+    probes = own.select(image, "_px", "_y", F.explode(F.sequence(F.col("_px") - reach, F.col("_px") + reach)).alias("_x"))
+    near = _column_neighbours(cells, probes, image).select(image, "_px", "_y", found.alias("_f"))
+    best = near.groupBy(image, "_px", "_y").agg(F.min("_f").alias("_b")).where("_b is not null")
     best = best.select(image, F.col("_px").alias(x), F.col("_y").alias(y), F.sqrt(F.col("_b.d2").cast("double")).alias("dist"), (F.col("_y") + F.col("_b.dy")).alias("near_y"))
     return attach(points, best, [image, x, y])
 
