@@ -1,7 +1,7 @@
 """Operators on the curves of one image: divergence, merging, ordering, crossings, labels."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ordered import Ordered
@@ -202,6 +202,101 @@ def relabel_by_overlap(curves, overlaps, image="image_id", key="curve_id", style
     return out.select(*curves.columns, F.when(F.col("_swap"), sibling).otherwise(F.col(style)).alias("new_style"))
 
 
+# The columns of the plot, and the grey levels, gaps and limits by which a line counts as dashed.
+BAND = (0.40, 0.70)
+BAND_COLUMNS, BAND_TRACED = 30, 10
+BAND_DARK, BAND_LEAST, BAND_RATIO = 150, 0.1, 1.3
+MIDDLE = (0.25, 0.85)
+CURVE_COLUMNS, MIDDLE_COLUMNS, SAMPLES = 50, 30, 200
+DARK_SHARE, GAP, GAPS_FOR_REGULARITY = 0.3, 2, 3
+DASH_RATIO, DASH_GAPS = (0.15, 0.40), (5, 30)
+SCORE_APART = 0.2
+
+
+def _darkest(asked, pixels, images, image, half=2) -> DataFrame:
+    """Rows of `asked` whose (x, y) lies in the picture, with `gray`: the darkest pixel at most `half` rows above or below (255 where there is none).
+
+    A position asks for five cells, so no pairs are made; many curves that ask for a position ask once.
+    """
+    spot = attach(asked.select(image, "x", "y").distinct(), images.select(image, "width", "height"), [image])
+    spot = spot.where((F.col("x") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") >= 0) & (F.col("y") < F.col("height")))
+    near = spot.select(image, "x", "y", F.explode(F.sequence(F.col("y") - half, F.col("y") + half)).alias("_y"))
+    cells = pixels.groupBy(image, "x", F.col("y").alias("_y")).agg(F.min("gray").alias("_gray"))
+    found = attach(near, cells, [image, "x", "_y"]).groupBy(image, "x", "y").agg(F.coalesce(F.min("_gray"), F.lit(255)).alias("gray"))
+    return attach(asked, found, [image, "x", "y"]).where("gray is not null")
+
+
+def dash_evidence(traced, pixels, plots, images, image="image_id", key="curve_id") -> DataFrame:
+    """One row per traced curve: how dark the picture is along it.
+
+    `density`: share of dark columns in the middle band of the plot at the height where the curve leaves it; null where band or curve is too short.
+    `gap_ratio`, `n_gaps`, `regularity`: light stretches between dark ones along the curve itself, `dash_score`: how much they look like dashes; all 0
+    for curves of few columns. traced: image, curve, x, y; pixels: image, x, y, gray; plots: image, px, pw; images: image, width, height. Of several rows of
+    a curve in a column the topmost counts. Null positions count as none. Windows hold one curve of one picture, at most a row for each of its columns.
+    """
+    path = traced.where("x is not null and y is not null").groupBy(image, key, F.col("x").cast("int").alias("x")).agg(F.min(F.floor("y").cast("int")).alias("y"))
+    span = [(F.col("px") + F.floor(F.col("pw") * f)).cast("int") for f in BAND]
+    band = attach(path, plots.select(image, span[0].alias("_from"), span[1].alias("_to")), [image]).where((F.col("x") >= F.col("_from")) & (F.col("x") < F.col("_to")))
+    ends = band.groupBy(image, key, "_from", "_to").agg(F.count("*").alias("_n"), F.max(F.struct("x", "y")).getField("y").alias("y"))
+    ends = ends.where((F.col("_to") - F.col("_from") >= BAND_COLUMNS) & (F.col("_n") >= BAND_TRACED))
+    level = ends.select(image, key, "y", (F.col("_to") - F.col("_from")).alias("_wide"), F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("x"))
+
+    n = Window.partitionBy(image, key)
+    o = n.orderBy("x")
+    lo, hi = F.floor(F.col("_n") * MIDDLE[0]), F.floor(F.col("_n") * MIDDLE[1])
+    mid = path.withColumns({"_n": F.count("*").over(n), "_i": F.row_number().over(o) - 1})
+    mid = mid.where((F.col("_n") >= CURVE_COLUMNS) & (hi - lo >= MIDDLE_COLUMNS) & (F.col("_i") >= lo) & (F.col("_i") < hi))
+    step = F.greatest(F.lit(1), F.floor((hi - lo) / SAMPLES))
+    mid = mid.where((F.col("_i") - lo) % step == 0)
+
+    cols = [image, key, "x", "y", "_wide"]
+    seen = _darkest(level.select(*cols).unionByName(mid.select(image, key, "x", "y", F.lit(None).cast("int").alias("_wide"))), pixels, images, image)
+    seen = attach(seen, images.select(image, F.col("height").alias("_h")), [image])
+    # heights at the picture's edge count as light
+    inner = (F.col("y") >= 3) & (F.col("y") < F.col("_h") - 3)
+    dark = seen.where("_wide is not null").groupBy(image, key).agg((F.count_if(inner & (F.col("gray") < BAND_DARK)) / F.max("_wide")).alias("density"))
+
+    along = seen.where("_wide is null").withColumns({"_m": F.count("*").over(n), "_limit": F.percentile("gray", DARK_SHARE).over(n), "_k": F.row_number().over(o)})
+    along = along.where(F.col("_m") >= MIDDLE_COLUMNS).withColumn("_dark", F.col("gray") < F.col("_limit"))
+    along = along.withColumn("_run", F.sum(F.coalesce(F.col("_dark") != F.lag("_dark").over(o), F.lit(False)).cast("int")).over(o))
+    runs = along.groupBy(image, key, "_run", "_m", "_dark").agg(F.count("*").alias("_size"), F.min("_k").alias("_a"), F.max("_k").alias("_b"))
+    # a stretch counts up to the next dark column; the first column only leads
+    long = F.col("_size") - (F.col("_a") == 1).cast("int")
+    gap = F.when(~F.col("_dark") & (F.col("_b") < F.col("_m")) & (long >= GAP), long)
+    gaps = runs.groupBy(image, key).agg((F.sum(F.when(~F.col("_dark"), F.col("_size")).otherwise(0)) / F.max("_m")).alias("gap_ratio"),
+                                        F.count(gap).alias("n_gaps"), (F.stddev_pop(gap) / F.avg(gap)).alias("_cv"))
+    regular = F.when((F.col("n_gaps") >= GAPS_FOR_REGULARITY) & (F.col("_cv") < 1), 1 - F.col("_cv")).otherwise(0.0)
+    gaps = gaps.select(image, key, "gap_ratio", "n_gaps", regular.alias("regularity"))
+    out = attach(attach(path.select(image, key).distinct(), dark, [image, key]), gaps, [image, key])
+    out = out.withColumns({c: F.coalesce(c, F.lit(0).cast(dict(gaps.dtypes)[c])) for c in ("gap_ratio", "n_gaps", "regularity")})
+    ratio, many = F.col("gap_ratio"), F.col("n_gaps")
+    score = (F.col("regularity") * 3.0
+             + F.when(ratio.between(*DASH_RATIO), 1.0).when(ratio > DASH_RATIO[1], 0.5 * (1.0 - F.least(F.lit(1.0), (ratio - DASH_RATIO[1]) / 0.30))).otherwise(0.0)
+             + F.when(many.between(*DASH_GAPS), 0.8).when(many > DASH_GAPS[1], -(many - DASH_GAPS[1]) / 50.0).otherwise(0.0))
+    return out.withColumn("dash_score", F.greatest(F.lit(0.0), score))
+
+
+def relabel_by_evidence(curves, evidence, image="image_id", key="curve_id", style="style") -> DataFrame:
+    """`curves` with `new_style`, `decided_by` and `sure`: in images of two curves, the one that looks dashed in the picture (`dash_evidence`) is called so.
+
+    A clearly lighter middle band decides first (`density`), then clearly different dash scores (`gaps`); otherwise, and in images of more or fewer
+    curves, styles stay and `decided_by` is null.
+    """
+    rows = attach(curves, evidence.select(image, key, "density", "dash_score"), [image, key])
+    side = F.struct(F.col(key).alias("k"), F.col("density").alias("d"), F.coalesce("dash_score", F.lit(0.0)).alias("s"))
+    two = rows.groupBy(image).agg(F.count("*").alias("_n"), F.min(side).alias("_p"), F.max(side).alias("_q")).where("_n = 2")
+    d0, d1, s0, s1 = (F.col(c) for c in ("_p.d", "_q.d", "_p.s", "_q.s"))
+    by_band = F.when(F.greatest(d0, d1) > BAND_LEAST, F.when(d0 > d1 * BAND_RATIO, F.col("_q.k")).when(d1 > d0 * BAND_RATIO, F.col("_p.k")))
+    by_band = F.when(d0.isNotNull() & d1.isNotNull(), by_band)
+    by_gaps = F.when(F.abs(s0 - s1) > SCORE_APART, F.when(s0 > s1, F.col("_p.k")).otherwise(F.col("_q.k")))
+    two = two.select(image, by_band.alias("_band"), by_gaps.alias("_gaps"))
+    out = attach(curves, two, [image])
+    dashed = F.coalesce("_band", "_gaps")
+    return out.select(*curves.columns, F.when(dashed.isNull(), F.col(style)).when(F.col(key) == dashed, "dashed").otherwise("solid").alias("new_style"),
+                      F.when(F.col("_band").isNotNull(), "density").when(F.col("_gaps").isNotNull(), "gaps").alias("decided_by"),
+                      F.when(F.col("_band").isNotNull(), 0.85).when(F.col("_gaps").isNotNull(), 0.7).alias("sure"))
+
+
 def swap_labels(curves, image="image_id", key="curve_id", name="name", style="style") -> DataFrame:
     """Exchange name and style between the two curves of an image; other images stay as they are."""
     o = curves.groupBy(image).agg(F.count("*").alias("_n"), F.min(F.struct(key, name, style)).alias("_a"), F.max(F.struct(key, name, style)).alias("_b"))

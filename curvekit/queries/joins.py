@@ -327,6 +327,63 @@ def x09(spark, sf):
     return x.relabel_by_overlap(supp(spark, sf), j.dash_overlap(spots(spark, sf), dark(spark, sf), x="px", y="py"))
 
 
+DAYS = """cells0 AS (SELECT l_suppkey AS image_id, CAST(l_linenumber % 2 AS INTEGER) AS curve_id, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) // 10 AS INTEGER) AS x,
+    CAST(l_quantity AS INTEGER) AS y, CAST(l_partkey * 37 % 256 AS INTEGER) AS gray FROM lineitem),
+    traced AS (SELECT image_id, curve_id, x, min(y) AS y FROM cells0 GROUP BY 1, 2, 3), cells AS (SELECT image_id, x, y, min(gray) AS gray FROM cells0 GROUP BY 1, 2, 3),
+    styles AS (SELECT DISTINCT image_id, curve_id, CASE WHEN curve_id = image_id % 2 THEN 'dashed' ELSE 'solid' END AS style FROM cells0)"""
+#: a band of 30 to 60 columns; every third picture has one too short to decide
+EVIDENCE = DAYS + """, plots AS (SELECT DISTINCT image_id, 5 AS px, CASE WHEN image_id % 3 = 0 THEN 90 ELSE 110 + image_id % 90 END AS pw FROM styles),
+    span AS (SELECT image_id, CAST(px + floor(pw * 0.4e0) AS INTEGER) AS a, CAST(px + floor(pw * 0.7e0) AS INTEGER) AS b FROM plots),
+    ends AS (SELECT image_id, curve_id, a, b, max_by(y, x) AS y FROM traced JOIN span USING (image_id) WHERE x >= a AND x < b GROUP BY 1, 2, 3, 4 HAVING b - a >= 30 AND count(*) >= 10),
+    level AS (SELECT image_id, curve_id, y, b - a AS wide, unnest(range(a, b)) AS x FROM ends),
+    ranked AS (SELECT *, count(*) OVER (PARTITION BY image_id, curve_id) AS n, row_number() OVER (PARTITION BY image_id, curve_id ORDER BY x) - 1 AS i FROM traced),
+    mid AS (SELECT *, floor(n * 0.25e0) AS lo, floor(n * 0.85e0) AS hi FROM ranked WHERE n >= 50),
+    taken AS (SELECT image_id, curve_id, x, y FROM mid WHERE hi - lo >= 30 AND i >= lo AND i < hi AND (i - lo) % greatest(1, floor((hi - lo) / 200)) = 0),
+    asked AS (SELECT image_id, curve_id, x, y, wide FROM level UNION ALL SELECT image_id, curve_id, x, y, NULL FROM taken),
+    seen AS (SELECT a.image_id, a.curve_id, a.x, a.y, a.wide, coalesce(min(c.gray), 255) AS gray FROM asked a LEFT JOIN cells c ON c.image_id = a.image_id AND c.x = a.x AND c.y BETWEEN a.y - 2 AND a.y + 2
+     WHERE a.x < 240 AND a.y < 48 GROUP BY 1, 2, 3, 4, 5),
+    dens AS (SELECT image_id, curve_id, count(*) FILTER (gray < 150 AND y >= 3 AND y < 45) / max(wide) AS density FROM seen WHERE wide IS NOT NULL GROUP BY 1, 2),
+    lim AS (SELECT image_id, curve_id, count(*) AS m, quantile_cont(gray, 0.3) AS cut FROM seen WHERE wide IS NULL GROUP BY 1, 2 HAVING count(*) >= 30),
+    line AS (SELECT s.*, m, gray < cut AS dark, row_number() OVER w AS k FROM seen s JOIN lim USING (image_id, curve_id) WHERE wide IS NULL WINDOW w AS (PARTITION BY image_id, curve_id ORDER BY x)),
+    chain AS (SELECT *, k - row_number() OVER (PARTITION BY image_id, curve_id, dark ORDER BY x) AS run FROM line),
+    stretch AS (SELECT image_id, curve_id, m, dark, count(*) AS size, max(k) < m AS closed, count(*) - CAST(min(k) = 1 AS INTEGER) AS long FROM chain GROUP BY 1, 2, 3, 4, run),
+    gaps AS (SELECT image_id, curve_id, coalesce(sum(size) FILTER (NOT dark), 0) / max(m) AS gap_ratio, count(*) FILTER (NOT dark AND closed AND long >= 2) AS n_gaps,
+     stddev_pop(long) FILTER (NOT dark AND closed AND long >= 2) / avg(long) FILTER (NOT dark AND closed AND long >= 2) AS cv FROM stretch GROUP BY 1, 2),
+    ev AS (SELECT image_id, curve_id, density, coalesce(gap_ratio, 0e0) AS gap_ratio, coalesce(n_gaps, 0) AS n_gaps, CASE WHEN n_gaps >= 3 AND cv < 1 THEN 1 - cv ELSE 0e0 END AS regularity
+     FROM styles LEFT JOIN dens USING (image_id, curve_id) LEFT JOIN gaps USING (image_id, curve_id)),
+    score AS (SELECT *, greatest(0e0, 3 * regularity + CASE WHEN gap_ratio BETWEEN 0.15e0 AND 0.4e0 THEN 1e0 WHEN gap_ratio > 0.4e0 THEN 0.5e0 * (1 - least(1e0, (gap_ratio - 0.4e0) / 0.3e0)) ELSE 0e0 END
+     + CASE WHEN n_gaps BETWEEN 5 AND 30 THEN 0.8e0 WHEN n_gaps > 30 THEN -(n_gaps - 30) / 50e0 ELSE 0e0 END) AS dash_score FROM ev)"""
+
+
+def daily(spark, sf):
+    """Cells of pictures whose number grows with the suppliers, the curves traced in them, and their plots and sizes."""
+    li = table(spark, sf, "lineitem")
+    cells = li.select(F.col("l_suppkey").alias("image_id"), (F.col("l_linenumber") % 2).cast("int").alias("curve_id"), F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")) / 10).cast("int").alias("x"),
+                      F.col("l_quantity").cast("int").alias("y"), (F.col("l_partkey") * 37 % 256).cast("int").alias("gray"))
+    ids = cells.select("image_id").distinct()
+    n = F.col("image_id")
+    return (cells, ids.select(n, F.lit(5).alias("px"), F.when(n % 3 == 0, 90).otherwise(110 + n % 90).cast("int").alias("pw")),
+            ids.select(n, F.lit(240).alias("width"), F.lit(48).alias("height")))
+
+
+@query("x09_dash_evidence", with_(EVIDENCE) + " SELECT * FROM score", "density gap_ratio regularity dash_score")
+def x09_evidence(spark, sf):
+    cells, plots, images = daily(spark, sf)
+    return x.dash_evidence(cells, cells, plots, images)
+
+
+@query("x09_relabel_by_evidence", with_(EVIDENCE) + """, two AS (SELECT a.image_id, a.density AS d0, b.density AS d1, a.dash_score AS s0, b.dash_score AS s1 FROM score a JOIN score b ON a.image_id = b.image_id AND a.curve_id = 0 AND b.curve_id = 1),
+    who AS (SELECT image_id, CASE WHEN greatest(d0, d1) > 0.1e0 AND d0 IS NOT NULL AND d1 IS NOT NULL THEN CASE WHEN d0 > d1 * 1.3e0 THEN 1 WHEN d1 > d0 * 1.3e0 THEN 0 END END AS band,
+     CASE WHEN abs(s0 - s1) > 0.2e0 THEN CASE WHEN s0 > s1 THEN 0 ELSE 1 END END AS gaps FROM two)
+    SELECT image_id, curve_id, style, CASE WHEN coalesce(band, gaps) IS NULL THEN style WHEN curve_id = coalesce(band, gaps) THEN 'dashed' ELSE 'solid' END AS new_style,
+    CASE WHEN band IS NOT NULL THEN 'density' WHEN gaps IS NOT NULL THEN 'gaps' END AS decided_by, CASE WHEN band IS NOT NULL THEN 0.85e0 WHEN gaps IS NOT NULL THEN 0.7e0 END AS sure
+    FROM styles LEFT JOIN who USING (image_id)""")
+def x09_relabel_evidence(spark, sf):
+    cells, plots, images = daily(spark, sf)
+    style = F.when(F.col("curve_id") == F.col("image_id") % 2, "dashed").otherwise("solid").alias("style")
+    return x.relabel_by_evidence(cells.select("image_id", "curve_id", style).distinct(), x.dash_evidence(cells, cells, plots, images))
+
+
 @query("x10_swap_labels", with_(SUPP) + """, c AS (SELECT *, count(*) OVER w AS n, CASE WHEN lag(curve_id) OVER o IS NULL THEN lead(name) OVER o ELSE lag(name) OVER o END AS on_, CASE WHEN lag(curve_id) OVER o IS NULL THEN lead(style) OVER o ELSE lag(style) OVER o END AS os
     FROM supp WINDOW w AS (PARTITION BY image_id), o AS (PARTITION BY image_id ORDER BY curve_id))
     SELECT image_id, curve_id, CASE WHEN n = 2 THEN on_ ELSE name END AS name, CASE WHEN n = 2 THEN os ELSE style END AS style FROM c""")
