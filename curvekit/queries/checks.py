@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import atrisk as ar
@@ -10,15 +12,17 @@ from ..operators import checks as k
 from ..operators import choose as ch
 from ..operators import pixels as p
 from ..operators import quality as q
+from ..operators import reports
 from ..operators import runs as w
 from ..operators.track import track
 from ..plans import flows
 from ..runtime import shared_dir
 from ..sources import files
 from . import atrisk as qa
+from . import quality as qq  # noqa: F401 - the reports are made of its queries
 from . import raster as r
 from . import views as v
-from .base import query, table
+from .base import ORACLES, QUERIES, query, round_doubles, table
 from .clean import with_
 from .pixels import DARKS, darks
 
@@ -309,6 +313,42 @@ def s12(spark, sf):
     return spark.read.text(path)
 
 
+@query("s12_dense_report", f"""WITH m AS ({ORACLES['v09_dense_match']}), g AS ({ORACLES['v09_missing_steps']}), f AS ({ORACLES['v09_offset_regions']}),
+    n AS (SELECT curve_id, count(*) AS gaps FROM g GROUP BY 1), w AS (SELECT image_id, sum(matched) / sum(total) AS acc FROM m GROUP BY 1)
+    SELECT unnest([repeat('=', 60), 'DENSE VALIDATION REPORT', repeat('=', 60), printf('Overall Accuracy: %.1f%%', acc * 100), repeat('=', 60)]) AS value FROM w
+    UNION ALL SELECT unnest(list_filter(['--- ' || m.curve_id || ' ---', printf('  Points matched: %d/%d (%.1f%%)', matched, total, match_rate * 100), printf('  Average Y-offset: %.2f pixels', avg_offset),
+     printf('  Max Y-offset: %.2f pixels', CAST(max_offset AS DOUBLE)), '  Steps detected: ' || steps, '  Steps in original: ' || steps, '  Missing step regions: ' || gaps], lambda z: z IS NOT NULL)) FROM m LEFT JOIN n ON n.curve_id = m.curve_id
+    UNION ALL SELECT printf('    - t=%.1f to t=%.1f (gap of %.3f)', t_from, t_to, gap) FROM (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY t_from, t_to, gap) AS r FROM g) WHERE r <= 5
+    UNION ALL SELECT DISTINCT ON (curve_id) '  Significant offset regions:' FROM f
+    UNION ALL SELECT printf('    - t=%.1f: offset=%.1fpx (%s)', t, CAST("offset" AS DOUBLE), CASE WHEN "offset" < 0 THEN 'extracted above' ELSE 'extracted below' END) FROM f WHERE rank <= 5""")
+def s12_dense(spark, sf):
+    path = fresh(spark, "dense-report")
+    match = {name: round_doubles(part) for name, part in k.dense_match(points(spark, sf), cal(spark, sf), mask60(spark, sf)).items()}
+    files.write_lines(reports.dense_report(match), path)
+    return spark.read.text(path)
+
+
+RULES = [name for name in ORACLES if name[:3] in ("q01", "q02", "q03", "q04", "q05", "q06", "q07", "q08") and name in QUERIES]
+ADVISED = " ".join(f"WHEN '{rule}' THEN " + (f"CASE severity WHEN 'critical' THEN '{reports.NO_POINTS}' ELSE '{text}' END" if rule == "too_few_points" else
+                   f"replace('{text}', '%s', regexp_extract(message, 'follow (\\d+%) reference', 1))") for rule, text in reports.ADVICE)
+
+
+@query("s12_quality_report", "WITH i AS (" + " UNION ALL ".join(f"SELECT curve_id, issue_type, severity, message FROM ({ORACLES[name]}) AS {name}_" for name in RULES) + f"""),
+    c AS (SELECT c_custkey AS curve_id, c_nationkey AS image_id FROM customer),
+    s AS (SELECT c.image_id, c.curve_id, count(*) FILTER (severity = 'critical') AS cr, count(*) FILTER (severity = 'error') AS er, count(*) FILTER (severity = 'warning') AS wa FROM c LEFT JOIN i USING (curve_id) GROUP BY 1, 2),
+    w AS (SELECT image_id, bool_and(cr = 0 AND er = 0) AS ok FROM s GROUP BY 1)
+    SELECT unnest(['QUALITY CONTROL REPORT', repeat('=', 50), 'Overall: ' || CASE WHEN ok THEN 'ALL PASSED' ELSE 'ISSUES DETECTED' END]) AS value FROM w
+    UNION ALL SELECT printf('%d: %s (score: %.0f%%)', curve_id, CASE WHEN cr = 0 AND er = 0 THEN 'PASSED' ELSE 'FAILED' END, pow(0.1e0, cr) * pow(0.5e0, er) * pow(0.9e0, wa) * 100) FROM s
+    UNION ALL SELECT unnest(['  ' || CASE severity WHEN 'warning' THEN '⚠' WHEN 'error' THEN '✗' ELSE '✗✗' END || ' [' || upper(severity) || '] ' || message, '      → ' || CASE issue_type {ADVISED} END]) FROM i JOIN c USING (curve_id)""")
+def s12_quality(spark, sf):
+    path = fresh(spark, "quality-report")
+    issues = reduce(DataFrame.unionByName, [QUERIES[name](spark, sf) for name in RULES])
+    curves = table(spark, sf, "customer").select(F.col("c_custkey").alias("curve_id"), F.col("c_nationkey").alias("image_id"))
+    scored = q.qc_score(curves, issues).join(curves, "curve_id")
+    files.write_lines(reports.quality_report(scored, issues), path)
+    return spark.read.text(path)
+
+
 # -- whole extractions -----------------------------------------------------------------------------
 
 def full_cal(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.atrisk import events
+from ..operators.reports import ORDER
 from ..runtime import as_list, attach
 
 # File name endings of pictures.
@@ -158,3 +159,9 @@ def write_reports(checks: DataFrame, path: str, title: str = "VALIDATION REPORT"
     order = [*keys, "part", "_o"]
     lines = report_lines(checks, title, key).repartitionByRange(*order).sortWithinPartitions(*order)
     lines.select("line").write.mode("overwrite").text(path)
+
+
+def write_lines(lines: DataFrame, path: str, key="image_id") -> None:
+    """Line tables of `operators.reports` as text, in order of the keys; a key with very many lines may span several files."""
+    order = [*as_list(key), *ORDER]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
