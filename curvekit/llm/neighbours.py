@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: balanced posting lists, boundary vectors in several of them, centroids searched by a graph in memory."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ DEGREE = 24  # links of a centroid
 BEAM = 256  # centroids kept during a search
 BATCH = 512  # vectors that search together
 MEMBERS, QUERIES = 4096, 512  # vectors and queries of one block of a list
+LARGE = 1e100  # numbers up to this one can be squared and added without overflow
+LISTS = 1024, 8192  # least and most lists there may be where none are asked for
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -21,6 +24,27 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None, :], 0)
 
 
+def tame(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors with none of their numbers beyond LARGE (longer ones are shortened), and which were shortened. Lists are chosen by these."""
+    most = np.abs(x).max(axis=1, initial=0)
+    far = most > LARGE
+    if far.any():
+        x = x.copy()
+        x[far] *= (LARGE / most[far])[:, None]
+    return x, far
+
+
+def lengths(d: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows; rows whose squares overflow are divided by their largest number first."""
+    most = np.abs(d).max(axis=1, initial=0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.sqrt((d * d).sum(axis=1))
+        far = np.flatnonzero(~np.isfinite(out))
+        out[far] = most[far] * np.sqrt(((d[far] / most[far, None]) ** 2).sum(axis=1))
+    out[~np.isfinite(most)] = np.inf  # the difference itself overflows
+    return out
+
+
 def balanced_centroids(sample: np.ndarray, limit: int, rng: np.random.Generator, ways: int = 8, steps: int = 8) -> np.ndarray:
     """Centroids of clusters of at most `limit` sample vectors: clusters are split again and again by k-means whose distances grow with a cluster's share."""
     work, out = [np.arange(len(sample))], []
@@ -55,7 +79,7 @@ class CentroidGraph:
         self.points = centroids
         n = len(centroids)
         rng = np.random.default_rng(seed)
-        near = np.argsort(distances(centroids, centroids), axis=1, kind="stable")[:, 1:DEGREE + 1]
+        near = np.concatenate([np.argsort(distances(centroids[lo:lo + BATCH], centroids), axis=1, kind="stable")[:, 1:DEGREE + 1] for lo in range(0, n, BATCH)])
         far = rng.integers(0, n, (n, 4))
         back: list[list[int]] = [[] for _ in range(n)]  # links from a centroid's nearest ones to itself, so that every centroid can be reached
         for i, own in enumerate(near[:, :3].tolist()):
@@ -69,7 +93,7 @@ class CentroidGraph:
     def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Nearest centroids found for each vector, nearest first, and their distances; shorter results are filled with -1 and infinity."""
         n, rows = len(self.points), np.arange(len(x))[:, None]
-        beam = min(beam, n)
+        x, beam = tame(x)[0], min(beam, n)
         seen = np.zeros((len(x), n), bool)
         ids = np.broadcast_to(self.entries, (len(x), len(self.entries)))
         seen[rows, ids] = True
@@ -117,14 +141,13 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """`id, v`: vectors as doubles that are not null, not zero, hold only finite numbers, and have the most frequent length."""
     v = F.col(f"`{vector_col}`")
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
-    # the numbers are bounded as well, so that no square overflows
-    fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(1e150))) & F.exists("v", lambda x: x != 0)
+    fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = rows.filter(F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.filter(F.size("v") == (size["n"] if size else 0))
 
 
-def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = 16384, lists: int = 1024,
+def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample: int | None = None, lists: int | None = None,
                        fill: int = 48, ratio: float = 1.1, copies: int = 4, reach: float = 1.25, most_lists: int = BEAM) -> DataFrame:
     """`query_id, rank, vec_id, score`: for each row where `query` holds its `k` nearest others found, nearest first, ties to the smaller id.
 
@@ -132,7 +155,10 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 10, id_col: s
     part, nor do those of another length than most. Rows with the query's id are no candidates; other repeated rows are, once each id. An empty table
     gives an empty result.
 
-    Centroids are fitted on at most `sample` vectors (by a hash of their id); there are at most about `lists`, so that each task can hold them. Every vector
+    Scores of vectors whose squares overflow are right as well, up to the largest double. Lists are chosen as if their numbers ended at LARGE.
+
+    There are at most about `lists` centroids, so that each task can hold them: by default the square root of the number of vectors, at least 1,024 and at
+    most 8,192. They are fitted on at most `sample` vectors (by a hash of their id), by default 16 for each list. Every vector
     goes to the list of its nearest centroid, boundary vectors to up to `copies` lists (those within `ratio`). A query opens the lists within `reach` times
     the distance of its nearest centroid (at most `most_lists`), and the nearest lists up to 16 times the vectors asked for, copies not counted. Long lists and many queries are cut into blocks.
     """
@@ -140,14 +166,17 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 10, id_col: s
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = usable(vectors, id_col, vector_col)
     asks = usable(vectors.filter(query), id_col, vector_col)
+    total = rows.count()
+    lists = lists or min(max(LISTS[0], math.isqrt(total)), LISTS[1])
+    sample = sample or 16 * lists
     marked = rows.select("v", F.xxhash64(F.col("id"), F.lit(3)).alias("mark"))
     last = marked.select("mark").orderBy("mark").limit(sample).agg(F.max("mark").alias("last")).first()["last"]  # only so many vectors reach the driver
     got = marked.filter(F.col("mark") <= (0 if last is None else last)).orderBy("mark").limit(sample).select("v").toArrow().column("v")
     schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
     if not len(got):
         return spark.createDataFrame([], schema)
-    few = as_matrix(got)
-    limit = max(fill * len(few) // max(rows.count(), 1), -(-len(few) // lists), 1)
+    few = tame(as_matrix(got))[0]
+    limit = max(fill * len(few) // max(total, 1), -(-len(few) // lists), 1)
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(few, limit, np.random.default_rng(3))))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +223,16 @@ def nearest_neighbours(vectors: DataFrame, query: Column, k: int = 10, id_col: s
                 parts[:] = [np.concatenate(parts)]
                 names[:] = [pa.concat_arrays(names)]
             y, own = parts[0], names[0].to_pylist()
-            rough = distances(x, y)
+            (small_x, far_x), (small_y, far_y) = tame(x), tame(y)
+            rough = distances(small_x, small_y)
             out = ([], [], [])
             for i, name in enumerate(asked_names.to_pylist()):
                 row = rough[i]
-                scale = float(row.max()) + float((x[i] * x[i]).sum())
+                scale = float(row.max()) + float((small_x[i] * small_x[i]).sum())
                 edge = np.partition(row, k)[k] if len(row) > k + 1 else np.inf  # k + 1 of them: the query itself may be one
-                some = np.flatnonzero(row <= edge + 1e-9 * scale)
-                exact = np.sqrt(((y[some] - x[i]) ** 2).sum(axis=1))
+                some = np.flatnonzero((row <= edge + 1e-9 * scale) | far_y | far_x[i])  # rough distances of shortened vectors tell nothing
+                with np.errstate(over="ignore"):
+                    exact = lengths(y[some] - x[i])
                 best, taken = sorted(zip(exact.tolist(), (own[j] for j in some.tolist()))), set()
                 for score, other in best:
                     if other != name and other not in taken and len(taken) < k:

@@ -71,3 +71,13 @@ def test_few_vectors(spark, n):
     frame = spark.createDataFrame([(i * 10, [float(i + 1), 1.0]) for i in range(n)], "vec_id bigint, embedding array<float>")
     got = neighbours.nearest_neighbours(frame, F.col("vec_id") % 10 == 0).collect()
     assert len(got) == n * (n - 1)
+
+
+def test_vectors_whose_squares_overflow(spark):
+    table = [(i, [float(i + 1), 1.0]) for i in range(40)] + [(40 + i, [s * (1 + i) * 1e200, 1e200]) for i, s in enumerate((1, 1, 1, -1))] + [(50, [1.7e308, 0.0]), (60, [-1.7e308, 0.0])]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in table], "vec_id bigint, embedding array<double>, score string")
+    got = {}
+    for r in neighbours.nearest_neighbours(frame, F.col("vec_id") % 10 == 0, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got[0]] == [1, 2, 3] and got[40][0] == (41, pytest.approx(1e200, rel=1e-12)) and [i for i, _ in got[40][1:]] == [0, 1]  # all small ones are equally far
+    assert len(got[50]) == 3 and all(np.isfinite(d) for _, d in got[50]) and 60 not in [i for i, _ in got[50]]
