@@ -328,6 +328,7 @@ def adjust_params(params: DataFrame, suggestions="suggestions") -> DataFrame:
     start = F.struct(F.col("saturation_min").alias("a"), F.col("hue_tolerance").alias("b"), F.col("overlap_threshold").alias("c"))
 
     def step(p, s):
+        # Words, steps and bounds of the settings.
         a = F.when(has(s, "saturation") & has(s, "lower", "decrease"), F.greatest(F.lit(5), p["a"] - 5)).when(
             has(s, "saturation") & has(s, "higher", "increase"), F.least(F.lit(50), p["a"] + 5)).otherwise(p["a"])
         hue = has(s, "color") & has(s, "tolerance")
@@ -346,6 +347,7 @@ def adjust_extraction(params: DataFrame, issues="issues") -> DataFrame:
     says = lambda *words: reduce(lambda a, b: a | b, [F.contains(F.lower(F.col(issues)), F.lit(w)) for w in words])
     text, gaps, shapes = says("text", "annotation", "box"), says("incomplete", "gap", "missing"), says("artifact", "rectangle")
     move = lambda cond, c, by, low=None, high=None: F.when(cond, F.least(F.col(c) + by, F.lit(high)) if high is not None else F.greatest(F.col(c) + by, F.lit(low))).otherwise(F.col(c))
+    # Steps and bounds of the settings.
     return params.withColumns({
         "box_margin": move(text, "box_margin", 5, high=30), "box_min_area": move(text, "box_min_area", -30, low=50), "light_threshold": move(text, "light_threshold", 10, high=240),
         "black_threshold": move(gaps, "black_threshold", 20, high=150), "min_component_area": move(gaps, "min_component_area", -1, low=1),

@@ -320,6 +320,7 @@ def column_overlap_rules(mask, height: int, key=("image_id", "color"), x="x", y=
     gap = bottom - F.element_at("_ys", F.coalesce("_g3", F.lit(1)))
     ts, bs = 1 - top / height, 1 - bottom / height
     say = lambda rule, value: F.struct(F.lit(rule).alias("rule"), value.cast("int").alias("y"))
+    # Names of the rules, and the shares of the height and sizes by which they are told apart.
     huge = (F.when((ts > 0.9) & (bs > 0.05) & (bs < 0.5), say("noise_filtered_top_text", bottom))
             .when((ts > 0.9) & (bs <= 0.05), F.when(top_n > 3, say("high_survival_curve", top)).when(
                 bottom_n > 3, say("low_survival_curve", bottom)).otherwise(say("gap_top_both_sparse", top)))

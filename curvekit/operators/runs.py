@@ -312,6 +312,7 @@ def filter_components_curve(components, images, strict=True) -> DataFrame:
     """Components that look like pieces of a curve, or the largest one. `strict` also drops text-like blobs."""
     rows = _sized(components, images)
     W, H = c("width"), c("height")
+    # Sizes and shares of the rules.
     if strict:
         text = ((c("w") < F.least(F.lit(300.0), W * 0.25)) & (c("h") > 12) & (c("h") < F.least(F.lit(50.0), H * 0.1)) & (_fill() < 0.35))
         ok = ((c("area") >= 20) & (c("w") >= F.greatest(F.lit(8.0), W * 0.02)) & ~((c("h") / H > 0.9) & (c("w") / W < 0.2))
@@ -324,6 +325,7 @@ def filter_components_curve(components, images, strict=True) -> DataFrame:
 
 def filter_components_noise(components) -> DataFrame:
     """Without small components and small compact dense blobs."""
+    # Sizes and shares of the rules.
     squat = F.greatest("w", "h") / F.least("w", "h") < 2
     return components.where((c("area") >= 20) & ~((c("area") < 100) & squat & (_fill() > 0.6)))
 
@@ -378,6 +380,7 @@ def filter_components_dark(components, images, least=5) -> DataFrame:
     """Dark components that can be lines, censor marks, curve pieces or large parts."""
     rows = _sized(components, images)
     A, w, h, a = c("area"), c("w"), c("h"), _aspect()
+    # Sizes and shares of the rules.
     keep = (((w > 10) & (h < 8)) | ((h > 10) & (w < 8)) | ((A < 60) & (a > 0.3) & (a < 3) & (w < 18) & (h < 18)) | (a > 2.5) | (a < 0.4) | (A > 50))
     return rows.where((A >= least) & (c("y") <= c("height") - 10) & keep).select(*components.columns)
 
@@ -385,6 +388,7 @@ def filter_components_dark(components, images, least=5) -> DataFrame:
 def filter_components_black(components) -> DataFrame:
     """Curve pieces and censor marks of a black-on-white picture, without text boxes and letters."""
     A, w, h, a = c("area"), c("w"), c("h"), _aspect()
+    # Sizes and shares of the rules.
     box = (A > 200) & (A < 3000) & (a > 1.5) & (a < 10) & (h < 30)
     letter = (A > 10) & (A < 200) & (a > 0.3) & (a < 3) & (w < 25) & (h < 25)
     curve = (a > 5) | (a < 0.2) | ((A > 100) & ((w > 30) | (h > 30))) | ((A < 50) & ((w < 8) | (h < 8)))
@@ -396,6 +400,7 @@ def filter_components_letters(components, images) -> DataFrame:
     """Without text-like blobs that are not curve-like, outside the zone where curves start."""
     rows = _sized(components, images)
     A, w, h, a = c("area"), c("w"), c("h"), _aspect()
+    # Sizes and shares of the rules.
     start = (c("x") < F.floor(c("width") * 0.15)) & (c("y") < F.floor(c("height") * 0.15))
     text = (A > 20) & (A < 2000) & (a > 0.3) & (a < 3) & (w < 50) & (h < 50) & (_fill() > 0.2)
     curve = (a > 4) | (a < 0.25) | (w > 50) | (h > 50) | (A > 2000)

@@ -131,24 +131,20 @@ def test_top_rows(spark):
     assert pts(top_rows(df, "k", 3, F.desc("v")), "k", "v", "rn") == [(k, 500 - i, i) for k in (1, 2) for i in (3, 2, 1)]
 
 
-def skip_loop(points):
-    out, i, n = [], 0, len(points)
-    while i < n:
-        x, y = points[i]
-        if 0 < i < n - 1 and abs(y - points[i - 1][1]) > 15 and x - points[i - 1][0] < 5:
-            px, py = points[i - 1]
-            back = next((j for j in range(i + 1, i + min(50, n - i)) if abs(points[j][1] - py) < 10), None)
-            if back is not None:
-                out += [(f, py) for f in range(px + 1, points[back][0])]
-                i = back
-                continue
-        out.append((x, y))
-        i += 1
-    return out
+def skipped(points, i=0):
+    """The rule by recursion: the rows from index i on, where a jump that comes back within 50 rows is held at the row before it."""
+    if i >= len(points):
+        return []
+    (x, y), (px, py) = points[i], points[max(i - 1, 0)]
+    jumps = i + 1 < len(points) and abs(y - py) > 15 and x - px < 5
+    returns = [j for j, (_, v) in enumerate(points) if jumps and i < j < i + 50 and abs(v - py) < 10]
+    if not returns:
+        return [(x, y), *skipped(points, i + 1)]
+    return [(f, py) for f in range(px + 1, points[returns[0]][0])] + skipped(points, returns[0])
 
 
 @pytest.mark.parametrize("mode", ["plain", "hot"])
-def test_skip_excursion_equals_loop(spark, request, mode):
+def test_skip_excursion_equals_rule(spark, request, mode):
     if mode == "hot":
         request.getfixturevalue("hot")
     rnd = random.Random(5)
@@ -157,7 +153,7 @@ def test_skip_excursion_equals_loop(spark, request, mode):
         y += rnd.choice([0, 0, 0, 1])
         points.append((x, y + (rnd.choice([20, 40]) if rnd.random() < .1 else 0)))
     df = spark.createDataFrame([(1, *p) for p in points], "curve_id long, x int, y int")
-    assert pts(clean.skip_excursion(df), "x", "y") == sorted(skip_loop(points))
+    assert pts(clean.skip_excursion(df), "x", "y") == sorted(skipped(points))
 
 
 # -- quality ---------------------------------------------------------------------------------------
@@ -201,25 +197,19 @@ def test_swap_labels_twice(spark):
 
 
 def continuity_regions(y0, y1, window=10, jump=15, sep=30):
-    xs, i, out = sorted(set(y0) & set(y1)), 0, []
-    while i < len(xs) - window:
-        a, b = xs[i], xs[i + 1]
-        j0, j1 = abs(y0[b] - y0[a]), abs(y1[b] - y1[a])
-        if abs(y0[a] - y1[a]) < sep and (j0 > jump or j1 > jump) and abs(y1[b] - y0[a]) < j0 and abs(y0[b] - y1[a]) < j1:
-            end = i + 1
-            for j in range(i + 1, len(xs) - 1):
-                p, q = xs[j], xs[j + 1]
-                n0, n1 = abs(y0[q] - y0[p]), abs(y1[q] - y1[p])
-                if abs(y1[q] - y0[p]) < n0 and abs(y0[q] - y1[p]) < n1:
-                    end = j + 1
-                elif n0 <= jump and n1 <= jump:
-                    break
-            if end > i + 1:
-                out.append((xs[i + 1], xs[end]))
-                i = end + 1
-                continue
-        i += 1
-    return out
+    """The rule over all regions: every (first, last) that may be one, and of these the ones that start first and do not touch an earlier one."""
+    xs = sorted(set(y0) & set(y1))
+    steps = [(y0[a], y1[a], y0[b], y1[b]) for a, b in zip(xs, xs[1:])]
+    moves = [(abs(q0 - p0), abs(q1 - p1)) for p0, p1, q0, q1 in steps]
+    crossed = {i for i, (p0, p1, q0, q1) in enumerate(steps) if abs(q1 - p0) < moves[i][0] and abs(q0 - p1) < moves[i][1]}
+    calm = {i for i, m in enumerate(moves) if max(m) <= jump} - crossed
+    starts = [i for i in sorted(crossed) if i < len(xs) - window and abs(steps[i][0] - steps[i][1]) < sep and max(moves[i]) > jump]
+    regions = [(i + 1, max(j for j in crossed if i < j < stop) + 1) for i in starts for stop in [min((j for j in calm if j > i), default=len(xs))] if any(i < j < stop for j in crossed)]
+    out = []
+    for first, last in regions:
+        if not out or first - 1 > out[-1][1]:
+            out.append((first, last))
+    return [(xs[first], xs[last]) for first, last in out]
 
 
 @pytest.mark.parametrize("seed", range(4))
