@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the template: a turn is OPEN, role, line end, text, CLOSE.
@@ -46,6 +46,30 @@ def parse(rendered: str) -> list[tuple[str, str]]:
     return out
 
 
+def as_events(turns: DataFrame) -> DataFrame:
+    """The log that leaves the given turns (`conv_id, turn, role, text`) as its final messages: `conv_id, turn, seq, kind, role, text`.
+
+    By the length of its text (mod 4) a turn is said at once, streamed in two deltas, drafted and edited, or drafted, regenerated and streamed again. Rows
+    of one turn, equal ones too, are messages of their own, in the order of role and text; the rows of a turn are numbered by one window. Null roles and
+    texts count as empty. Other columns are not looked at. Empty tables give an empty log.
+    """
+    said = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    said = said.withColumn("_no", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")).cast("bigint"))
+    half = F.expr("length(text) div 2")
+    head, tail = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def log(*events: tuple) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), (F.col("role") if k == 0 else F.lit(None).cast("string")).alias("role"), body.alias("text"))
+                         for k, (kind, body) in enumerate(events)])
+
+    nothing, way = F.lit(""), F.length("text") % 4
+    events = (F.when(way == 0, log(("message", F.col("text")))).when(way == 1, log(("message", nothing), ("delta", head), ("delta", tail)))
+              .when(way == 2, log(("message", tail), ("edit", F.col("text"))))
+              .otherwise(log(("message", nothing), ("delta", tail), ("regenerate", nothing), ("delta", head), ("delta", tail))))
+    one = said.select("conv_id", "turn", "_no", F.explode(events).alias("_e"))
+    return one.select("conv_id", "turn", (F.col("_no") * 8 + F.col("_e.step")).alias("seq"), "_e.kind", "_e.role", "_e.text")
+
+
 def rebuild(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "seq", turn_col: str = "turn", kind_col: str = "kind", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Final messages, one row each: `conv_id, no, role, text` (`no` counts from 0 in a conversation) and their rendering: `rendered, loss_from, loss_to`.
 
@@ -105,13 +129,15 @@ def rebuild(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "seq",
     return dealt.mapInArrow(fold, f"conv_id {kind_of}, no bigint, role string, text string, rendered string, loss_from bigint, loss_to bigint")
 
 
-def read_back(messages: DataFrame) -> DataFrame:
+def read_back(messages: DataFrame, in_order: bool = False) -> DataFrame:
     """Per conversation, from the rendered turns alone: `n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars`.
 
     `messages` is the result of `rebuild`. Digests are of role, line end, text, line end for each turn, and of all text under the loss mask, unescaped;
-    lengths are code points. Turns are streamed in order: a task holds one turn and the digests.
+    lengths are code points. Turns are streamed in order: a task holds one turn and the digests. `in_order` says that the rows are as `rebuild` leaves
+    them, conversation by conversation, so that they need no second shuffle; tables that were written and read again are not.
     """
-    rows = messages.repartition("conv_id").sortWithinPartitions("conv_id", "no").select("conv_id", "rendered", "loss_from", "loss_to")
+    rows = messages if in_order else messages.repartition("conv_id").sortWithinPartitions("conv_id", "no")
+    rows = rows.select("conv_id", "rendered", "loss_from", "loss_to")
     kind_of = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_position import search
-from .chat import read_back, rebuild
+from .chat import as_events, read_back, rebuild
 from .common import crc
 from .exact_dedup import exact_dedup
 from .fill_middle import fill_in_middle, middle_text
@@ -123,12 +123,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(4 + r + 1 + n + 8)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, each row an event that begins a message, plus conversation -7; digests read back from the rendered text."""
+    """All conversations and conversation -7 as event logs, rebuilt, rendered and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = F.lit("\\### Assistant: </turn> ok")
     more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
-    events = rows.unionByName(more).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
-    return read_back(rebuild(events))
+    return read_back(rebuild(as_events(rows.unionByName(more))), in_order=True)
 
 
 @register("op2_pii")

@@ -42,6 +42,24 @@ def test_fold(spark):
     assert empty.count() == 0 and chat.read_back(empty).count() == 0
 
 
+def test_logs_of_turns(spark):
+    """Deltas, edits and regenerations of every kind leave the turns they were made of."""
+    turns = [(1, 0, "user", "é" * n, "x") for n in range(9)] + [(1, 1, "assistant", "same###", "x")] * 3 + [(2, None, None, None, "x"), (2, 1, "assistant", "", "x"), (None, 1, "a\nb", "</turn>\\", "x"), (2, 1, "user", "abc", None)]
+    table = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, seq string")
+    log = chat.as_events(table)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    want = {}
+    for conv, turn, role, text, _ in sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")):
+        want.setdefault(conv, []).append((role or "", text or ""))
+    messages = chat.rebuild(log)
+    got = {}
+    for r in sorted(messages.collect(), key=lambda r: r["no"]):
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert got == want
+    assert sorted(chat.read_back(messages, in_order=True).collect(), key=repr) == sorted(chat.read_back(messages).collect(), key=repr)
+    assert chat.as_events(table.limit(0)).count() == 0
+
+
 def brute(table: list[tuple], k: int) -> dict:
     good = [(i, np.array(v, float)) for i, v in table if v is not None and None not in v and np.isfinite(v).all() and np.any(v) and len(v) == 8]
     out = {}
