@@ -186,22 +186,16 @@ def tick_marks(pixels, axes, reach=20, dark=100, every=5, width=3, share=0.5, ap
 # -- connected components --------------------------------------------------------------------------
 
 def _tile_labels(keys, conn):
-    """Labels the cells of one tile: runs of each row are joined to touching runs of the row above.
+    """Labels the runs of one tile by joining them to touching runs of the row above.
 
-    A tile has at most TILE * TILE cells. The label of a component is its first cell in reading order.
+    A tile has at most TILE * TILE / 2 runs. The label of a component is its first cell in reading order.
     """
     reach = 1 if conn == 8 else 0
 
     def label(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values(["y", "x"], ignore_index=True)
-        y, x = tile["y"].to_numpy(np.int64), tile["x"].to_numpy(np.int64)
-        new = np.ones(len(tile), bool)
-        new[1:] = (np.diff(y) != 0) | (np.diff(x) != 1)
-        run = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(tile)) - 1
-        row, a, b = y[first], x[first], x[last]
-        root = list(range(len(first)))
+        tile = tile.sort_values(["y", "a"], ignore_index=True)
+        row, a, b = (tile[k].to_numpy(np.int64) for k in ("y", "a", "b"))
+        root = list(range(len(row)))
 
         def find(i):
             while root[i] != i:
@@ -210,7 +204,7 @@ def _tile_labels(keys, conn):
             return i
 
         above = 0
-        for i in range(len(first)):
+        for i in range(len(row)):
             while row[above] < row[i] - 1 or (row[above] == row[i] - 1 and b[above] + reach < a[i]):
                 above += 1
             j = above
@@ -218,9 +212,9 @@ def _tile_labels(keys, conn):
                 p, q = find(i), find(j)
                 root[max(p, q)] = min(p, q)
                 j += 1
-        top = first[np.array([find(i) for i in range(len(first))], dtype=np.int64)][run]
-        tile["comp_id"] = (y[top] << 31) | x[top]
-        return tile[[*keys, "x", "y", "comp_id"]]
+        top = np.array([find(i) for i in range(len(row))], dtype=np.int64)
+        tile["comp_id"] = (row[top] << 31) | a[top]
+        return tile[[*keys, "y", "a", "b", "comp_id"]]
 
     return label
 
@@ -228,18 +222,26 @@ def _tile_labels(keys, conn):
 def connected_components(mask, conn=8, keys=("image_id",), tile=TILE) -> DataFrame:
     """Cells with `comp_id`, the reading-order number (y * 2^31 + x) of the component's first cell.
 
-    Tiles are labelled on their own. Only labels that touch over a tile border go through rounds of minimum labels
-    with pointer jumping, so pictures smaller than a tile need no round and the rounds never carry the cells.
+    Cells are shuffled once, by picture row, and become runs that end at tile borders; everything after that moves runs, and cells are spelt out at the
+    end. Tiles are labelled on their own. Only labels that touch over a tile border go through rounds of minimum labels with pointer jumping, so pictures
+    smaller than a tile need no round.
     """
     keys = as_list(keys)
     at = lambda c: F.floor(F.col(c) / tile).cast("int")
-    cells = mask.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
-    schema = T.StructType([cells.schema[k] for k in keys] + [T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()),
-                                                             T.StructField("comp_id", T.LongType())])
-    local = (cells.withColumns({"_tx": at("x"), "_ty": at("y")}).groupBy(*keys, "_tx", "_ty").applyInPandas(_tile_labels(keys, conn), schema))
-    local = cut_lineage(local)
+    cells = mask.select(*keys, F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    # a window holds one row of one picture; repeated cells share their rank
+    numbered = cells.withColumn("_g", F.col("x") - F.dense_rank().over(Window.partitionBy(*keys, "y").orderBy("x")))
+    pieces = numbered.groupBy(*keys, "y", at("x").alias("_tx"), "_g").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_g")
+    whole = T.IntegerType()
+    schema = T.StructType([cells.schema[k] for k in keys] + [T.StructField(k, whole) for k in ("y", "a", "b")] + [T.StructField("comp_id", T.LongType())])
+    local = cut_lineage(pieces.withColumn("_ty", at("y")).groupBy(*keys, "_tx", "_ty").applyInPandas(_tile_labels(keys, conn), schema))
+    spell = lambda rows: rows.select(*keys, F.explode(F.sequence("a", "b")).alias("x"), "y", "comp_id")
     steps = [(-1, 0), (-1, -1), (-1, 1), (0, -1), (1, -1)] if conn == 8 else [(-1, 0), (0, -1)]
-    rim = local.where((F.col("x") % tile == 0) | (F.col("y") % tile == 0) | (F.col("x") % tile == tile - 1) | (F.col("y") % tile == tile - 1))
+    # cells along the tile borders: whole runs of the first and last row, one end of runs that reach the first or last column
+    last = F.lit(tile - 1)
+    rows_of_rim = F.pmod("y", F.lit(tile)).isin(0, tile - 1)
+    ends = F.filter(F.array_distinct(F.array("a", "b")), lambda x: (F.pmod(x, F.lit(tile)) == 0) | (F.pmod(x, F.lit(tile)) == last))
+    rim = local.select(*keys, F.explode(F.when(rows_of_rim, F.sequence("a", "b")).otherwise(ends)).alias("x"), "y", "comp_id")
     moved = rim.select(*keys, F.col("comp_id").alias("u"), F.explode(F.array(*[F.struct(
         (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in steps])).alias("_m")).select(*keys, "u", "_m.x", "_m.y")
     other = rim.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("comp_id").alias("v"))
@@ -247,10 +249,10 @@ def connected_components(mask, conn=8, keys=("image_id",), tile=TILE) -> DataFra
     edges = moved.join(other, on).select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     edges = cut_lineage(edges)
     if edges.isEmpty():
-        return local
+        return spell(local)
     roots = _min_labels(edges, keys)
     out = attach(local, roots.select(*keys, F.col("node").alias("comp_id"), "label"), keys + ["comp_id"])
-    return out.select(*keys, "x", "y", F.coalesce("label", "comp_id").alias("comp_id"))
+    return spell(out.withColumn("comp_id", F.coalesce("label", "comp_id")))
 
 
 def _min_labels(edges, keys) -> DataFrame:
