@@ -234,7 +234,14 @@ def k22(spark, sf):
     return k.count_steps_mask(v.traced(spark, sf))
 
 
-@query("k23_extend_plateau")
+@query("k23_extend_plateau", with_(v.PAIR) + """, tr AS (SELECT image_id, CASE style WHEN 'A' THEN 'dashed' ELSE 'solid' END AS style, CAST(t AS INTEGER) AS x, (1 - s) * 100 AS y FROM pair),
+    la AS (SELECT *, style = 'dashed' AND row_number() OVER (w ORDER BY x) > floor(count(*) OVER w * 0.6e0) AS late FROM tr WINDOW w AS (PARTITION BY image_id, style)),
+    lv AS (SELECT image_id, min(y) FILTER (late) AS top, max(x) FILTER (style = 'dashed') AS ux, max(x) FILTER (style = 'solid') AS lx FROM la GROUP BY 1 HAVING count(*) FILTER (late) >= 10),
+    st AS (SELECT l.*, (SELECT min(x) FROM la WHERE la.image_id = l.image_id AND late AND abs(y - top) < 2) AS x0 FROM lv l WHERE lx IS NOT NULL),
+    pl AS (SELECT s.*, (SELECT avg(y) FROM tr WHERE tr.image_id = s.image_id AND style = 'solid' AND x >= x0) AS mean FROM st s),
+    fl AS (SELECT *, CASE WHEN top > mean - 5 THEN mean - 10 ELSE top END AS flat FROM pl)
+    SELECT image_id, style, x, CASE WHEN style = 'dashed' AND x >= x0 AND y > flat + 3 THEN flat ELSE y END AS y, true AS present FROM tr LEFT JOIN fl USING (image_id)
+    UNION ALL SELECT image_id, 'dashed', CAST(unnest(range(ux + 1, least(lx, 95) + 1)) AS INTEGER), flat, false FROM fl""", "y", 7)
 def k23(spark, sf):
     p = v.pair(spark, sf)
     traced = p.select("image_id", F.when(F.col("style") == "A", "dashed").otherwise("solid").alias("style"),

@@ -404,12 +404,36 @@ def m05(spark, sf):
     return m.endpoints(darks(spark, sf))
 
 
-@query("m06_bridge_endpoints")
+def bridges_sql(kind: str, fill: str) -> str:
+    """Greedy bridges of length 8 in reading order: one list fold over the endpoints of a picture keeps the targets taken (t) and the bridges made (l).
+
+    `kind` names the type of a pair by its distances dx and dy and `far`, `fill` lists the cells of a bridge."""
+    return with_(r.PIXELS, SPARSE) + f""", ends AS (SELECT a.image_id, a.x, a.y, CAST(a.y AS BIGINT) * 1000000 + a.x AS p FROM sparse a JOIN sparse b
+        ON b.image_id = a.image_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3 HAVING count(*) <= 2),
+    met AS (SELECT a.image_id, a.p, a.x AS x1, a.y AS y1, b.p AS q, b.x AS x2, b.y AS y2, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, sqrt(dx * dx + dy * dy) AS far
+        FROM ends a JOIN ends b ON a.image_id = b.image_id AND a.p < b.p AND abs(a.x - b.x) <= 8 AND abs(a.y - b.y) <= 8),
+    kinds AS (SELECT *, {kind} AS kind FROM met),
+    wishes AS (SELECT image_id, p, list({{'dist': CASE kind WHEN 'h' THEN dx WHEN 'v' THEN dy WHEN 'l' THEN dx + dy ELSE far END, 'q': q, 'kind': kind, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}
+        ORDER BY CASE kind WHEN 'h' THEN dx WHEN 'v' THEN dy WHEN 'l' THEN dx + dy ELSE far END, q) AS o FROM kinds WHERE kind IS NOT NULL GROUP BY 1, 2),
+    went AS (SELECT image_id, list_reduce(list({{'t': [p], 'l': o}} ORDER BY p), lambda a, e: CASE WHEN list_contains(a.t, e.t[1]) THEN a
+        ELSE {{'t': list_concat(a.t, list_transform(list_filter(e.l, lambda c: NOT list_contains(a.t, c.q))[1:1], lambda c: c.q)),
+               'l': list_concat(a.l, list_filter(e.l, lambda c: NOT list_contains(a.t, c.q))[1:1])}} END,
+        {{'t': CAST([] AS BIGINT[]), 'l': list_filter(first(o), lambda c: false)}}) AS s FROM wishes GROUP BY 1),
+    links AS (SELECT image_id, unnest(s.l, recursive := true) FROM went),
+    filled AS ({fill})
+    SELECT image_id, x, y FROM sparse UNION SELECT image_id, CAST(x AS INTEGER), CAST(y AS INTEGER) FROM filled"""
+
+
+@query("m06_bridge_endpoints", bridges_sql("CASE WHEN dy <= 3 AND dx BETWEEN 2 AND 8 THEN 'h' WHEN dx <= 3 AND dy BETWEEN 2 AND 8 THEN 'v' WHEN dx + dy <= 12 THEN 'l' END",
+       """SELECT image_id, unnest(range(least(x1, x2), greatest(x1, x2) + 1)) AS x, CASE kind WHEN 'h' THEN (y1 + y2) // 2 ELSE y1 END AS y FROM links WHERE kind IN ('h', 'l')
+    UNION ALL SELECT image_id, CASE kind WHEN 'v' THEN (x1 + x2) // 2 ELSE x2 END, unnest(range(y1, y2 + 1)) FROM links WHERE kind IN ('v', 'l')"""))
 def m06(spark, sf):
     return m.bridge_endpoints(sparse(spark, sf), 8)
 
 
-@query("m06_bridge_endpoints_line")
+@query("m06_bridge_endpoints_line", bridges_sql("CASE WHEN far > 1 AND far <= 8 THEN 's' END",
+       """SELECT image_id, floor(x1 + (x2 - x1) * i / n) AS x, floor(y1 + (y2 - y1) * i / n) AS y FROM
+    (SELECT *, CAST(floor(dist) AS INTEGER) + 1 AS n, unnest(range(0, CAST(floor(dist) AS INTEGER) + 2)) AS i FROM links)"""))
 def m06b(spark, sf):
     return m.bridge_endpoints(sparse(spark, sf), 8, shape="line")
 
