@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fold import fold
+from ..islands import fold_islands
+from ..ordered import Ordered
 from ..runtime import as_list, attach
 
 
@@ -189,7 +190,8 @@ def bridge_endpoints(mask, max_gap=30, shape="step", keys=("image_id",)) -> Data
     """Join each endpoint, in reading order, to the closest later free endpoint and fill the cells between.
 
     shape "step": horizontal, vertical and L-shaped bridges; "line": straight bridges up to `max_gap` long.
-    Candidates meet in tiles, so a cell sees at most the endpoints within its reach.
+    Candidates meet in tiles, so a cell sees at most the endpoints within its reach. Endpoints that no earlier one reaches cut a picture into islands, each
+    of which is folded inside the JVM; what is carried from one to the next are the taken endpoints that still lie ahead.
     """
     keys = as_list(keys)
     ends = endpoints(mask, keys)
@@ -209,21 +211,23 @@ def bridge_endpoints(mask, max_gap=30, shape="step", keys=("image_id",)) -> Data
         kind = F.when((far <= max_gap) & (far > 1), F.struct(far.alias("dist"), F.lit("s").alias("kind")))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("_tx") == F.col("_ux"), F.col("_ty") == F.col("_uy"), later]
     pairs = left.join(right, on).withColumn("_k", kind).where(F.col("_k").isNotNull())
+    spot = lambda x, y: F.col(y).cast("bigint") * (1 << 31) + F.col(x)
     options = pairs.groupBy(*keys, "y", "x").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("_k.dist").alias("dist"), F.col("y2").alias("y2"), F.col("x2").alias("x2"), F.col("_k.kind").alias("kind")))).alias("options"))
+        F.col("_k.dist").alias("dist"), F.col("y2").alias("y2"), F.col("x2").alias("x2"), F.col("_k.kind").alias("kind"),
+        F.col("x").alias("x1"), F.col("y").alias("y1"), spot("x2", "y2").alias("to")))).alias("options"))
 
     def step(taken, row):
-        here = (row["y"], row["x"])
-        if here in taken:
-            return taken - {here}, []
-        taken = frozenset(p for p in taken if p > here)
-        for o in row["options"]:
-            p = (o["y2"], o["x2"])
-            if p not in taken:
-                return taken | {p}, [(here[1], here[0], p[1], p[0], o["kind"], o["dist"])]
-        return taken, []
-
-    links = fold(options, keys, ["y", "x"], step, frozenset(), "x1 int, y1 int, x2 int, y2 int, kind string, dist double")
+        """`taken`: endpoints that earlier ones were joined to."""
+        best = F.get(F.filter(row["options"], lambda o: ~F.array_contains(taken, o["to"])), F.lit(0))
+        made = F.when(~F.array_contains(taken, row["_at"]), best)
+        ahead = F.filter(taken, lambda p: p > row["_at"])
+        return F.concat(ahead, F.filter(F.array(made["to"]), lambda p: p.isNotNull())), made
+
+    # where no earlier endpoint reaches as far as this one, nothing can be taken yet
+    reach = F.aggregate("options", F.lit(0).cast("bigint"), lambda a, o: F.greatest(a, o["to"]))
+    o = Ordered(options.withColumns({"_at": spot("x", "y"), "_to": reach}), keys, "_at").running(before=True, _reach=("max", "_to"))
+    one = "struct<dist: double, y2: int, x2: int, kind: string, x1: int, y1: int, to: bigint>"
+    links = fold_islands(o, F.col("_reach").isNull() | (F.col("_reach") < F.col("_at")), step, "array<bigint>", one, start=F.array().cast("array<bigint>"))
     lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
     top, low = F.least("y1", "y2"), F.greatest("y1", "y2")
     mid = lambda a, b: F.floor((F.col(a) + F.col(b)) / 2).cast("int")

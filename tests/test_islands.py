@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvekit import islands
-from curvekit.operators import clean, pixels, runs
+from curvekit.operators import clean, masks, pixels, runs
 from curvekit.ordered import Ordered
 
 POINTS = "curve_id int, t double, s double"
@@ -114,3 +114,37 @@ def test_plans_without_python(spark):
     for frame in frames:
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" not in plan and "Python" not in plan
+
+
+def loop_bridges(cells: set, gap: int) -> list[tuple]:
+    """Straight bridges: each free end, in reading order, to the closest later free end."""
+    ends = sorted((y, x) for x, y in cells if sum((x + i, y + j) in cells for i in (-1, 0, 1) for j in (-1, 0, 1)) <= 2)
+    taken, links = set(), []
+    for y, x in ends:
+        if (y, x) in taken:
+            continue
+        far = sorted((((v - y) ** 2 + (u - x) ** 2) ** 0.5, v, u) for v, u in ends if (v, u) > (y, x) and (v, u) not in taken)
+        if far and 1 < (best := next((f for f in far if f[0] > 1), (0, 0, 0)))[0] <= gap:
+            taken.add(best[1:])
+            links.append((x, y, best[2], best[1], best[0]))
+    return links
+
+
+@pytest.mark.parametrize("mode", ["cold", "hot"])
+def test_bridges(spark, request, mode):
+    """Pictures full of ends, a chain of dashes in which every choice hangs on the one before, and a null key; in hot mode runs of seven ends."""
+    if mode == "hot":
+        request.getfixturevalue("hot")
+    rnd = random.Random(5)
+    pictures = {1: {(rnd.randrange(40), rnd.randrange(30)) for _ in range(170)}, None: {(x, 3) for x in range(90) if x % 5 < 2}, 2: {(4, 4)}}
+    mask = spark.createDataFrame([(k, x, y) for k, cells in pictures.items() for x, y in cells], "image_id int, x int, y int")
+    got = {}
+    for r in masks.bridge_endpoints(mask, 6, shape="line").collect():
+        got.setdefault(r["image_id"], set()).add((r["x"], r["y"]))
+    want = {}
+    for k, cells in pictures.items():
+        want[k] = set(cells)
+        for x, y, u, v, far in loop_bridges(cells, 6):
+            n = int(far) + 1
+            want[k] |= {((x * n + (u - x) * i) // n, (y * n + (v - y) * i) // n) for i in range(n + 1)}
+    assert got == want
