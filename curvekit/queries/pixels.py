@@ -219,7 +219,26 @@ def a07(spark, sf):
     return p.column_pick_nearest(darks(spark, sf))
 
 
-@query("a08_column_overlap_rules")
+FIRST_CLASS = "classed AS (SELECT * FROM (SELECT image_id, x, y, CASE " + " ".join(f"WHEN {box(s)} THEN '{n}'" for n, s in CLASSES.items()) + " END AS color FROM pixels) WHERE color IS NOT NULL)"
+
+
+@query("a08_column_overlap_rules", with_(r.PIXELS, FIRST_CLASS) + """, o0 AS (SELECT image_id, color, x, list_sort(list(DISTINCT y)) AS ys, len(ys) AS n, list_filter(range(1, n), lambda i: ys[i + 1] - ys[i] > 3)[1] AS g3,
+        list_filter(range(1, n), lambda i: ys[i + 1] - ys[i] > 5)[1] AS g5 FROM classed GROUP BY 1, 2, 3),
+    o1 AS (SELECT *, ys[1] AS top, ys[g3 + 1] AS low, ys[g3 + 1] - ys[g3] AS gap, 1 - ys[1] / 50e0 AS ts, 1 - ys[g3 + 1] / 50e0 AS bs FROM o0),
+    o2 AS (SELECT *, CASE WHEN n = 1 THEN 'single' WHEN ys[-1] - top < 5 THEN 'cluster' WHEN color = 'gray' THEN CASE WHEN ts > 0.98e0 AND g5 IS NOT NULL THEN 'gray_skip_top_noise' ELSE 'gray_topmost' END
+        WHEN g3 IS NULL THEN 'topmost'
+        WHEN gap > 25 THEN CASE WHEN ts > 0.9e0 AND bs > 0.05e0 AND bs < 0.5e0 THEN 'noise_filtered_top_text'
+            WHEN ts > 0.9e0 AND bs <= 0.05e0 THEN CASE WHEN g3 > 3 THEN 'high_survival_curve' WHEN n - g3 > 3 THEN 'low_survival_curve' ELSE 'gap_top_both_sparse' END
+            WHEN ts > 0.5e0 AND ts <= 0.9e0 AND bs < 0.3e0 THEN 'noise_filtered_bottom' WHEN bs > 0.5e0 AND ts > 0.95e0 THEN 'noise_filtered_top' ELSE 'gap_top' END
+        WHEN g3 <= 2 AND n - g3 >= 4 THEN 'cross_above' WHEN n - g3 <= 2 AND g3 >= 4 THEN 'cross_below' WHEN gap > 20 AND ts > 0.85e0 THEN 'gap_skip_text_top' WHEN gap > 20 THEN 'gap' ELSE 'near' END AS rule FROM o1),
+    o3 AS (SELECT image_id, color, x, rule, top, low, CASE WHEN rule IN ('gap', 'near') THEN NULL WHEN rule = 'gray_skip_top_noise' THEN ys[g5 + 1]
+        WHEN rule IN ('noise_filtered_top_text', 'low_survival_curve', 'noise_filtered_top', 'cross_above', 'gap_skip_text_top') THEN low ELSE top END AS y FROM o2),
+    o4 AS (SELECT image_id, color, list_reduce(list({'x': x, 'y': y, 'rule': rule, 'top': top, 'low': low} ORDER BY x), lambda a, c: list_append(a, CASE WHEN c.y IS NOT NULL THEN c
+        WHEN len(a) = 0 THEN {'x': c.x, 'y': c.top, 'rule': CASE c.rule WHEN 'gap' THEN 'gap_prefer_top' ELSE 'default_top' END, 'top': c.top, 'low': c.low}
+        WHEN abs(c.top - a[-1].y) > abs(c.low - a[-1].y) THEN {'x': c.x, 'y': c.low, 'rule': CASE c.rule WHEN 'gap' THEN 'gap_' ELSE '' END || 'continuity_bottom', 'top': c.top, 'low': c.low}
+        ELSE {'x': c.x, 'y': c.top, 'rule': CASE c.rule WHEN 'gap' THEN 'gap_' ELSE '' END || 'continuity_top', 'top': c.top, 'low': c.low} END),
+        list_filter(list({'x': x, 'y': y, 'rule': rule, 'top': top, 'low': low}), lambda c: false)) AS f FROM o3 GROUP BY 1, 2)
+    SELECT image_id, color, u.x AS x, u.y AS y, u.rule AS rule FROM (SELECT image_id, color, unnest(f) AS u FROM o4)""")
 def a08(spark, sf):
     px = p.classify_color(r.pixels(spark, sf), first_only=True)
     return p.column_overlap_rules(px, 50)
