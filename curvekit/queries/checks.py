@@ -23,8 +23,8 @@ from . import quality as qq  # noqa: F401 - the reports are made of its queries
 from . import raster as r
 from . import views as v
 from .base import ORACLES, QUERIES, query, round_doubles, table
-from .clean import with_
-from .pixels import DARKS, darks
+from .clean import DROP, FLAT, RESAMPLE, THIN, with_
+from .pixels import CLASSES, DARKS, NAMED, NEAREST_ARMS, box, darks
 
 CAL = """cal AS (SELECT CAST(n_nationkey AS BIGINT) AS image_id, CAST(3 + n_nationkey % 4 AS INTEGER) AS x_0_pixel, CAST(80 + n_nationkey % 3 AS INTEGER) AS x_max_pixel, 48 AS y_0_pixel, 2 AS y_100_pixel, 0e0 AS time_min, 90e0 AS time_max FROM nation)"""
 
@@ -355,17 +355,37 @@ def full_cal(spark, sf):
     return cal(spark, sf).withColumns({"survival_min": F.lit(0.0), "survival_max": F.lit(1.0)})
 
 
+PICKED = """picks AS (SELECT curve_id, list_reduce(list({{'x': x, 'lo': lo, 'med': med, 'n': n, 'y': 0}} ORDER BY x), lambda a, c: list_append(a, {{'x': c.x, 'lo': c.lo, 'med': c.med, 'n': c.n,
+        'y': CASE WHEN c.n <= 3 THEN c.med {arms} END}}), CAST([] AS STRUCT(x INTEGER, lo INTEGER, med INTEGER, n BIGINT, y INTEGER)[])) AS f
+        FROM (SELECT curve_id, x, min(y) AS lo, CAST(floor(median(y)) AS INTEGER) AS med, count(*) AS n FROM marked GROUP BY 1, 2) GROUP BY 1),
+    picked AS (SELECT curve_id, CAST(split_part(curve_id, '@', 1) AS BIGINT) AS image_id, u.x AS x, u.y AS y FROM (SELECT curve_id, unnest(f) AS u FROM picks WHERE len(f) >= 10))"""
+NAMED_BACK = "SELECT CAST(split_part(curve_id, '@', 1) AS BIGINT) AS image_id, split_part(curve_id, '@', 2) AS color, t, s FROM "
+
+
+def marks_sql(specs: dict, source: str) -> str:
+    """Cells of each colour, named picture@colour."""
+    return " UNION ALL ".join(f"SELECT image_id || '@{n}' AS curve_id, x, y FROM {source} WHERE {box(spec)}" for n, spec in specs.items())
+
+
 @query("flow_color_curves")
 def flow_color(spark, sf):
     return flows.color_curves(r.pixels(spark, sf), r.bounds(spark, sf), full_cal(spark, sf), 30)
 
 
-@query("flow_named_curves")
+@query("flow_named_curves", with_(r.PIXELS, CAL, f"""inner_px AS (SELECT p.* FROM pixels p JOIN cal USING (image_id) WHERE x BETWEEN x_0_pixel AND x_max_pixel AND y BETWEEN y_100_pixel AND y_0_pixel),
+    marked AS ({marks_sql({n: NAMED[n] for n in ("red", "green", "blue", "black")}, "inner_px")})""", PICKED.format(arms=NEAREST_ARMS),
+    """points AS (SELECT curve_id, time_min + (x - x_0_pixel) * ((time_max - time_min) / (x_max_pixel - x_0_pixel)) AS t, greatest(0e0, least(1e0, 0e0 + (y_0_pixel - y) * (1e0 / (y_0_pixel - y_100_pixel)))) AS s
+    FROM picked JOIN cal USING (image_id))""", DROP.format(src="points", tol="0.005e0", start="s"), FLAT + RESAMPLE.format(src="flat", st="5e-1")) + NAMED_BACK + "resampled", "t s")
 def flow_named(spark, sf):
     return flows.named_curves(r.pixels(spark, sf), full_cal(spark, sf), ["red", "green", "blue", "black"])
 
 
-@query("flow_classed_curves")
+@query("flow_classed_curves", with_(r.PIXELS, r.IMAGES, f"""every AS ({marks_sql(CLASSES, "pixels")}), marked AS (SELECT * FROM every QUALIFY count(*) OVER (PARTITION BY curve_id) >= 100)""",
+    PICKED.format(arms="WHEN len(a) > 0 AND abs(c.lo - a[-1].y) > 20 THEN c.med ELSE c.lo"),
+    "points AS (SELECT curve_id, x / width * 90e0 AS t, greatest(0e0, least(1e0, 1e0 - y / height)) AS s FROM picked JOIN images USING (image_id))",
+    DROP.format(src="points", tol="0.005e0", start="1e0"), THIN.format(src="dropped", tt="0.1e0", ts="0.005e0"), """ranked AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY t, s) AS rn FROM thinned),
+    anchored AS (SELECT curve_id, 0e0 AS t, 1e0 AS s FROM ranked WHERE rn = 1 AND (t > 0.01e0 OR s < 0.999e0) UNION ALL SELECT curve_id, t, s FROM ranked WHERE NOT (rn = 1 AND t <= 0.01e0 AND s < 0.999e0))""")
+    + NAMED_BACK + "anchored", "t s")
 def flow_classed(spark, sf):
     return flows.classed_curves(r.pixels(spark, sf), r.images(spark, sf), 90.0)
 

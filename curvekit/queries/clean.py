@@ -274,13 +274,16 @@ def clean_curve_min_drop(spark, sf):
     return k.clean_curve(v.noisy(spark, sf), dedup="min", monotone="drop", min_start=0.99, trim=False)
 
 
-@query("clean_curve_hybrid", with_(v.NOISY, DROP.format(src="noisy", tol="0.005e0", start="s")) + """,
-    ahead AS (SELECT curve_id, t, s, lead(s) OVER (PARTITION BY curve_id ORDER BY t, s) AS n,
+FLAT = """ahead AS (SELECT curve_id, t, s, lead(s) OVER (PARTITION BY curve_id ORDER BY t, s) AS n,
         row_number() OVER (PARTITION BY curve_id ORDER BY t, s) AS rn FROM dropped),
     f AS (SELECT curve_id, list_reduce(list({'t': t, 's': s, 'n': n, 'rn': rn} ORDER BY t, s), lambda a, x:
         CASE WHEN x.rn = 1 THEN a WHEN x.n IS NULL OR abs(x.s - a[-1].s) > 0.001e0 OR abs(x.n - x.s) > 0.001e0
         THEN list_append(a, x) ELSE a END, list({'t': t, 's': s, 'n': n, 'rn': rn} ORDER BY t, s)[1:1]) AS r FROM ahead GROUP BY 1),
     flat AS (SELECT curve_id, p.t AS t, p.s AS s FROM (SELECT curve_id, unnest(r) AS p FROM f)),
-    """ + RESAMPLE.format(src="flat", st="5e-1") + " SELECT * FROM resampled", "", None)
+    """
+
+
+@query("clean_curve_hybrid", with_(v.NOISY, DROP.format(src="noisy", tol="0.005e0", start="s")) + """,
+    """ + FLAT + RESAMPLE.format(src="flat", st="5e-1") + " SELECT * FROM resampled", "", None)
 def clean_curve_hybrid(spark, sf):
     return k.resample(k.drop_flat(k.monotone_drop(v.noisy(spark, sf), start=None)))

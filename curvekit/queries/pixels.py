@@ -213,8 +213,11 @@ def a06(spark, sf):
     return p.column_pick_continuous(darks(spark, sf))
 
 
-@query("a07_column_pick_nearest", PXD[:-1] + ", " + PICK.format(arms="""WHEN len(a) = 0 THEN c.lo WHEN CASE WHEN c.lo >= a[-1].y - 5 THEN abs(c.lo - a[-1].y) ELSE 1000 END
-        <= CASE WHEN c.med >= a[-1].y - 5 THEN abs(c.med - a[-1].y) ELSE 1000 END THEN c.lo ELSE c.med"""))
+NEAREST_ARMS = """WHEN len(a) = 0 THEN c.lo WHEN CASE WHEN c.lo >= a[-1].y - 5 THEN abs(c.lo - a[-1].y) ELSE 1000 END
+        <= CASE WHEN c.med >= a[-1].y - 5 THEN abs(c.med - a[-1].y) ELSE 1000 END THEN c.lo ELSE c.med"""
+
+
+@query("a07_column_pick_nearest", PXD[:-1] + ", " + PICK.format(arms=NEAREST_ARMS))
 def a07(spark, sf):
     return p.column_pick_nearest(darks(spark, sf))
 
