@@ -601,7 +601,7 @@ def group_tokens_by_row(tokens, image="image_id", tol=15, y="center_y", x="cente
     anchors = F.aggregate("_ys", F.array().cast("array<int>"), lambda seen, v: F.when(F.exists(seen, lambda a: near(a, v)), seen).otherwise(F.concat(seen, F.array(v))))
     joined = islands.withColumn("_as", anchors).select(image, "_as", F.explode("_ys").alias("_y"))
     found = joined.select(image, "_y", F.get(F.filter("_as", lambda a: near(a, c("_y"))), F.lit(0)).alias("row_y"))
-    return attach(rows, found, [image, "_y"]).drop("_y")
+    return attach(rows, found, [image, "_y"], grows=True).drop("_y")
 
 
 def consolidate_regions(regions, key="curve_id", t="t", offset="offset", gap=1.0) -> DataFrame:
