@@ -87,7 +87,7 @@ def time_points(rows, calibration=None, image="image_id") -> DataFrame:
     k = F.greatest(c("_k"), F.lit(7))
     guess = F.when(c("_k").isNotNull(), F.array(*[F.lit(float(v)) for v in range(0, 21, 3)][:7]))
     if calibration is not None:
-        pages = attach(pages, calibration.select(image, "time_min", "time_max"), [image])
+        pages = attach(pages, calibration.select(image, "time_min", "time_max"), [image], grows=True)
         even = F.transform(F.sequence(F.lit(0), k - 1), lambda i: c("time_min") + i * (c("time_max") - c("time_min")) / (k - 1))
         guess = F.when(c("_k").isNotNull(), F.when(c("time_min").isNotNull(), even).otherwise(guess))
     times = F.when(F.size("_t") > 0, c("_t")).otherwise(guess)

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["r01_classify_rows", "r02_parse_data_rows", "w21_group_tokens_by_row"]
+NAMES = ["r01_classify_rows", "r02_parse_data_rows", "r04_time_points", "w21_group_tokens_by_row"]
 
 
 @pytest.mark.parametrize("name", NAMES)
