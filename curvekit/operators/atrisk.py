@@ -102,7 +102,7 @@ def assemble_cells(rows, times, image="image_id", least=3) -> DataFrame:
     data = parse_data_rows(rows.where(c("kind").isin("data", "unlabeled")), image)
     data = data.where(c("grp").isNotNull() & (F.size("values") >= least)).withColumn("grp", clean_group_name(c("grp")))
     last = data.groupBy(image, "grp").agg(F.max(F.struct("row_y", "values")).alias("_r")).select(image, "grp", "_r.row_y", "_r.values")
-    last = attach(last, times.select(image, "times"), [image]).where(c("times").isNotNull())
+    last = attach(last, times.select(image, "times"), [image], grows=True).where(c("times").isNotNull())
     filled = F.size(F.array_distinct(F.slice("times", F.lit(1), F.least(F.size("values"), F.size("times")))))
     groups = Ordered(last, image, "row_y").total(_c=F.sum(filled), _g=F.count("*")).df
     groups = groups.withColumn("confidence", c("_c") / F.greatest(c("_g") * F.size("times"), F.lit(1)))
@@ -120,20 +120,22 @@ def merge_token_passes(first, second, least=5, image="image_id") -> DataFrame:
     """Where the first pass found fewer than `least` tokens, tokens of the second pass with new texts are added."""
     few = second.select(image).distinct()
     n = first.groupBy(image).agg(F.count("*").alias("_n"))
-    few = attach(few, n, [image]).where(F.coalesce(c("_n"), F.lit(0)) < least).select(image, F.lit(True).alias("_few"))
+    few = attach(few, n, [image], grows=True).where(F.coalesce(c("_n"), F.lit(0)) < least).select(image, F.lit(True).alias("_few"))
     known = first.select(image, F.lower(F.trim("text")).alias("_w")).distinct().withColumn("_k", F.lit(True))
-    extra = attach(second, few, [image]).where("_few").withColumn("_w", F.lower(F.trim("text")))
-    extra = attach(extra, known, [image, "_w"]).where(c("_k").isNull())
+    extra = attach(second, few, [image], grows=True).where("_few").withColumn("_w", F.lower(F.trim("text")))
+    extra = attach(extra, known, [image, "_w"], grows=True).where(c("_k").isNull())
     return first.unionByName(extra.select(*first.columns))
 
 
 def table_region(pixels, tokens, images, bounds, margin=10, image="image_id") -> DataFrame:
     """Bounding box of dark cells below 75% of the plot, kept when large enough and when its top holds a header text or
     its tokens form a numeric grid. Widening the cells by 14 x 2 pixels, as is done to join letters, only widens the box."""
-    dims = attach(images.select(image, "width", "height"), bounds.select(image, "py", "ph"), [image])
+    dims = attach(images.select(image, "width", "height"), bounds.select(image, "py", "ph"), [image], grows=True)
     dims = dims.withColumn("_top", F.floor(c("py") + c("ph") * 0.75).cast("int")).where(c("height") - c("_top") >= 50)
-    rows = attach(pixels.where(c("gray") < 200), dims, [image]).where(c("y") >= c("_top"))
-    b = rows.groupBy(image, "width", "height", "_top").agg(F.min("x").alias("a"), F.max("x").alias("b"), (F.min("y") - c("_top")).alias("c"), (F.max("y") - c("_top")).alias("d"))
+    # a row of pixels is reduced to its ends before it is sent to its picture, so that a picture brings at most its height
+    lines = pixels.where(c("gray") < 200).groupBy(image, "y").agg(F.min("x").alias("_x1"), F.max("x").alias("_x2"))
+    rows = attach(lines, dims, [image], grows=True).where(c("y") >= c("_top"))
+    b = rows.groupBy(image, "width", "height", "_top").agg(F.min("_x1").alias("a"), F.max("_x2").alias("b"), (F.min("y") - c("_top")).alias("c"), (F.max("y") - c("_top")).alias("d"))
     z = F.lit(0)
     region = c("height") - c("_top")
     x1, x2 = F.greatest(z, c("a") - 14), F.least(c("width") - 1, c("b") + 14)
@@ -141,12 +143,12 @@ def table_region(pixels, tokens, images, bounds, margin=10, image="image_id") ->
     b = b.withColumns({"_x": x1, "_y": y1, "_w": x2 - x1 + 1, "_h": y2 - y1 + 1}).where((c("_w") >= 100) & (c("_h") >= 50))
     nx, ny = F.greatest(z, c("_x") - margin), F.greatest(z, c("_y") - margin)
     b = b.select(image, nx.alias("x"), (c("_top") + ny).alias("y"), F.least(c("width") - nx, c("_w") + 2 * margin).alias("w"), F.least(region - ny, c("_h") + 2 * margin).alias("h"))
-    inside = attach(tokens, b, [image]).where(c("center_x").between(c("x"), c("x") + c("w")) & c("center_y").between(c("y"), c("y") + c("h")))
+    inside = attach(tokens, b, [image], grows=True).where(c("center_x").between(c("x"), c("x") + c("w")) & c("center_y").between(c("y"), c("y") + c("h")))
     head = inside.where(c("center_y") < c("y") + F.least(F.lit(40), F.floor(c("h") / 3)))
     # the header strip of one page
     head = head.groupBy(image).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("center_y", "center_x", "text"))), lambda q: F.lower(q["text"])), " ").alias("_s"))
     head = head.select(image, F.rlike("_s", F.lit(HEADERS)).alias("_header"))
-    out = attach(attach(b, head, [image]), numeric_grid(inside.select(image, "text", "center_y"), image=image), [image])
+    out = attach(attach(b, head, [image], grows=True), numeric_grid(inside.select(image, "text", "center_y"), image=image), [image], grows=True)
     return out.withColumns({"header": F.coalesce("_header", F.lit(False)), "grid": F.coalesce("has_grid", F.lit(False))}).where(
         "header or grid").select(image, "x", "y", "w", "h", "header", "grid")
 
