@@ -110,8 +110,14 @@ def import_curve_csv(spark: SparkSession, path: str, name: str, style: str = "so
 
 
 def write_points(points: DataFrame, path: str, key="curve_id", t="t", s="s") -> None:
-    """One folder of CSV files per curve: Time, Survival."""
-    points.select(key, F.col(t).alias("Time"), F.col(s).alias("Survival")).write.mode("overwrite").partitionBy(key).option("header", "true").csv(path)
+    """One folder of CSV files per curve: Time, Survival.
+
+    Making files is the work here, so all cores share it: the rows are dealt out in ranges of (curve, time). A curve lies in one range or a few neighbouring
+    ones, which leaves about one file per curve however the input is split, and a long curve is written by several tasks.
+    """
+    ranges = 2 * points.sparkSession.sparkContext.defaultParallelism
+    rows = points.repartitionByRange(ranges, key, t).select(key, F.col(t).alias("Time"), F.col(s).alias("Survival"))
+    rows.write.mode("overwrite").partitionBy(key).option("header", "true").csv(path)
 
 
 def all_curves(points: DataFrame, curves: DataFrame, key="curve_id", t="t", s="s") -> DataFrame:
