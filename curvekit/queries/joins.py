@@ -17,6 +17,8 @@ DARK = """dark AS (SELECT DISTINCT c_nationkey AS image_id, CAST((year(o_orderda
     CAST(floor(o_totalprice / 2500e0) AS INTEGER) AS y FROM orders JOIN customer ON o_custkey = c_custkey)"""
 SPOTS = """spots AS (SELECT s_nationkey AS image_id, s_suppkey AS curve_id, CAST(((year(l_shipdate) - 1995) * 12 + month(l_shipdate)) AS INTEGER) AS px,
     CAST(floor(avg(l_extendedprice) / 500e0) AS INTEGER) AS py FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2, 3)"""
+# the same spots with prices in cents, whose sums do not depend on the order of addition
+EXACT_SPOTS = SPOTS.replace("CAST(floor(avg(l_extendedprice) / 500e0) AS INTEGER)", "CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // (count(l_extendedprice) * 50000) AS INTEGER)")
 BOXES = """boxes AS (SELECT s_nationkey AS image_id, s_name AS "text", CAST(s_suppkey % 90 AS INTEGER) AS x, CAST(s_suppkey * 7 % 200 AS INTEGER) AS y,
     CAST(4 + s_suppkey % 13 AS INTEGER) AS w, CAST(3 + s_suppkey % 9 AS INTEGER) AS h, CAST(s_suppkey * 3 % 100 AS INTEGER) AS conf, s_suppkey AS seq FROM supplier)"""
 
@@ -29,10 +31,13 @@ def dark(spark, sf):
 
 
 def spots(spark, sf):
+    """Mean price per supplier and month as a row of the picture. Prices are added in cents: a sum of doubles depends on the order of addition, and the floor
+    of a mean that lies on a whole row with it."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).cast("int")
-    return li.groupBy(F.col("s_nationkey").alias("image_id"), F.col("s_suppkey").alias("curve_id"), month.alias("px")).agg(
-        F.floor(F.avg("l_extendedprice") / 500.0).cast("int").alias("py"))
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    sums = li.groupBy(F.col("s_nationkey").alias("image_id"), F.col("s_suppkey").alias("curve_id"), month.alias("px")).agg(cents.alias("_c"), (F.count("l_extendedprice") * 50000).alias("_n"))
+    return sums.select("image_id", "curve_id", "px", F.expr("cast((_c - pmod(_c, nullif(_n, 0))) div nullif(_n, 0) as int)").alias("py"))
 
 
 def boxes(spark, sf):
@@ -105,7 +110,7 @@ def j08(spark, sf):
     return j.protect_then_mask(d, j.box_edges(boxes(spark, sf), pad=5), d.where((F.col("x") + F.col("y")) % 3 == 0), tile=16)
 
 
-@query("j09_nearest_dark", with_(DARK, SPOTS) + """SELECT s.image_id, s.curve_id, px, py, d.dist, d.near_y FROM spots s LEFT JOIN
+@query("j09_nearest_dark", with_(DARK, EXACT_SPOTS) + """SELECT s.image_id, s.curve_id, px, py, d.dist, d.near_y FROM spots s LEFT JOIN
     (SELECT s.image_id, s.px, s.py, sqrt(min((d.x - px) * (d.x - px) + (d.y - py) * (d.y - py))) AS dist,
      min_by(d.y, struct_pack(a := (d.x - px) * (d.x - px) + (d.y - py) * (d.y - py), b := d.y - py, c := d.x - px)) AS near_y
      FROM (SELECT DISTINCT image_id, px, py FROM spots) s JOIN dark d ON d.image_id = s.image_id AND abs(d.x - px) <= 8 AND abs(d.y - py) <= 8 GROUP BY 1, 2, 3) d
@@ -114,7 +119,7 @@ def j09(spark, sf):
     return j.nearest_dark(spots(spark, sf), dark(spark, sf))
 
 
-@query("j10_nearest_vertical", with_(DARK, SPOTS) + """SELECT s.image_id, s.curve_id, px AS x, py AS y, d.o AS "offset" FROM spots s LEFT JOIN
+@query("j10_nearest_vertical", with_(DARK, EXACT_SPOTS) + """SELECT s.image_id, s.curve_id, px AS x, py AS y, d.o AS "offset" FROM spots s LEFT JOIN
     (SELECT s.image_id, s.px, s.py, min_by(d.y - py, struct_pack(a := abs(d.y - py), b := d.y - py)) AS o FROM (SELECT DISTINCT image_id, px, py FROM spots) s
      JOIN dark d ON d.image_id = s.image_id AND d.x = px AND abs(d.y - py) <= 15 GROUP BY 1, 2, 3) d USING (image_id, px, py)""")
 def j10(spark, sf):
