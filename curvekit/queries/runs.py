@@ -390,11 +390,15 @@ def m03(spark, sf):
     return m.opened(d, k).withColumn("op", F.lit("open")).unionByName(m.closed(d, k).withColumn("op", F.lit("close")))
 
 
-@query("m04_skeleton", with_(r.PIXELS, "cells AS (SELECT image_id, x, y FROM pixels WHERE gray < 170)") + """, nb AS (SELECT a.image_id, a.x, a.y, abs(a.x - b.x) + abs(a.y - b.y) AS k, count(*) AS n FROM cells a JOIN cells b
-        ON a.image_id = b.image_id AND b.x BETWEEN a.x - 9 AND a.x + 9 AND b.y BETWEEN a.y - 9 AND a.y + 9 AND abs(a.x - b.x) + abs(a.y - b.y) <= 9 GROUP BY 1, 2, 3, 4),
-    ds AS (SELECT c.image_id, c.x, c.y, coalesce(min(q.k) FILTER (coalesce(nb.n, 0) < CASE WHEN q.k = 0 THEN 1 ELSE 4 * q.k END), 10) AS d FROM cells c CROSS JOIN (SELECT unnest(range(1, 10)) AS k) q
-        LEFT JOIN nb ON nb.image_id = c.image_id AND nb.x = c.x AND nb.y = c.y AND nb.k = q.k GROUP BY 1, 2, 3)
-    SELECT image_id, x, y FROM ds a WHERE NOT EXISTS (SELECT 1 FROM ds b WHERE b.image_id = a.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 AND b.d > a.d)""")
+# Steps to the closest cell that is not set, in two passes over a frame one cell wider than the mask: along the rows, then along the columns
+STEPS = """frame AS (SELECT image_id, unnest(range(x1, x2 + 1)) AS x, y1, y2 FROM (SELECT image_id, min(x) - 1 AS x1, max(x) + 1 AS x2, min(y) - 1 AS y1, max(y) + 1 AS y2 FROM cells GROUP BY 1)),
+    grid AS (SELECT f.image_id, CAST(f.x AS INTEGER) AS x, CAST(f.y AS INTEGER) AS y, c.x IS NOT NULL AS own FROM (SELECT image_id, x, unnest(range(y1, y2 + 1)) AS y FROM frame) f LEFT JOIN (SELECT DISTINCT image_id, x, y FROM cells) c ON c.image_id = f.image_id AND c.x = f.x AND c.y = f.y),
+    across AS (SELECT *, least(x - max(x) FILTER (NOT own) OVER (w ROWS UNBOUNDED PRECEDING), min(x) FILTER (NOT own) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - x) AS h FROM grid WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+    ds AS (SELECT image_id, x, y, d FROM (SELECT *, least(y + min(h - y) OVER (w ROWS UNBOUNDED PRECEDING), min(h + y) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - y) AS d FROM across WINDOW w AS (PARTITION BY image_id, x ORDER BY y)) WHERE own)"""
+
+
+@query("m04_skeleton", with_(r.PIXELS, "cells AS (SELECT image_id, x, y FROM pixels WHERE gray < 170)", STEPS) + """SELECT image_id, x, y FROM ds a
+    WHERE NOT EXISTS (SELECT 1 FROM ds b WHERE b.image_id = a.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 AND b.d > a.d)""")
 def m04(spark, sf):
     return m.skeleton(r.pixels(spark, sf).where("gray < 170"))
 

@@ -34,3 +34,13 @@ def test_spots_on_a_whole_row(spark, tmp_path):
     got = {q["curve_id"]: q["py"] for q in qj.spots(spark, str(tmp_path)).collect()}
     assert got == {k: 1 for k in range(20)}
     assert dict(con.execute(f"WITH {qj.EXACT_SPOTS} SELECT curve_id, py FROM spots").fetchall()) == got
+
+
+def test_skeleton_of_wide_cells(spark):
+    """Cells farther than nine steps from the outside are told apart."""
+    cells = [(1, x, y) for x in range(31) for y in range(27)] + [(2, x, y) for x in range(12) for y in range(12) if (x * y) % 7]
+    con = duckdb.connect()
+    sql = f"WITH cells AS (SELECT * FROM (VALUES {', '.join(map(str, cells))}) v(image_id, x, y)), {qr.STEPS} SELECT image_id, x, y FROM ds a WHERE NOT EXISTS (SELECT 1 FROM ds b WHERE b.image_id = a.image_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 AND b.d > a.d)"
+    assert qr.STEPS in entry.oracle_sql()["m04_skeleton"] and con.execute(f"SELECT max(d) FROM ({sql.split(' SELECT image_id, x, y FROM ds a')[0]} SELECT d FROM ds)").fetchall() == [(14,)]
+    mask = spark.createDataFrame(cells, "image_id long, x int, y int")
+    assert rows(["image_id", "x", "y"], [tuple(q) for q in masks.skeleton(mask).collect()]) == rows(["image_id", "x", "y"], con.execute(sql).fetchall())
