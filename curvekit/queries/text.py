@@ -189,7 +189,7 @@ def way_answers(spark, sf):
     return pieces(spark, sf, "points:\nT=", F.col("c_nationkey"), ", survival = ", F.round(F.abs("c_acctbal") / 100, 2), "\nnothing\n t = 30 -> Survival=0.", (k % 90 + 10))
 
 
-@query("t12_parse_waypoints", """SELECT c_custkey AS image_id, 0 AS pos, CAST(c_nationkey AS DOUBLE) AS t, least(1e0, CASE WHEN v > 1 THEN v / 100 ELSE v END) AS s FROM (SELECT *, round(abs(c_acctbal) / 100, 2) AS v FROM customer)
+@query("t12_parse_waypoints", """SELECT c_custkey AS image_id, 0 AS pos, CAST(c_nationkey AS DOUBLE) AS t, least(1e0, CASE WHEN v > 1 THEN v / 100 ELSE v END) AS s FROM (SELECT *, (CAST(round(abs(c_acctbal) * 100) AS BIGINT) + 50) // 100 / 100e0 AS v FROM customer)
     UNION ALL SELECT c_custkey, 1, 30e0, (c_custkey % 90 + 10) / 100 FROM customer""", "s")
 def t12(spark, sf):
     p = x.parse_waypoints(way_answers(spark, sf))

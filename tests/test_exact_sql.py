@@ -44,3 +44,11 @@ def test_skeleton_of_wide_cells(spark):
     assert qr.STEPS in entry.oracle_sql()["m04_skeleton"] and con.execute(f"SELECT max(d) FROM ({sql.split(' SELECT image_id, x, y FROM ds a')[0]} SELECT d FROM ds)").fetchall() == [(14,)]
     mask = spark.createDataFrame(cells, "image_id long, x int, y int")
     assert rows(["image_id", "x", "y"], [tuple(q) for q in masks.skeleton(mask).collect()]) == rows(["image_id", "x", "y"], con.execute(sql).fetchall())
+
+
+def test_waypoints_with_half_cents(spark, tmp_path):
+    con = duckdb.connect()
+    save(con, tmp_path, customer="SELECT CAST(k AS BIGINT) AS c_custkey, CAST(k % 25 AS INTEGER) AS c_nationkey, (k * 10 + 5) / 10e0 AS c_acctbal, 'x' AS c_mktsegment, 'n' AS c_name FROM range(2000, 4000) r(k)")
+    df = entry.queries()["t12_parse_waypoints"](spark, str(tmp_path))
+    cur = con.execute(entry.oracle_sql()["t12_parse_waypoints"])
+    assert rows(df.columns, [tuple(q) for q in df.collect()]) == rows([d[0] for d in cur.description], cur.fetchall())
