@@ -109,17 +109,26 @@ def parse_curve_list_response(responses, image="image_id", text="text") -> DataF
                        F.coalesce("_y.low", F.lit(0.0)).alias("y_low"), F.coalesce("_y.high", F.lit(1.0)).alias("y_high"), "percent", "confidence")
 
 
+def _point_answers(responses, image, text) -> DataFrame:
+    """Answers (image, name, confidence) with the list `_found` of their readable points."""
+    rows = responses.select(image, lines_of(F.col(text)).alias("_l"))
+
+    def point(line, pos):
+        parts = F.when(F.contains(line, F.lit("|")), F.split(line, r"\|")).otherwise(F.split(line, ","))
+        t = F.regexp_extract(F.element_at(parts, 1), r"(?i)TIME\s*:\s*([\d.]+)", 1).try_cast("double")
+        s = F.regexp_extract(F.try_element_at(parts, F.lit(2)), r"(?i)SURVIVAL\s*:\s*([\d.]+)", 1).try_cast("double")
+        return F.struct(pos.alias("pos"), t.alias("t"), s.alias("s"))
+
+    found = F.filter(F.transform(having(F.col("_l"), "TIME"), point), lambda q: q["t"].isNotNull() & q["s"].isNotNull())
+    return rows.select(image, F.coalesce(last_value(F.col("_l"), "CURVE"), F.lit("")).alias("name"), confidence_of(F.col("_l"), 0.5, None).alias("confidence"), found.alias("_found"))
+
+
 def parse_points_response(responses, image="image_id", text="text") -> DataFrame:
     """Points of `TIME: t | SURVIVAL: s` lines; values above 1.5 are percentages."""
-    rows = responses.select(image, lines_of(F.col(text)).alias("_l"))
-    line = F.col("_p")
-    parts = F.when(F.contains(line, F.lit("|")), F.split(line, r"\|")).otherwise(F.split(line, ","))
-    t = F.regexp_extract(F.element_at(parts, 1), r"(?i)TIME\s*:\s*([\d.]+)", 1).try_cast("double")
-    s = F.regexp_extract(F.try_element_at(parts, F.lit(2)), r"(?i)SURVIVAL\s*:\s*([\d.]+)", 1).try_cast("double")
-    rows = rows.select(image, F.coalesce(last_value(F.col("_l"), "CURVE"), F.lit("")).alias("name"), confidence_of(F.col("_l"), 0.5, None).alias("confidence"),
-                       F.posexplode(having(F.col("_l"), "TIME")).alias("pos", "_p"))
-    rows = rows.select(image, "name", "pos", t.alias("t"), s.alias("_s"), "confidence").where("t is not null and _s is not null")
-    return rows.select(image, "name", "pos", "t", F.when(F.col("_s") > 1.5, F.col("_s") / 100).otherwise(F.col("_s")).alias("s"), "confidence")
+    # an outer explode: Spark's test for empty lists would read every answer a second time
+    rows = _point_answers(responses, image, text).select(image, "name", "confidence", F.explode_outer("_found").alias("_p")).where("_p is not null")
+    s = F.col("_p.s")
+    return rows.select(image, "name", "_p.pos", "_p.t", F.when(s > 1.5, s / 100).otherwise(s).alias("s"), "confidence")
 
 
 def parse_axis_response(responses, image="image_id", text="text") -> DataFrame:
@@ -270,9 +279,12 @@ def model_points_to_curves(responses, image="image_id", curve="curve", text="tex
     """Points of curve answers sorted, anchored at (0, 1) and made non-increasing, with the image's mean confidence."""
     from ..operators.clean import _anchored
     from ..ordered import Ordered
-    p = parse_points_response(responses.withColumn("_id", F.struct(image, curve)), "_id", text)
-    p = p.select(F.col(f"_id.{image}").alias(image), F.col(f"_id.{curve}").alias(curve), "t", "s", "confidence")
-    mean = p.groupBy(image, curve).agg(F.max("confidence").alias("_c")).groupBy(image).agg(F.avg("_c").alias("mean_confidence"))
+    named = responses.withColumn("_id", F.struct(image, curve))
+    own = [F.col(f"_id.{image}").alias(image), F.col(f"_id.{curve}").alias(curve)]
+    p = parse_points_response(named, "_id", text).select(*own, "t", "s")
+    # the confidence is read once per answer that has points, not once per point
+    sure = _point_answers(named, "_id", text).where(F.size("_found") > 0).select(*own, "confidence")
+    mean = sure.groupBy(image, curve).agg(F.max("confidence").alias("_c")).groupBy(image).agg(F.avg("_c").alias("mean_confidence"))
     o = _anchored(Ordered(p.select(image, curve, "t", "s"), [image, curve], "t", "s"), "t", "s", 0.01, -1.0)
     o = o.running(_m=("min", "s")).with_columns(s=F.least(F.lit(1.0), F.col("_m")))
     from ..runtime import attach
