@@ -28,8 +28,13 @@ def two_way(o: Ordered, after_0: Column, after_1: Column, name: str = "_way") ->
     return o.with_columns(**{name: F.pmod(F.col("_since") + F.col("_turns"), F.lit(2)).cast("int")})
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_islands(o: Ordered, restart: Column, step, state: str, out: str, start: Column | None = None, finish=None) -> DataFrame:
-    """Fold the rows of `o` per key in its order: `step(state, row)` gives the next state and a row to put out, both as columns (null: nothing).
+    """Fold the rows of `o` per key in its order: `step(state, row, put)` gives `put(next state, row to put out)`, both columns (null: nothing).
 
     `state` and `out` are types; a state is null at first unless `start` is given. Rows for which `restart` holds must come out alike whatever the state
     was; `finish(state)` puts out the state that a restart point or the end of the key leaves behind. The result has the key columns and those of `out`.
@@ -48,11 +53,13 @@ def fold_islands(o: Ordered, restart: Column, step, state: str, out: str, start:
         that a long island does not copy them row by row."""
 
         def one(acc, row):
-            new, made = step(F.when(row["_r"], begin).otherwise(acc["s"]) if within else acc["s"], row)
-            outs = [acc["o"], F.filter(F.array(made.cast(out)), lambda m: m.isNotNull())]
-            if finish is not None and within:
-                outs.insert(1, F.filter(F.array(F.when(row["_r"], finish(acc["s"])).cast(out)), lambda m: m.isNotNull()))
-            return F.struct(new.cast(state).alias("s"), F.concat(*outs).alias("o"))
+            def put(new, made):
+                outs = [acc["o"], F.filter(F.array(made.cast(out)), lambda m: m.isNotNull())]
+                if finish is not None and within:
+                    outs.insert(1, F.filter(F.array(F.when(row["_r"], finish(acc["s"])).cast(out)), lambda m: m.isNotNull()))
+                return F.struct(new.cast(state).alias("s"), F.concat(*outs).alias("o"))
+
+            return step(F.when(row["_r"], begin).otherwise(acc["s"]) if within else acc["s"], row, put)
 
         chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda i: F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)))
         first = F.struct(F.struct(entry.cast(state).alias("s"), none.alias("o")).alias("r"), F.array().cast(f"array<array<{out}>>").alias("p"))
@@ -102,9 +109,9 @@ def keep_since(o: Ordered, restart: Column, keep, columns: list[str]) -> DataFra
     kinds = dict(o._cold.dtypes)
     kind = "struct<" + ", ".join(f"{c}: {kinds[c]}" for c in columns) + ">"
 
-    def step(last, row):
+    def step(last, row, put):
         own = F.struct(*[row[c].alias(c) for c in columns])
         made = F.when(last.isNull() | row["_r"] | F.coalesce(keep(last, row), F.lit(False)), own)
-        return F.coalesce(made, last), made
+        return once(made, lambda made: put(F.coalesce(made, last), made))
 
     return fold_islands(o, restart, step, kind, kind)

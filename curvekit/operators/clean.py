@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fold import fold
-from ..islands import fold_islands, keep_since
+from ..islands import fold_islands, keep_since, once
 from ..ordered import Ordered, exact_median
 from ..runtime import as_list, attach
 
@@ -37,12 +37,12 @@ def dedup_continuity(points: DataFrame, key="curve_id", t="t", s="s", digits=3,
     rows = points.where(F.col(s).isNotNull()).groupBy(*keys, F.round(t, digits).alias(t)).agg(F.array_sort(F.collect_set(s)).alias("_vs"))  # what was found in one place
     value = dict(points.dtypes)[s]
 
-    def step(prev, row):
+    def step(prev, row, put):
         vs = row["_vs"]
         best = F.array_max(F.filter(vs, lambda v: (v >= prev - down) & (v <= prev + up)))
         near = F.array_min(F.transform(vs, lambda v: F.struct(F.abs(v - prev).alias("d"), v.alias("v"))))["v"]
         chosen = F.when(F.size(vs) == 1, F.element_at(vs, 1)).otherwise(F.coalesce(best, near))
-        return chosen, F.struct(row[t].alias(t), chosen.alias(s))
+        return once(chosen, lambda chosen: put(chosen, F.struct(row[t].alias(t), chosen.alias(s))))
 
     return fold_islands(Ordered(rows, keys, t), F.size("_vs") == 1, step, value, f"struct<{t}: double, {s}: double>", start=F.lit(1.0))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..islands import fold_islands
+from ..islands import fold_islands, once
 from ..ordered import Ordered
 from ..runtime import as_list, attach
 
@@ -216,12 +216,12 @@ def bridge_endpoints(mask, max_gap=30, shape="step", keys=("image_id",)) -> Data
         F.col("_k.dist").alias("dist"), F.col("y2").alias("y2"), F.col("x2").alias("x2"), F.col("_k.kind").alias("kind"),
         F.col("x").alias("x1"), F.col("y").alias("y1"), spot("x2", "y2").alias("to")))).alias("options"))
 
-    def step(taken, row):
+    def step(taken, row, put):
         """`taken`: endpoints that earlier ones were joined to."""
         best = F.get(F.filter(row["options"], lambda o: ~F.array_contains(taken, o["to"])), F.lit(0))
         made = F.when(~F.array_contains(taken, row["_at"]), best)
         ahead = F.filter(taken, lambda p: p > row["_at"])
-        return F.concat(ahead, F.filter(F.array(made["to"]), lambda p: p.isNotNull())), made
+        return once(made, lambda made: put(F.concat(ahead, F.filter(F.array(made["to"]), lambda p: p.isNotNull())), made))
 
     # where no earlier endpoint reaches as far as this one, nothing can be taken yet
     reach = F.aggregate("options", F.lit(0).cast("bigint"), lambda a, o: F.greatest(a, o["to"]))

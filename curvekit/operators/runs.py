@@ -611,10 +611,10 @@ def consolidate_regions(regions, key="curve_id", t="t", offset="offset", gap=1.0
 
     kind = f"struct<{t}: {kinds[t]}, {offset}: {kinds[offset]}>"
 
-    def step(last, row):
+    def step(last, row, put):
         now = F.struct(row[t].alias(t), row[offset].alias(offset))
         close = last.isNotNull() & (row[t] - last[t] < gap)
-        return F.when(close & (F.abs(row[offset]) <= F.abs(last[offset])), last).otherwise(now), F.when(~close, last)
+        return put(F.when(close & (F.abs(row[offset]) <= F.abs(last[offset])), last).otherwise(now), F.when(~close, last))
 
     o = Ordered(regions.select(*keys, t, offset), keys, t, offset).lag(_p=t)
     kept = fold_islands(o, c("_p").isNull() | (c(t) - c("_p") >= gap), step, kind, kind, finish=lambda last: last)

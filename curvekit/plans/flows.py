@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import color as c
 from ..operators import axis, clean, pixels as p, quality, runs
 from ..ordered import Ordered
-from ..runtime import attach
+from ..runtime import attach, cut_lineage
 
 KEYS = ["image_id", "color"]
 
@@ -47,6 +47,6 @@ def classed_curves(pixels: DataFrame, images: DataFrame, time_max: float, least=
 
 def scored_curves(points: DataFrame, key="curve_id", curves: DataFrame | None = None, **options) -> DataFrame:
     """Cleaned and scored curves: the quality row of every curve."""
-    cleaned = clean.clean_curve(points, key, **options)
+    cleaned = cut_lineage(clean.clean_curve(points, key, **options))  # every rule reads them
     known = curves if curves is not None else points.select(key).distinct()
     return quality.qc_score(known, quality.all_issues(cleaned, key, curves=known), key)
