@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ordered import Ordered, top_rows
-from ..runtime import attach
+from ..runtime import attach, cut_lineage
 from .clean import find_steps
 from .joins import any_in_gap, asof_step, nearest_dark, nearest_vertical
 from .quality import num
@@ -92,28 +92,36 @@ def overlay_match(points, calibration, pixels, images, within=5, radius=8) -> Da
                      "points", "match_ratio", "avg_y_offset", (F.abs("avg_y_offset") > 2).alias("adjust"))
 
 
-def dense_grid(points, calibration, mask, every=2, t="t", s="s") -> DataFrame:
-    """Every second pixel column of each curve: its value there, the row it maps to and the signed offset to the mask."""
+def dense_rows(points, calibration, every=2) -> DataFrame:
+    """Every second pixel column of each curve from its first point on: its value there and the row it maps to."""
     cal = calibration.where((c("x_max_pixel") > c("x_0_pixel")) & (c("y_0_pixel") > c("y_100_pixel")))
-    cols = attach(points.select(*KEYS).distinct(), cal, ["image_id"]).where(c("x_0_pixel").isNotNull())
     w = c("x_max_pixel") - c("x_0_pixel")
-    cols = cols.select("*", F.explode(F.sequence(c("x_0_pixel"), c("x_max_pixel") - 1, F.lit(every))).alias("x"))
-    cols = cols.withColumn("t", c("time_min") + F.try_divide(c("x") - c("x_0_pixel"), w) * (c("time_max") - c("time_min")))
-    value = asof_step(points.select(*KEYS, c(t).alias("t"), c(s).alias("s")), cols.select(*KEYS, "t"), KEYS)
-    rows = attach(cols, value, KEYS + ["t"]).where(c("s").isNotNull())
-    rows = rows.withColumn("y", (c("y_100_pixel") + (1.0 - c("s")) * (c("y_0_pixel") - c("y_100_pixel"))).cast("int"))
+    cols = cal.select("image_id", "y_0_pixel", "y_100_pixel", "time_min", "time_max", "x_0_pixel", w.alias("_w"), F.explode(F.sequence(c("x_0_pixel"), c("x_max_pixel") - 1, F.lit(every))).alias("x"))
+    cols = cols.select("image_id", "x", (c("time_min") + F.try_divide(c("x") - c("x_0_pixel"), c("_w")) * (c("time_max") - c("time_min"))).alias("t"), "y_0_pixel", "y_100_pixel")
+    asked = attach(points.select(*KEYS).distinct(), cols.select("image_id", "x", "t"), ["image_id"]).where(c("x").isNotNull())
+    # the columns of a picture are the same for all its curves, so they are looked up by picture and time, not once more by curve
+    rows = attach(asof_step(points, asked, KEYS).where(c("s").isNotNull()), cols, ["image_id", "t"])
+    return rows.withColumn("y", (c("y_100_pixel") + (1.0 - c("s")) * (c("y_0_pixel") - c("y_100_pixel"))).cast("int"))
+
+
+def in_plot(mask, calibration) -> DataFrame:
+    """The mask's cells between the top and the bottom of the plot, each once."""
+    cal = calibration.where((c("x_max_pixel") > c("x_0_pixel")) & (c("y_0_pixel") > c("y_100_pixel")))
     inside = attach(mask.select("image_id", "x", "y"), cal.select("image_id", c("y_100_pixel").alias("_a"), c("y_0_pixel").alias("_b")), ["image_id"]).where(c("y").between(c("_a"), c("_b") - 1))
-    return nearest_vertical(rows, inside.select("image_id", "x", "y")).select(*KEYS, "x", "t", "s", "y", "y_0_pixel", "y_100_pixel", "offset"), inside.select("image_id", "x", "y")
+    return inside.select("image_id", "x", "y").distinct()
 
 
 def dense_match(points, calibration, mask, every=2, close_open=False) -> dict[str, DataFrame]:
     """Dense comparison of curves with a mask: `summary` per curve, `offset_regions` (consolidated, ten largest) and
     `missing_steps` (spans whose value gaps hold mask cells).
 
-    A span that is still open at the end of the curve is reported only with `close_open`.
+    A span that is still open at the end of the curve is reported only with `close_open`. Points, the mask's cells in the plot and the values at the columns
+    serve several steps each and the counting of rows per curve, so each of them is worked out once and written to the shared folder.
     """
-    grid, inside = dense_grid(points, calibration, mask, every)
-    o = Ordered(grid, KEYS, "t").lag(_ps="s", _py="y")
+    points = cut_lineage(points.select(*KEYS, "t", "s"))
+    rows, inside = cut_lineage(dense_rows(points, calibration, every)), cut_lineage(in_plot(mask, calibration))
+    grid = nearest_vertical(rows, inside).select(*KEYS, "x", "t", "offset")
+    o = Ordered(rows.select(*KEYS, "x", "t", "s", "y"), KEYS, "t").lag(_ps="s", _py="y")
     gaps = o.df.where(F.abs(c("_ps") - c("s")) > 0.05).select(*KEYS, "x", "t", F.abs(c("_ps") - c("s")).alias("gap"), F.least("y", "_py").alias("y1"), F.greatest("y", "_py").alias("y2"))
     held = any_in_gap(gaps, inside)
     g = Ordered(held, KEYS, "t").lag(_before="has_pixels")
@@ -123,7 +131,7 @@ def dense_match(points, calibration, mask, every=2, close_open=False) -> dict[st
     missing = spans.select(*KEYS, "t_from", F.coalesce("_e", "_l").getField("t").alias("t_to"), F.coalesce("_e", "_l").getField("gap").alias("gap"))
     far = grid.where(F.abs("offset") > 8).select(*KEYS, "t", "offset")
     regions = consolidate_regions(far, KEYS, "t", "offset").where("rank <= 10")
-    steps = find_steps(points.select(*KEYS, "t", "s"), KEYS).groupBy(*KEYS).agg(F.count("*").alias("steps"))
+    steps = find_steps(points, KEYS).groupBy(*KEYS).agg(F.count("*").alias("steps"))
     st = grid.groupBy(*KEYS).agg(F.count("*").alias("total"), F.count_if(F.abs("offset") <= 5).alias("matched"), F.coalesce(F.avg("offset"), F.lit(0.0)).alias("avg_offset"),
                                  F.coalesce(F.max(F.abs("offset")), F.lit(0)).alias("max_offset"))
     st = attach(st, steps, KEYS).withColumns({"steps": F.coalesce("steps", F.lit(0)), "match_rate": F.try_divide("matched", "total")})

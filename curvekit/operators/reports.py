@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import as_list, attach
+from ..runtime import as_list, attach, cut_lineage
 from .quality import num, pct
 
 ORDER = ["part", "curve", "section", "at", "text", "no"]
@@ -62,9 +62,11 @@ def quality_report(scored: DataFrame, issues: DataFrame, image="image_id", key="
 def dense_report(match: dict[str, DataFrame], original: DataFrame | None = None, image="image_id", key="curve_id") -> DataFrame:
     """Report of `checks.dense_match`: overall accuracy, and for each curve its matches, offsets, steps, first missing steps and largest offsets.
 
-    original: image, curve and `seen`, the steps counted in the picture; without it they are the steps of the curve.
+    original: image, curve and `seen`, the steps counted in the picture; without it they are the steps of the curve. Each part of the match is worked out once:
+    it gives lines of several kinds, and lines are read twice to be put in order.
     """
     images, none = as_list(image), F.lit(None)
+    match = {name: cut_lineage(part) for name, part in match.items()}
     keys = [*images, key]
     st = match["summary"].withColumn("_seen", F.col("steps"))
     if original is not None:
