@@ -132,27 +132,29 @@ def levels(cells: np.ndarray) -> np.ndarray:
 
 
 def dealt_prefixes(docs: DataFrame, level, size: int, percent: int, buckets: int, hot: int) -> DataFrame:
-    """`bucket, tokens, sets`: the prefix tokens of all documents, dealt by token; a task tells equal sets once.
+    """`bucket, tokens, sets, rests`: the prefix tokens of all documents, dealt by token; a task tells equal sets once. A rest is how many tokens of the set
+    do not come before this one: two sets whose first common token this is have no more in common.
 
     Tokens are ordered by frequency level, then hash. Two sets with the wanted overlap share a token among the first n - ceil(percent * n / 100) + 1 of
     each. A token of a level above `hot` is dealt to several buckets, twice as many each octave.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale, told, tokens, names, held = level.value, set(), [], [], 0
+        scale, told, tokens, names, rests, held = level.value, set(), [], [], [], 0
 
         def deal() -> pa.RecordBatch:
-            token, name = np.concatenate(tokens), np.concatenate(names)
+            token, name, rest = np.concatenate(tokens), np.concatenate(names), np.concatenate(rests)
             high = (token >> U(58)).astype(np.int64)
             spread = np.where(high > hot, 1 << np.minimum((high - hot + 1) // 2, 20), 1).astype(U)
             bucket = ((mix(token) % U(buckets) + mix(name) % spread) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
             edges = np.append(cuts, len(order)).tolist()
-            token, name = token[order], name[order]
+            token, name, rest = token[order], name[order], rest[order]
             return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts].astype(np.int32)),
                                                pa.array([token[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary()),
-                                               pa.array([name[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())], ["bucket", "tokens", "sets"])
+                                               pa.array([name[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary()),
+                                               pa.array([rest[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())], ["bucket", "tokens", "sets", "rests"])
 
         for batch in batches:
             for _, _, found, at in document_sets(batch.column(0), size):
@@ -166,57 +168,58 @@ def dealt_prefixes(docs: DataFrame, level, size: int, percent: int, buckets: int
                     told.add(name)
                     k = int(take[i])
                     own = ordered[at[i]:at[i + 1]]
-                    tokens.append(np.partition(own, k - 1)[:k])
+                    tokens.append(np.sort(np.partition(own, k - 1)[:k]))
                     names.append(np.full(k, name, np.int64).view(U))
+                    rests.append(np.arange(len(own), len(own) - k, -1, dtype=np.uint32))
                     held += k
                 if held >= PART:
                     yield deal()
-                    tokens, names, held = [], [], 0
+                    tokens, names, rests, held = [], [], [], 0
         if held:
             yield deal()
 
-    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, sets binary")
+    return docs.select("text").mapInArrow(run, "bucket int, tokens binary, sets binary, rests binary")
 
 
 def shared_tokens(dealt: DataFrame, hot: int) -> DataFrame:
-    """`bucket, tokens, sets` with tokens of two sets or more only (or of a spread token, which others may have elsewhere), sorted."""
+    """`bucket, tokens, sets, rests` with tokens of two sets or more only (or of a spread token, which others may have elsewhere), sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tokens, sets = None, [], []
+        last, tokens, sets, rests = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            token, name = (np.frombuffer(b"".join(x), U) for x in (tokens, sets))
+            token, name, rest = (np.frombuffer(b"".join(x), kind) for x, kind in ((tokens, U), (sets, U), (rests, np.uint32)))
             order = np.lexsort((name, token))
-            token, name = token[order], name[order]
+            token, name, rest = token[order], name[order], rest[order]
             new = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1]))
-            token, name = token[new], name[new]
+            token, name, rest = token[new], name[new], rest[new]
             same = token[1:] == token[:-1]
             keep = np.append(same, False) | np.append(False, same) | ((token >> U(58)) > hot)
-            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([token[keep].tobytes()], pa.binary()), pa.array([name[keep].tobytes()], pa.binary())],
-                                              ["bucket", "tokens", "sets"])
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([token[keep].tobytes()], pa.binary()), pa.array([name[keep].tobytes()], pa.binary()), pa.array([rest[keep].tobytes()], pa.binary())],
+                                              ["bucket", "tokens", "sets", "rests"])
 
         for batch in in_rows(batches):
-            for bucket, t, s in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            for bucket, t, s, r in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 if last is not None and bucket != last:
                     yield done()
-                    tokens, sets = [], []
+                    tokens, sets, rests = [], [], []
                 last = bucket
-                tokens.append(t), sets.append(s)
+                tokens.append(t), sets.append(s), rests.append(r)
         if last is not None:
             yield done()
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, tokens binary, sets binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, tokens binary, sets binary, rests binary")
 
 
 def token_rows(shared: DataFrame) -> DataFrame:
-    """`token, a`: a row for each token and set."""
+    """`token, a, rest`: a row for each token and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches):
-            for t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(s, np.int64))], ["token", "a"])
+            for t, s, r in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(s, np.int64)), pa.array(np.frombuffer(r, np.int32))], ["token", "a", "rest"])
 
-    return shared.select("tokens", "sets").mapInArrow(run, "token bigint, a bigint")
+    return shared.select("tokens", "sets", "rests").mapInArrow(run, "token bigint, a bigint, rest int")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -329,17 +332,24 @@ def opened(rows: DataFrame, percent: int) -> DataFrame:
 def cross_blocks(tokens: DataFrame, groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members and queries (`grp, block, a, n, bits`) of groups that share a prefix token: the rows of the token-group matrix with two groups or more.
 
-    `tokens` has `token, a`; `groups` has `a, grp, n, w, bits` for all its sets. The smaller group asks, and only sets whose size and number of tokens
-    that others may have (`w`) leave room for the overlap with some member.
+    `tokens` has `token, a, rest`; `groups` has `a, grp, n, w, bits` for all its sets. The smaller group asks, and only through tokens that can be the first
+    one in common: sets of n and m tokens with the wanted overlap have at least percent * (n + m) / (100 + percent) in common, and all these lie in the
+    rests of both from there on. Sets that share a hundred tokens of their prefixes so meet through the few rarest of them. Of these tokens all but those
+    behind one of the prefixes are in both prefixes, so `w` (tokens but those of the prefix that no other prefix has) is as large for the larger set of a
+    pair, and for the smaller one less by the prefixes' difference at most, as a token of its prefix may lie behind that of the other.
     """
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("w").alias("room"))
-    matrix = tokens.select("token", "a").join(groups.select("a", "grp", "n", "w"), "a")
+    matrix = tokens.select("token", "a", "rest").join(groups.select("a", "grp", "n", "w"), "a")
     split = matrix.groupBy("token").agg(F.min("grp").alias("lowest"), F.max("grp").alias("highest")).filter("lowest != highest").select("token")
     rows = cut_lineage(matrix.join(split, "token").join(sizes, "grp"))
-    others = rows.select("token", F.col("grp").alias("other"), F.col("many").alias("others"), F.col("least").alias("low"), F.col("most").alias("high"), F.col("room").alias("space")).distinct()
+    others = rows.groupBy("token", F.col("grp").alias("other"), F.col("many").alias("others"), F.col("least").alias("low"), F.col("most").alias("high"), F.col("room").alias("wide")).agg(F.max("rest").alias("space"))
     smaller = (F.col("many") < F.col("others")) | ((F.col("many") == F.col("others")) & (F.col("grp") < F.col("other")))
     fits = (100 * F.col("n") >= percent * F.col("low")) & (percent * F.col("n") <= 100 * F.col("high"))
-    fits &= (100 + percent) * F.least("w", "space") >= percent * (F.col("n") + F.col("low"))
+    fits &= (100 + percent) * F.least("rest", "space") >= percent * (F.col("n") + F.col("low"))
+    # both bounds are concave in the partner's size, so they are least at one end of its sizes; 1 for rounding up
+    need = lambda m, less: percent * (F.col("n") + m) / F.lit(100 + percent) - percent * F.greatest(less, F.lit(0)) / F.lit(100) - 1
+    fits &= F.col("w") >= F.least(*[need(F.col(m), F.col(m) - F.col("n")) for m in ("low", "high")])
+    fits &= F.col("wide") >= F.least(*[need(F.col(m), F.col("n") - F.col(m)) for m in ("low", "high")])
     pairs = cut_lineage(rows.join(others, "token").filter(smaller & fits).select("a", F.col("other").alias("grp"), "others").distinct())
     blocks = F.ceil(F.col("others") / F.lit(BLOCK)).cast("int")
     asked = pairs.groupBy("grp").agg(F.first("others").alias("others"))
