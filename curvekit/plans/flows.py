@@ -31,7 +31,7 @@ def named_curves(pixels: DataFrame, calibration: DataFrame, colors: list[str], s
     picked = p.column_pick_nearest(inside, KEYS)
     enough = Ordered(picked, KEYS, "x").total(_n=F.count("*")).where(F.col("_n") >= 10).df.drop("_n")
     points = axis.px_to_data(enough, calibration).select(*KEYS, "t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))).alias("s"))
-    return clean.resample(clean.drop_flat(clean.monotone_drop(points, KEYS, start=None), KEYS), KEYS, step=step)
+    return clean.resample(clean.drop_flat(clean.monotone_drop(points, KEYS, start=None), KEYS, counted=points), KEYS, step=step, counted=points)
 
 
 def classed_curves(pixels: DataFrame, images: DataFrame, time_max: float, least=100) -> DataFrame:
@@ -42,7 +42,7 @@ def classed_curves(pixels: DataFrame, images: DataFrame, time_max: float, least=
     rows = attach(picked, images.select("image_id", "width", "height"), ["image_id"])
     points = rows.select(*KEYS, (F.col("x") / F.col("width") * time_max).alias("t"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("y") / F.col("height"))).alias("s"))
     points = Ordered(points, KEYS, "t").total(_n=F.count("*")).where(F.col("_n") >= 10).df.drop("_n")
-    return clean.anchor_start(clean.thin(clean.monotone_drop(points, KEYS), KEYS, tol_t=0.1), KEYS)
+    return clean.anchor_start(clean.thin(clean.monotone_drop(points, KEYS), KEYS, tol_t=0.1, counted=points), KEYS)
 
 
 def scored_curves(points: DataFrame, key="curve_id", curves: DataFrame | None = None, **options) -> DataFrame:
